@@ -32,7 +32,7 @@ def unpivot_conditions(components: DataFrame) -> DataFrame:
 
 def pivot_counts(long: DataFrame) -> DataFrame:
     """Counts of the three conditions per code, as columns. A condition that never occurs counts 0."""
-    counts = long.groupBy(s.CODE).pivot(s.CONDITION, VERDICTS).agg(F.count("*")).na.fill(0)
+    counts = long.groupBy(s.CODE).pivot(s.CONDITION, VERDICTS).count().na.fill(0)
     return counts.select(s.CODE, *[F.col(f"`{v}`") for v in VERDICTS])
 
 
