@@ -6,8 +6,9 @@ predicates that cannot both hold; a null predicate counts as "does not hold".
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,53 +45,68 @@ def _condition(bad: Column, ok: Column) -> Column:
     return F.when(bad, F.lit(s.BAD)).when(ok, F.lit(s.OK))
 
 
-def _in(column: str, verdict: str) -> Column:
-    return F.col(column).isin(s.CATEGORIES[column][verdict])
-
-
-def _by_category(column: str, only: Column | None = None) -> Column:
-    bad, ok = _in(column, s.BAD), _in(column, s.OK)
-    return _condition(bad, ok) if only is None else _condition(bad & only, ok & only)
+def _verdict(column: str) -> Column:
+    """The verdict on a category text, null for an unlisted one.
 
+    A constant map keeps the generated code short: one comparison per text would push the rules, taken
+    together, over the method size the JVM is willing to compile.
+    """
+    pairs = [(text, verdict) for verdict, texts in s.CATEGORIES[column].items() for text in texts]
+    return F.create_map(*[F.lit(x) for pair in pairs for x in pair])[F.col(column)]
 
-def conditions(codes: list[str] | None = None, corrected: bool = False) -> dict[str, Column]:
-    """Code -> condition, for rows that carry the measures of ``with_measures``.
 
-    ``D07`` also needs the boolean ``_homeless``. With ``corrected``, rows added for a cohabiting family
-    count as cohabiting themselves; otherwise their dwelling is unknown and so is their D04.
-    """
+def _rules(corrected: bool) -> dict[str, Column]:
+    """Code -> condition for every code but D05, over rows that carry the measures."""
     urban = F.col(s.SITUATION) == s.URBAN
-    density, burden, rent = F.col(DENSITY), F.col(BURDEN), F.col(s.RENT)
-    crowded, roomy = density >= s.CROWDED, density < s.CROWDED
+    density, burden = F.col(DENSITY), F.col(BURDEN)
     families, rooms = F.col(s.FAMILIES), F.col(s.ROOMS)
 
     cohabiting = families > 1
     if corrected:
         cohabiting = cohabiting | F.col(s.ROW_KIND).isin(list(s.COHABITING_ROWS))
 
-    no_piped_water, piped_water = _in(s.PIPED_WATER, s.BAD) & urban, _in(s.PIPED_WATER, s.OK) & urban
-    poor_rental = crowded | _in(s.BATHROOM, s.BAD) | _in(s.FLOOR, s.BAD) | no_piped_water
-    sound_rental = roomy & _in(s.BATHROOM, s.OK) & _in(s.FLOOR, s.OK) & piped_water
-
-    rules = {
-        "D01": _by_category(s.DWELLING),
-        "D02": _by_category(s.WALLS),
+    return {
+        "D01": _verdict(s.DWELLING),
+        "D02": _verdict(s.WALLS),
         "D03": _condition(F.col(SHARED_LOT), ~F.col(SHARED_LOT)),
         "D04": _condition(cohabiting, families <= 1),
-        "D05": _condition((rent > 0) & poor_rental, (rent > 0) & sound_rental),
         "D06": _condition(rooms <= 1, rooms > 1),
         "D07": F.when(F.col(HOMELESS_FLAG), F.lit(s.BAD)).otherwise(F.lit(s.OK)),
-        "I01": _condition(crowded, roomy),
-        "I02": _by_category(s.BATHROOM),
-        "I03": _by_category(s.FLOOR),
-        "I04": _condition(no_piped_water, piped_water),
-        "I05": _by_category(s.SEWAGE),
-        "I06": _by_category(s.WATER_SUPPLY, urban),
-        "I07": _by_category(s.LIGHTING),
-        "I08": _by_category(s.REFUSE, urban),
+        "I01": _condition(density >= s.CROWDED, density < s.CROWDED),
+        "I02": _verdict(s.BATHROOM),
+        "I03": _verdict(s.FLOOR),
+        "I04": F.when(urban, _verdict(s.PIPED_WATER)),
+        "I05": _verdict(s.SEWAGE),
+        "I06": F.when(urban, _verdict(s.WATER_SUPPLY)),
+        "I07": _verdict(s.LIGHTING),
+        "I08": F.when(urban, _verdict(s.REFUSE)),
         "I09": _condition(burden >= s.EXCESSIVE_BURDEN, burden < s.EXCESSIVE_BURDEN),
     }
-    return rules if codes is None else {c: rules[c] for c in codes}
+
+
+# A rental is inadequate if one of these is, and adequate only if all are.
+_RENTAL_INPUTS = ("I01", "I02", "I03", "I04")
+
+
+def _rental() -> Column:
+    inputs = [F.col(c) for c in _RENTAL_INPUTS]
+    bad = reduce(or_, [c == s.BAD for c in inputs])
+    ok = reduce(and_, [c == s.OK for c in inputs])
+    return F.when(F.col(s.RENT) > 0, _condition(bad, ok))
+
+
+def with_conditions(df: DataFrame, codes: Sequence[str], corrected: bool = False) -> DataFrame:
+    """Adds a column per code (and those they depend on); unknown conditions are null.
+
+    ``D07`` needs the boolean ``_homeless``. With ``corrected``, rows added for a cohabiting family count
+    as cohabiting themselves; otherwise their dwelling is unknown and so is their D04.
+    """
+    rental = "D05" in codes
+    needed = [c for c in codes if c != "D05"]
+    needed += [c for c in _RENTAL_INPUTS if rental and c not in needed]
+    rules = _rules(corrected)
+    found = with_measures(df).withColumns({c: rules[c] for c in needed})
+    return found.withColumn("D05", _rental()) if rental else found
 
 
 def any_bad(codes: list[str]) -> Column:

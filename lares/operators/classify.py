@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lares import schema as s
-from lares.functions.conditions import any_bad, conditions, deficit_class, with_measures
+from lares.functions.conditions import any_bad, deficit_class, with_conditions
 
 IDENTITY = (s.ROW_ID, s.KEY, s.ROW_KIND)
 
@@ -26,11 +26,6 @@ def summary_codes(homeless: bool) -> list[str]:
     return [*condition_codes(homeless), s.DEFICIT, s.INADEQUACY]
 
 
-def add_conditions(base: DataFrame, homeless: bool, corrected: bool = False) -> DataFrame:
-    """The condition columns next to the base columns; unknown ones are null."""
-    return with_measures(base).withColumns(conditions(condition_codes(homeless), corrected))
-
-
 def fill_missing(df: DataFrame, skip: Sequence[str] = IDENTITY) -> DataFrame:
     """Nulls become the "no data" text in every text column but the identifying ones."""
     text = [name for name, kind in df.dtypes if kind == "string" and name not in skip]
@@ -63,7 +58,8 @@ def classify(
     identity = [c for c in IDENTITY if c in base.columns]
     carried: list[Column] = [F.col(f"`{c}`").alias(f"_by_{c}") for c in carry]
     wanted = [*identity, s.SITUATION, *condition_codes(homeless)]
-    selected = add_conditions(base, homeless, corrected).select(
+    found = with_conditions(base, condition_codes(homeless), corrected)
+    selected = found.select(
         *[F.col(f"`{c}`") for c in wanted], *carried
     )
     skip = (*IDENTITY, *[f"_by_{c}" for c in carry])

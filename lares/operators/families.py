@@ -26,8 +26,14 @@ def family_slice(registry: DataFrame, family_columns: int | Sequence[str] | None
 def extract_families(
     registry: DataFrame, family_columns: int | Sequence[str] | None = None
 ) -> DataFrame:
-    """Distinct family rows, marked ``ID0``. A key keeps as many rows as it has different contents."""
-    families = family_slice(registry, family_columns).distinct()
+    """Distinct family rows, marked ``ID0``. A key keeps as many rows as it has different contents.
+
+    ``_origin``, a hash of the whole content, comes along for later steps to cut a frequent key by; made
+    before the distinct, where all columns are at hand, it spares those steps the wide row.
+    """
+    families = family_slice(registry, family_columns)
+    content = F.xxhash64(*[F.col(f"`{c}`") for c in families.columns])
+    families = families.withColumn(ORIGIN, content).distinct()
     return families.withColumns({TEXT_ID: F.col(s.KEY).cast("string"), s.ROW_KIND: F.lit(s.FAMILY_ROW)})
 
 
@@ -73,20 +79,17 @@ def stack_families(families: DataFrame, homeless: DataFrame | None = None) -> Da
 
     Same rows as ``stack_tables(families, homeless_rows, cohabiting_rows)`` without the text IDs and the
     preset conditions, but ``families`` is evaluated once: every family row is exploded into its row kinds
-    and added rows keep the key only. ``_origin`` tells apart added rows that are otherwise equal.
+    and added rows keep the key only (and ``_origin``, which tells apart otherwise equal added rows).
     """
     kinds = F.array(*[F.lit(k) for k in (s.FAMILY_ROW, *s.COHABITING_ROWS)])
     columns = [c for c in families.columns if c not in (TEXT_ID, s.ROW_KIND)]
-    attributes = [c for c in columns if c != s.KEY]
-    origin = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
     exploded = families.select(
         *[F.col(f"`{c}`") for c in columns],
-        origin.alias(ORIGIN),
         F.explode(F.slice(kinds, F.lit(1), _extra_families() + 1)).alias(s.ROW_KIND),
     )
     is_family = F.col(s.ROW_KIND) == s.FAMILY_ROW
-    carried = {c: F.when(is_family, F.col(f"`{c}`")) for c in attributes if not c.startswith("_")}
-    stacked = exploded.withColumns(carried) if carried else exploded
+    attributes = [c for c in columns if c != s.KEY and not c.startswith("_")]
+    stacked = exploded.withColumns({c: F.when(is_family, F.col(f"`{c}`")) for c in attributes})
     if homeless is None:
         return stacked
     return stack_tables(stacked, homeless.select(s.KEY, F.lit(s.HOMELESS_ROW).alias(s.ROW_KIND)))

@@ -42,17 +42,23 @@ def _with_pieces(df: DataFrame, hot: DataFrame, key: str) -> DataFrame:
 
 
 def mark_members(
-    rows: DataFrame, members: DataFrame, key: str, flag: str, hot: DataFrame | None = None
+    rows: DataFrame,
+    members: DataFrame,
+    key: str,
+    flag: str,
+    hot: DataFrame | None = None,
+    content: Column | None = None,
 ) -> DataFrame:
     """Adds boolean ``flag``: does the row's key occur in ``members``? Null matches null.
 
-    ``members`` holds each key once. Rows of a hot key are cut into pieces by a hash of their content, and
-    a hot member is repeated once per piece; all other rows join on the key alone. The member side is
-    broadcast only if adaptive execution measures it to be small.
+    ``members`` holds each key once. Rows of a hot key are cut into pieces by a hash of their ``content``
+    (of the whole row unless given), and a hot member is repeated once per piece; all other rows join on
+    the key alone. The member side is broadcast only if adaptive execution measures it to be small.
     """
     if hot is None:
         hot = hot_keys(rows, key)
-    content = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
+    if content is None:
+        content = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
     left = _with_pieces(rows, hot, key)
     left = left.withColumn(_SPREAD, F.pmod(content, F.col(_PIECES)).cast("int")).drop(_PIECES)
     right = _with_pieces(members.select(key), hot, key).select(
@@ -68,7 +74,12 @@ def mark_members(
 
 
 def semi_join(
-    rows: DataFrame, members: DataFrame, key: str, hot: DataFrame | None = None
+    rows: DataFrame,
+    members: DataFrame,
+    key: str,
+    hot: DataFrame | None = None,
+    content: Column | None = None,
 ) -> DataFrame:
     """Rows whose key occurs in ``members``, each once."""
-    return mark_members(rows, members, key, "_member_flag", hot).filter("_member_flag").drop("_member_flag")
+    marked = mark_members(rows, members, key, "_is_member", hot, content)
+    return marked.filter("_is_member").drop("_is_member")
