@@ -12,6 +12,7 @@ from lares import schema as s
 
 TEXT_ID = "ID"
 ORIGIN = "_origin"
+_OTHER = "_other"
 
 
 def family_slice(registry: DataFrame, family_columns: int | Sequence[str] | None = None) -> DataFrame:
@@ -28,13 +29,23 @@ def extract_families(
 ) -> DataFrame:
     """Distinct family rows, marked ``ID0``. A key keeps as many rows as it has different contents.
 
-    ``_origin``, a hash of the whole content, comes along for later steps to cut a frequent key by; made
-    before the distinct, where all columns are at hand, it spares those steps the wide row.
+    ``_origin``, a hash of the whole content, comes along for later steps to cut a frequent key by.
+    Columns no rule reads take part in the distinct as one struct, which keeps the generated code of this
+    and the next stage within what the JVM compiles, however wide the registry is.
     """
     families = family_slice(registry, family_columns)
-    content = F.xxhash64(*[F.col(f"`{c}`") for c in families.columns])
-    families = families.withColumn(ORIGIN, content).distinct()
-    return families.withColumns({TEXT_ID: F.col(s.KEY).cast("string"), s.ROW_KIND: F.lit(s.FAMILY_ROW)})
+    columns = families.columns
+    known = [c for c in columns if c in s.FAMILY_COLUMNS]
+    other = [c for c in columns if c not in known]
+    packed = [*known, F.struct(*[F.col(f"`{c}`") for c in other]).alias(_OTHER)] if other else known
+    distinct = families.select(*packed).distinct()
+    unpacked = [F.col(_OTHER).getField(c).alias(c) if c in other else F.col(c) for c in columns]
+    return distinct.select(
+        *unpacked,
+        F.xxhash64(*distinct.columns).alias(ORIGIN),
+        F.col(s.KEY).cast("string").alias(TEXT_ID),
+        F.lit(s.FAMILY_ROW).alias(s.ROW_KIND),
+    )
 
 
 def _text_id() -> Column:
