@@ -1,7 +1,7 @@
 """Housing-deficit report over a household registry, on Spark."""
 
 from lares.operators.summary import Totals
-from lares.plans.housing import FAMILY, PERSON, Layout, components, report, summary
+from lares.plans.housing import FAMILY, PERSON, Layout, components, report, summary, write_results
 from lares.sources.exports import write_components, write_csv2, write_report
 from lares.sources.registry import normalise_registry, read_registry
 
@@ -18,4 +18,5 @@ __all__ = [
     "write_components",
     "write_csv2",
     "write_report",
+    "write_results",
 ]

@@ -51,8 +51,8 @@ def _verdict(column: str) -> Column:
     A constant map keeps the generated code short: one comparison per text would push the rules, taken
     together, over the method size the JVM is willing to compile.
     """
-    pairs = [(text, verdict) for verdict, texts in s.CATEGORIES[column].items() for text in texts]
-    return F.create_map(*[F.lit(x) for pair in pairs for x in pair])[F.col(column)]
+    pairs = [f"'{text}', '{verdict}'" for verdict, texts in s.CATEGORIES[column].items() for text in texts]
+    return F.expr(f"map({', '.join(pairs)})")[F.col(column)]
 
 
 def _rules(corrected: bool) -> dict[str, Column]:

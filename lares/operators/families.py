@@ -39,7 +39,12 @@ def extract_families(
     other = [c for c in columns if c not in known]
     packed = [*known, F.struct(*[F.col(f"`{c}`") for c in other]).alias(_OTHER)] if other else known
     distinct = families.select(*packed).distinct()
-    unpacked = [F.col(_OTHER).getField(c).alias(c) if c in other else F.col(c) for c in columns]
+    replaced = {TEXT_ID.lower(), s.ROW_KIND.lower()}
+    unpacked = [
+        F.col(_OTHER).getField(c).alias(c) if c in other else F.col(c)
+        for c in columns
+        if c.lower() not in replaced
+    ]
     return distinct.select(
         *unpacked,
         F.xxhash64(*distinct.columns).alias(ORIGIN),

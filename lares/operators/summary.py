@@ -36,40 +36,34 @@ def pivot_counts(long: DataFrame) -> DataFrame:
     return counts.select(s.CODE, *[F.col(f"`{v}`") for v in VERDICTS])
 
 
-def count_conditions(components: DataFrame, only: dict[str, Column] | None = None) -> DataFrame:
+def count_conditions(components: DataFrame, only: dict[str, str] | None = None) -> DataFrame:
     """Same counts as ``pivot_counts(unpivot_conditions(...))`` in one pass without the long form.
 
-    ``only`` restricts the rows counted for single codes.
+    ``only`` restricts the rows counted for single codes by a SQL condition.
     """
     only = only or {}
     codes = [c for c in components.columns if c not in _NOT_MEASURED]
 
     def tally(code: str, verdict: str) -> Column:
-        hit = F.col(f"`{code}`") == verdict
-        return F.count_if(hit & only[code] if code in only else hit)
+        kept = f" AND {only[code]}" if code in only else ""
+        return F.expr(f"count_if(`{code}` = '{verdict}'{kept})")
 
-    tallies = {(c, v): f"n_{i}_{j}" for i, c in enumerate(codes) for j, v in enumerate(VERDICTS)}
-    one_row = components.agg(*[tally(c, v).alias(name) for (c, v), name in tallies.items()])
-    per_code = [
-        F.struct(F.lit(c).alias(s.CODE), *[F.col(tallies[c, v]).alias(v) for v in VERDICTS])
-        for c in codes
-    ]
-    return one_row.select(F.inline(F.array(*per_code)))
+    names = {(c, v): f"n_{i}_{j}" for i, c in enumerate(codes) for j, v in enumerate(VERDICTS)}
+    one_row = components.agg(*[tally(c, v).alias(name) for (c, v), name in names.items()])
+    per_code = ", ".join(f"'{c}', {', '.join(names[c, v] for v in VERDICTS)}" for c in codes)
+    columns = ", ".join(f"`{c}`" for c in (s.CODE, *VERDICTS))
+    return one_row.selectExpr(f"stack({len(codes)}, {per_code}) AS ({columns})")
 
 
-def outside_deficit(corrected: bool) -> Column | None:
-    """Rows the inadequacy counts are taken over; None for all rows.
-
-    The original comparison value lacks an accent, so it excludes no row.
-    """
-    return F.col(f"`{s.CLASS}`") != s.DEFICIT if corrected else None
+# Rows the corrected inadequacy counts are taken over. Originally the compared text lacks its accent, so
+# that no row is excluded.
+OUTSIDE_DEFICIT = f"`{s.CLASS}` <> '{s.DEFICIT}'"
 
 
 def condition_counts(components: DataFrame, corrected: bool = False) -> DataFrame:
     """Counts for both summaries in one pass over the component table."""
-    keep = outside_deficit(corrected)
-    restricted = {} if keep is None else dict.fromkeys([*s.INADEQUACY_CODES, s.INADEQUACY], keep)
-    return count_conditions(components, restricted)
+    restricted = [*s.INADEQUACY_CODES, s.INADEQUACY] if corrected else []
+    return count_conditions(components, dict.fromkeys(restricted, OUTSIDE_DEFICIT))
 
 
 def _bad_of(code: str) -> Column:
@@ -107,7 +101,8 @@ def inadequacy_summary(summary: DataFrame) -> DataFrame:
 
 def component_names(spark: SparkSession) -> DataFrame:
     """The 18 codes with the names shown in the report."""
-    return spark.createDataFrame(list(s.COMPONENT_NAMES.items()), f"{s.CODE} string, {s.COMPONENT} string")
+    rows = ", ".join(f"('{code}', '{name}')" for code, name in s.COMPONENT_NAMES.items())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({s.CODE}, {s.COMPONENT})")
 
 
 def with_names(summary: DataFrame, names: DataFrame | None = None) -> DataFrame:

@@ -25,6 +25,7 @@ from lares.operators.families import ORIGIN, extract_families, homeless_keys, st
 from lares.operators.keys import hot_keys, mark_members
 from lares.operators.numbering import sequential_id
 from lares.operators.summary import Totals, condition_counts, present, summarise
+from lares.sources.exports import write_components, write_csv2, write_report
 from lares.sources.registry import normalise_registry
 
 
@@ -109,6 +110,12 @@ def summary(
 ) -> DataFrame:
     """Counts and shares per code. ``totals`` replaces the layout's fixed figures."""
     table = unnumbered_components(registry, layout, corrected, family_columns)
+    return _summary_of(table, layout, corrected, totals)
+
+
+def _summary_of(
+    table: DataFrame, layout: Layout, corrected: bool, totals: Totals | None
+) -> DataFrame:
     figures = totals or (None if corrected else layout.totals)
     return summarise(condition_counts(table, corrected), figures)
 
@@ -122,3 +129,26 @@ def report(
 ) -> DataFrame:
     """The housing report: one row per component, with its name, counts and rounded share."""
     return present(summary(registry, layout, corrected, totals, family_columns))
+
+
+def write_results(
+    registry: DataFrame,
+    folder: str,
+    layout: Layout = PERSON,
+    corrected: bool = False,
+    totals: Totals | None = None,
+    family_columns: FamilyColumns = None,
+) -> DataFrame:
+    """Writes the component table and the report under ``folder`` and returns the report.
+
+    The family layout gets its component table as text, the person layout as Parquet. The report is
+    counted from the table just written, so the registry is processed once.
+    """
+    table = components(registry, layout, corrected, family_columns)
+    if layout.homeless:
+        write_components(table, f"{folder}/components")
+    else:
+        write_csv2(table, f"{folder}/components")
+    result = present(_summary_of(table, layout, corrected, totals))
+    write_report(result, f"{folder}/report")
+    return result

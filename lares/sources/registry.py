@@ -24,7 +24,8 @@ def _key_text(kind: str) -> Column:
     key = F.col(s.KEY)
     if kind in ("double", "float"):
         # Whole digits, not 1.2E10.
-        return F.coalesce(F.when(key == F.floor(key), key.try_cast("decimal(38,0)")).cast("string"), key.cast("string"))
+        digits = F.when(key == F.floor(key), key.try_cast("decimal(38,0)"))
+        return F.coalesce(digits.cast("string"), key.cast("string"))
     return key.cast("string")
 
 

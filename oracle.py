@@ -345,6 +345,7 @@ SELECT c.code AS "Codigo", label AS "Componente", ok AS "Adequado", bad AS "Inad
     sql["fill_missing"] = f"""{families},{_base(False)},{_classified(False, source="base")}
 SELECT {_identity()}, {conds} FROM comp"""
     flags = {"deficit": "Déficit", "inadequacy": "Inadequação", "class": "Déficit ou Inadequação"}
-    for query, column in (("flag_deficit", "deficit"), ("flag_inadequacy", "inadequacy"), ("deficit_class", "class")):
+    flag_queries = {"flag_deficit": "deficit", "flag_inadequacy": "inadequacy", "deficit_class": "class"}
+    for query, column in flag_queries.items():
         sql[query] = f'{_chain(True)} SELECT {_identity()}, {column} AS "{flags[column]}" FROM comp'
     return sql

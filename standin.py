@@ -9,7 +9,8 @@ from lares import schema as s
 
 
 def _pick(index: Column, values: list[str | None]) -> Column:
-    return F.get(F.array(*[F.lit(v).cast("string") for v in values]), index.cast("int"))
+    listed = ", ".join("null" if v is None else f"'{v}'" for v in values)
+    return F.get(F.expr(f"array({listed})"), index.cast("int"))
 
 
 def standin_persons(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,3 +94,38 @@ def test_person_filter_reaches_the_scan(spark, small, tmp_path):
     plan = keys._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(`Situacao de Rua`,Sim)" in plan
     assert "ReadSchema: struct<Codigo familiar:string,Situacao de Rua:string>" in plan
+
+
+@pytest.mark.parametrize("layout", ["family", "person"])
+def test_command_line_run(spark, small, tmp_path, layout, capsys):
+    from lares import FAMILY
+    from lares.__main__ import main
+
+    persons = standin_persons(spark, small)
+    persons.write.parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    main(["--registry", str(tmp_path / "in"), "--layout", layout, "--family-columns", "18", "--output", out])
+    assert "Total Déficit" in capsys.readouterr().out
+    chosen = PERSON if layout == "person" else FAMILY
+    table = components(persons, chosen)
+    reader = spark.read.schema(table.schema)
+    if layout == "person":
+        back = reader.parquet(f"{out}/components")
+    else:
+        back = reader.options(**CSV2).csv(f"{out}/components")
+    assert back.exceptAll(table).isEmpty() and back.count() == table.count()
+    written = spark.read.options(**CSV2).csv(f"{out}/report").collect()
+    wanted = report(persons, chosen).collect()
+    assert [(r[0], int(r["Inadequado"])) for r in written] == [(r[0], r["Inadequado"]) for r in wanted]
+
+
+def test_columns_named_like_the_added_ones_are_replaced(spark, small):
+    from lares.operators.families import extract_families
+    from lares.sources.registry import normalise_registry
+
+    persons = normalise_registry(standin_persons(spark, small))
+    persons = persons.withColumn("ID", F.lit(5)).withColumn("a.b", F.lit(1))
+    families = extract_families(persons, [*s.FAMILY_COLUMNS, "ID", "a.b"])
+    assert families.filter(F.col("ID") != F.col(s.KEY)).isEmpty()
+    assert "a.b" in families.columns and families.columns.count("ID") == 1
+    assert components(persons, PERSON, family_columns=[*s.FAMILY_COLUMNS, "ID", "a.b"]).count() == 368
