@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lares import schema as s
@@ -52,15 +52,9 @@ def classify(
 ) -> DataFrame:
     """Component table of a stacked base: identity, situation, conditions, roll-ups.
 
-    ``carry`` names base columns to keep, unfilled, for an ordering applied afterwards; they come
-    back under a leading ``_by_``.
+    ``carry`` names further base columns to keep as they are.
     """
     identity = [c for c in IDENTITY if c in base.columns]
-    carried: list[Column] = [F.col(f"`{c}`").alias(f"_by_{c}") for c in carry]
-    wanted = [*identity, s.SITUATION, *condition_codes(homeless)]
-    found = with_conditions(base, condition_codes(homeless), corrected)
-    selected = found.select(
-        *[F.col(f"`{c}`") for c in wanted], *carried
-    )
-    skip = (*IDENTITY, *[f"_by_{c}" for c in carry])
-    return add_rollups(fill_missing(selected, skip), homeless)
+    wanted = [*identity, s.SITUATION, *condition_codes(homeless), *carry]
+    selected = with_conditions(base, condition_codes(homeless), corrected).select(*wanted)
+    return add_rollups(fill_missing(selected, (*IDENTITY, *carry)), homeless)

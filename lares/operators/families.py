@@ -12,6 +12,7 @@ from lares import schema as s
 
 TEXT_ID = "ID"
 ORIGIN = "_origin"
+DIGEST = "_digest"
 _OTHER = "_other"
 
 
@@ -29,9 +30,10 @@ def extract_families(
 ) -> DataFrame:
     """Distinct family rows, marked ``ID0``. A key keeps as many rows as it has different contents.
 
-    ``_origin``, a hash of the whole content, comes along for later steps to cut a frequent key by.
-    Columns no rule reads take part in the distinct as one struct, which keeps the generated code of this
-    and the next stage within what the JVM compiles, however wide the registry is.
+    Two short stand-ins for the content come along: ``_origin``, a hash to cut a frequent key by, and
+    ``_digest``, to order the rows of a key by. Columns no rule reads take part in the distinct as one
+    struct, which keeps the generated code of this and the next stage within what the JVM compiles,
+    however wide the registry is.
     """
     families = family_slice(registry, family_columns)
     columns = families.columns
@@ -48,11 +50,18 @@ def extract_families(
     return distinct.select(
         *unpacked,
         F.xxhash64(*distinct.columns).alias(ORIGIN),
+        content_digest().alias(DIGEST),
         F.col(s.KEY).cast("string").alias(TEXT_ID),
         F.lit(s.FAMILY_ROW).alias(s.ROW_KIND),
     )
 
 
+def content_digest() -> Column:
+    """MD5 of the known family columns as text, "|" between them and "?" for nulls; the key is left out."""
+    texts = [F.col(c).cast("string") for c in s.FAMILY_COLUMNS if c != s.KEY]
+    return F.md5(F.array_join(F.array(*texts), "|", "?"))
+
+
 def _text_id() -> Column:
     # The key prints as "NA" where it is missing.
     return F.concat_ws(" ", F.coalesce(F.col(s.KEY).cast("string"), F.lit("NA")), F.col(s.ROW_KIND))

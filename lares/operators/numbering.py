@@ -21,8 +21,8 @@ def sequential_id(
 
     The rows are range-partitioned, sorted within each partition and written to the staging folder along
     with their position, so that a lost executor cannot move a row after its number is known. A number is
-    then the position plus the size of the partitions before. End ``order_by`` with enough columns
-    to tell rows apart, so that a frequent key can be cut across partitions.
+    then the position plus the size of the partitions before. ``order_by`` should tell rows apart, so that a
+    frequent key can be cut across partitions, and be narrow, as samples of it go to the driver.
     """
     ordered = (
         df.repartitionByRange(*order_by)

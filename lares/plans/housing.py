@@ -21,7 +21,13 @@ from pyspark.sql import functions as F
 from lares import schema as s
 from lares.functions.conditions import HOMELESS_FLAG
 from lares.operators.classify import classify
-from lares.operators.families import ORIGIN, extract_families, homeless_keys, stack_families
+from lares.operators.families import (
+    DIGEST,
+    ORIGIN,
+    extract_families,
+    homeless_keys,
+    stack_families,
+)
 from lares.operators.keys import hot_keys, mark_members
 from lares.operators.numbering import sequential_id
 from lares.operators.summary import Totals, condition_counts, present, summarise
@@ -38,6 +44,8 @@ class Layout:
 FAMILY = Layout(homeless=False, totals=Totals(deficit=6020, inadequacy=22890))
 PERSON = Layout(homeless=True, totals=Totals(deficit=6917, inadequacy=22891))
 
+ORDER_COLUMNS = (DIGEST, ORIGIN)
+
 FamilyColumns = int | Sequence[str] | None
 
 
@@ -57,25 +65,23 @@ def family_base(
     return stacked.withColumn(HOMELESS_FLAG, F.coalesce(HOMELESS_FLAG, F.lit(True)))
 
 
-def stacking_order(columns: Sequence[str], prefix: str = "") -> list[Column]:
-    """Row kind in stacking order, then key, then content, nulls first.
+def stacking_order() -> list[Column]:
+    """Row kind in stacking order, then key (nulls first), then content by its digest.
 
     Kind and key lead as one text, because a sort compares the first bytes of its first column much faster
-    than the rest; the kind alone would tie nearly always.
+    than the rest; the kind alone would tie nearly always. Added rows have the content of the family they
+    come from, so those of a frequent key can be cut across partitions as well. Range partitioning
+    collects samples of these columns on the driver: they have to be few and narrow.
     """
     rank = F.array_position(F.array(*[F.lit(k) for k in s.STACKING_ORDER]), F.col(s.ROW_KIND))
     lead = F.concat(rank.cast("string"), F.coalesce(F.col(s.KEY), F.lit("")))
-    rest = [F.col(f"`{prefix}{c}`").asc_nulls_first() for c in columns]
-    return [lead.asc(), F.col(s.KEY).asc_nulls_first(), *rest]
-
-
-ORDER_COLUMNS = [*[c for c in s.FAMILY_COLUMNS if c != s.KEY], ORIGIN]
+    return [lead.asc(), F.col(s.KEY).asc_nulls_first(), F.col(DIGEST).asc(), F.col(ORIGIN).asc()]
 
 
 def number_base(base: DataFrame) -> DataFrame:
     """The stacked base with ``ID`` = 1..N in stacking order."""
     keep = [c for c in base.columns if not c.startswith("_")]
-    return sequential_id(base, stacking_order(ORDER_COLUMNS), keep, s.ROW_ID)
+    return sequential_id(base, stacking_order(), keep, s.ROW_ID)
 
 
 def components(
@@ -87,8 +93,8 @@ def components(
     """The component table, numbered. Writes a staging table (see ``sequential_id``)."""
     base = family_base(registry, layout, family_columns)
     table = classify(base, layout.homeless, corrected, carry=ORDER_COLUMNS)
-    keep = [c for c in table.columns if not c.startswith("_by_")]
-    return sequential_id(table, stacking_order(ORDER_COLUMNS, "_by_"), keep, s.ROW_ID)
+    keep = [c for c in table.columns if c not in ORDER_COLUMNS]
+    return sequential_id(table, stacking_order(), keep, s.ROW_ID)
 
 
 def unnumbered_components(

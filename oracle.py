@@ -76,6 +76,9 @@ FAMILIES = f"""
 fam AS (SELECT DISTINCT k, {", ".join(ATTRIBUTES)} FROM persons),
 street_keys AS (SELECT DISTINCT k FROM persons WHERE street = 'Sim')"""
 
+# Orders the rows of one key; any fixed order would do.
+_DIGEST = "md5(concat_ws('|', " + ", ".join(f"COALESCE(CAST({a} AS VARCHAR), '?')" for a in ATTRIBUTES) + "))"
+
 _NULLS = ", ".join(f"NULL AS {a}" for a in ATTRIBUTES)
 
 
@@ -91,8 +94,7 @@ base AS (
   UNION ALL SELECT 5, 'ID3', k, {_NULLS} FROM fam WHERE fams > 3
 ),
 numbered AS (
-  SELECT row_number() OVER (ORDER BY pos, k NULLS FIRST, {", ".join(f"{a} NULLS FIRST" for a in ATTRIBUTES)})
-    AS id, *
+  SELECT row_number() OVER (ORDER BY pos, k NULLS FIRST, {_DIGEST}) AS id, *
   FROM base
 )"""
 

@@ -10,7 +10,7 @@ from lares import schema as s
 from lares.operators import families as fam
 from lares.operators import keys
 from lares.operators.numbering import sequential_id
-from lares.plans.housing import family_base
+from lares.plans.housing import family_base, stacking_order
 from lares.sources.registry import normalise_registry
 from standin import standin_persons
 
@@ -77,9 +77,7 @@ def test_equal_added_rows_are_cut_across_number_partitions(spark, skewed):
     persons, key = skewed
     alike = persons.withColumn(s.FAMILIES, F.lit(2.0))
     base = family_base(alike, PERSON)
-    from lares.plans.housing import ORDER_COLUMNS, stacking_order
-
-    order = stacking_order(ORDER_COLUMNS)
+    order = stacking_order()
     extra = base.filter(F.col(s.KEY).eqNullSafe(F.lit(key)) & (F.col(s.ROW_KIND) == "ID1"))
     parts = extra.repartitionByRange(8, *order).groupBy(F.spark_partition_id()).count().collect()
     assert len(parts) == 8
