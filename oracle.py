@@ -339,6 +339,7 @@ SELECT c.code AS "Codigo", label AS "Componente", ok AS "Adequado", bad AS "Inad
         "export_components_csv": _components(False),
         "export_report_csv": _report(True),
     }
+    sql["source_parquet"] = sql["source_csv"] = sql["standin_persons"]
     for code in _codes(False):
         sql[f"rule_{code.lower()}"] = (
             f'{on_families} SELECT {_columns("k", "compl")}, {RULES[code]} AS "{code}" FROM measured m'
