@@ -1,7 +1,7 @@
 """The sixteen row conditions and the three roll-ups, as Column expressions.
 
-A condition is "Inadequado", "Adequado" or null (nothing known, or not applicable). Each rule is a pair of
-predicates that cannot both hold; a null predicate counts as "does not hold".
+A finding is true (inadequate), false (adequate) or null (nothing known, or not applicable). Findings are
+what rows carry through shuffles and staging; ``label`` turns them into the texts of the component table.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ DENSITY = "_density"
 BURDEN = "_burden"
 SHARED_LOT = "_shared_lot"
 HOMELESS_FLAG = "_homeless"
-MEASURES = (DENSITY, BURDEN, SHARED_LOT)
 
 
 def shared_lot_pattern() -> str:
@@ -41,38 +40,36 @@ def with_measures(df: DataFrame) -> DataFrame:
     ).withColumn(SHARED_LOT, F.when(crowded, F.col(s.COMPLEMENT).rlike(shared_lot_pattern())))
 
 
-def _condition(bad: Column, ok: Column) -> Column:
-    return F.when(bad, F.lit(s.BAD)).when(ok, F.lit(s.OK))
+def _finding(bad: Column, ok: Column) -> Column:
+    """From two predicates that cannot both hold; a null predicate counts as one that does not hold."""
+    return F.when(bad, True).when(ok, False)
 
 
 def _verdict(column: str) -> Column:
-    """The verdict on a category text, null for an unlisted one.
+    """The finding a category text stands for, null for an unlisted text.
 
     A constant map keeps the generated code short: one comparison per text would push the rules, taken
     together, over the method size the JVM is willing to compile.
     """
-    pairs = [f"'{text}', '{verdict}'" for verdict, texts in s.CATEGORIES[column].items() for text in texts]
+    pairs = [
+        f"'{text}', {str(verdict == s.BAD).lower()}"
+        for verdict, texts in s.CATEGORIES[column].items()
+        for text in texts
+    ]
     return F.expr(f"map({', '.join(pairs)})")[F.col(column)]
 
 
-def _rules(corrected: bool) -> dict[str, Column]:
-    """Code -> condition for every code but D05, over rows that carry the measures."""
+def _rules() -> dict[str, Column]:
+    """Code -> finding for every code but D05 and D07, over rows that carry the measures."""
     urban = F.col(s.SITUATION) == s.URBAN
     density, burden = F.col(DENSITY), F.col(BURDEN)
-    families, rooms = F.col(s.FAMILIES), F.col(s.ROOMS)
-
-    cohabiting = families > 1
-    if corrected:
-        cohabiting = cohabiting | F.col(s.ROW_KIND).isin(list(s.COHABITING_ROWS))
-
     return {
         "D01": _verdict(s.DWELLING),
         "D02": _verdict(s.WALLS),
-        "D03": _condition(F.col(SHARED_LOT), ~F.col(SHARED_LOT)),
-        "D04": _condition(cohabiting, families <= 1),
-        "D06": _condition(rooms <= 1, rooms > 1),
-        "D07": F.when(F.col(HOMELESS_FLAG), F.lit(s.BAD)).otherwise(F.lit(s.OK)),
-        "I01": _condition(density >= s.CROWDED, density < s.CROWDED),
+        "D03": F.col(SHARED_LOT),
+        "D04": F.col(s.FAMILIES) > 1,
+        "D06": F.col(s.ROOMS) <= 1,
+        "I01": density >= s.CROWDED,
         "I02": _verdict(s.BATHROOM),
         "I03": _verdict(s.FLOOR),
         "I04": F.when(urban, _verdict(s.PIPED_WATER)),
@@ -80,7 +77,7 @@ def _rules(corrected: bool) -> dict[str, Column]:
         "I06": F.when(urban, _verdict(s.WATER_SUPPLY)),
         "I07": _verdict(s.LIGHTING),
         "I08": F.when(urban, _verdict(s.REFUSE)),
-        "I09": _condition(burden >= s.EXCESSIVE_BURDEN, burden < s.EXCESSIVE_BURDEN),
+        "I09": burden >= s.EXCESSIVE_BURDEN,
     }
 
 
@@ -90,25 +87,26 @@ _RENTAL_INPUTS = ("I01", "I02", "I03", "I04")
 
 def _rental() -> Column:
     inputs = [F.col(c) for c in _RENTAL_INPUTS]
-    bad = reduce(or_, [c == s.BAD for c in inputs])
-    ok = reduce(and_, [c == s.OK for c in inputs])
-    return F.when(F.col(s.RENT) > 0, _condition(bad, ok))
-
+    bad = reduce(or_, inputs)
+    ok = reduce(and_, [~c for c in inputs])
+    return F.when(F.col(s.RENT) > 0, _finding(bad, ok))
 
-def with_conditions(df: DataFrame, codes: Sequence[str], corrected: bool = False) -> DataFrame:
-    """Adds a column per code (and those they depend on); unknown conditions are null.
 
-    ``D07`` needs the boolean ``_homeless``. With ``corrected``, rows added for a cohabiting family count
-    as cohabiting themselves; otherwise their dwelling is unknown and so is their D04.
-    """
+def with_findings(families: DataFrame, codes: Sequence[str]) -> DataFrame:
+    """Adds a boolean column per code (and those it depends on). D07 is not a matter of the row alone."""
     rental = "D05" in codes
     needed = [c for c in codes if c != "D05"]
     needed += [c for c in _RENTAL_INPUTS if rental and c not in needed]
-    rules = _rules(corrected)
-    found = with_measures(df).withColumns({c: rules[c] for c in needed})
+    rules = _rules()
+    found = with_measures(families).withColumns({c: rules[c] for c in needed})
     return found.withColumn("D05", _rental()) if rental else found
 
 
+def label(finding: Column) -> Column:
+    """The text of a finding: "Inadequado", "Adequado" or null."""
+    return F.when(finding, F.lit(s.BAD)).when(~finding, F.lit(s.OK))
+
+
 def any_bad(codes: list[str]) -> Column:
     """Roll-up of filled conditions: bad when one of them is."""
     bad = reduce(or_, [F.col(c) == s.BAD for c in codes])

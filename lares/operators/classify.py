@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lares import schema as s
-from lares.functions.conditions import any_bad, deficit_class, with_conditions
+from lares.functions.conditions import any_bad, deficit_class, label
 
 IDENTITY = (s.ROW_ID, s.KEY, s.ROW_KIND)
 
@@ -47,14 +47,8 @@ def front(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in (*names, *rest)])
 
 
-def classify(
-    base: DataFrame, homeless: bool, corrected: bool = False, carry: Sequence[str] = ()
-) -> DataFrame:
-    """Component table of a stacked base: identity, situation, conditions, roll-ups.
-
-    ``carry`` names further base columns to keep as they are.
-    """
-    identity = [c for c in IDENTITY if c in base.columns]
-    wanted = [*identity, s.SITUATION, *condition_codes(homeless), *carry]
-    selected = with_conditions(base, condition_codes(homeless), corrected).select(*wanted)
-    return add_rollups(fill_missing(selected, (*IDENTITY, *carry)), homeless)
+def label_components(findings: DataFrame, homeless: bool) -> DataFrame:
+    """The component table of rows with findings: identity, situation, conditions as text, roll-ups."""
+    identity = [c for c in IDENTITY if c in findings.columns]
+    texts = [label(F.col(c)).alias(c) for c in condition_codes(homeless)]
+    return add_rollups(fill_missing(findings.select(*identity, s.SITUATION, *texts)), homeless)

@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lares import schema as s
-from lares.functions.conditions import HOMELESS_FLAG
-from lares.operators.classify import classify
+from lares.functions.conditions import HOMELESS_FLAG, with_findings
+from lares.operators.classify import condition_codes, label_components
 from lares.operators.families import (
     DIGEST,
     ORIGIN,
@@ -49,12 +49,7 @@ ORDER_COLUMNS = (DIGEST, ORIGIN)
 FamilyColumns = int | Sequence[str] | None
 
 
-def family_base(
-    registry: DataFrame, layout: Layout, family_columns: FamilyColumns = None
-) -> DataFrame:
-    """The stacked rows every count is taken over; with ``PERSON`` also the homeless flag of each row."""
-    registry = normalise_registry(registry)
-    families = extract_families(registry, family_columns)
+def _stacked(families: DataFrame, registry: DataFrame, layout: Layout) -> DataFrame:
     if not layout.homeless:
         return stack_families(families)
     members = homeless_keys(registry)
@@ -65,6 +60,41 @@ def family_base(
     return stacked.withColumn(HOMELESS_FLAG, F.coalesce(HOMELESS_FLAG, F.lit(True)))
 
 
+def family_base(
+    registry: DataFrame, layout: Layout, family_columns: FamilyColumns = None
+) -> DataFrame:
+    """The stacked rows every count is taken over; with ``PERSON`` also the homeless flag of each row."""
+    registry = normalise_registry(registry)
+    return _stacked(extract_families(registry, family_columns), registry, layout)
+
+
+def findings(
+    registry: DataFrame,
+    layout: Layout,
+    corrected: bool = False,
+    family_columns: FamilyColumns = None,
+) -> DataFrame:
+    """The rows of ``family_base`` with a boolean finding per code in place of the family's columns.
+
+    The rules read family rows only, so they are applied before rows are marked, stacked and sorted: what
+    is shuffled from there on is a key, a situation and some booleans.
+    """
+    registry = normalise_registry(registry)
+    families = extract_families(registry, family_columns)
+    codes = condition_codes(homeless=False)
+    narrow = with_findings(families, codes).select(
+        s.KEY, s.SITUATION, s.FAMILIES, *codes, *ORDER_COLUMNS
+    )
+    stacked = _stacked(narrow, registry, layout)
+    added = {}
+    if corrected:
+        cohabiting = F.col(s.ROW_KIND).isin(list(s.COHABITING_ROWS))
+        added["D04"] = F.when(cohabiting, True).otherwise(F.col("D04"))
+    if layout.homeless:
+        added[s.HOMELESS_CODE] = F.col(HOMELESS_FLAG)
+    return stacked.withColumns(added) if added else stacked
+
+
 def stacking_order() -> list[Column]:
     """Row kind in stacking order, then key (nulls first), then content by its digest.
 
@@ -91,10 +121,9 @@ def components(
     family_columns: FamilyColumns = None,
 ) -> DataFrame:
     """The component table, numbered. Writes a staging table (see ``sequential_id``)."""
-    base = family_base(registry, layout, family_columns)
-    table = classify(base, layout.homeless, corrected, carry=ORDER_COLUMNS)
-    keep = [c for c in table.columns if c not in ORDER_COLUMNS]
-    return sequential_id(table, stacking_order(), keep, s.ROW_ID)
+    found = findings(registry, layout, corrected, family_columns)
+    keep = [s.KEY, s.ROW_KIND, s.SITUATION, *condition_codes(layout.homeless)]
+    return label_components(sequential_id(found, stacking_order(), keep, s.ROW_ID), layout.homeless)
 
 
 def unnumbered_components(
@@ -104,7 +133,7 @@ def unnumbered_components(
     family_columns: FamilyColumns = None,
 ) -> DataFrame:
     """The component table without row numbers, which no count needs."""
-    return classify(family_base(registry, layout, family_columns), layout.homeless, corrected)
+    return label_components(findings(registry, layout, corrected, family_columns), layout.homeless)
 
 
 def summary(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lares import FAMILY, PERSON, Totals, components, report
 from lares import schema as s
 from lares.functions.arithmetic import plain_digits, ratio, round_share
-from lares.functions.conditions import shared_lot_pattern, with_conditions
+from lares.functions.conditions import label, shared_lot_pattern, with_findings
 from lares.operators import families as fam
 from lares.operators import summary as sm
 from lares.operators.classify import summary_codes
@@ -34,7 +34,8 @@ def registry(spark, *rows):
 
 def condition(spark, code, **changes):
     row = {getattr(s, k): v for k, v in changes.items()}
-    return with_conditions(normalise_registry(registry(spark, row)), [code]).first()[code]
+    found = with_findings(normalise_registry(registry(spark, row)), [code])
+    return found.select(label(F.col(code))).first()[0]
 
 
 CASES = [

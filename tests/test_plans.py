@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from lares import FAMILY, PERSON, report
 from lares import schema as s
-from lares.operators.classify import classify
-from lares.plans.housing import ORDER_COLUMNS, family_base, unnumbered_components
+from lares.plans.housing import family_base, findings, stacking_order, unnumbered_components
 from lares.sources.registry import read_registry
 from standin import standin_persons
 
@@ -52,9 +51,11 @@ def static_plans(spark):
 @pytest.mark.parametrize("corrected", [False, True])
 def test_stages_stay_compilable(spark, registry, static_plans, layout, corrected, broadcast):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
-    base = family_base(registry, layout, 66)
+    order = stacking_order()
     for df in (
-        classify(base, layout.homeless, corrected, carry=ORDER_COLUMNS),
+        family_base(registry, layout, 66).repartitionByRange(*order),
+        findings(registry, layout, corrected, 66).repartitionByRange(*order),
+        unnumbered_components(registry, layout, corrected, 66),
         report(registry, layout, corrected, family_columns=66),
     ):
         sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", explain(df, "codegen"))]
