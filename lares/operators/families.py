@@ -104,7 +104,8 @@ def stack_families(families: DataFrame, homeless: DataFrame | None = None) -> Da
 
     Same rows as ``stack_tables(families, homeless_rows, cohabiting_rows)`` without the text IDs and the
     preset conditions, but ``families`` is evaluated once: every family row is exploded into its row kinds
-    and added rows keep the key only (and ``_origin``, which tells apart otherwise equal added rows).
+    and added rows keep the key only. Columns with a leading underscore are not attributes and stay; among
+    them ``_origin`` tells apart added rows that are otherwise equal.
     """
     kinds = F.array(*[F.lit(k) for k in (s.FAMILY_ROW, *s.COHABITING_ROWS)])
     columns = [c for c in families.columns if c not in (TEXT_ID, s.ROW_KIND)]

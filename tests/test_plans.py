@@ -9,7 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lares import FAMILY, PERSON, report
+from lares import FAMILY, PERSON, components, report
 from lares import schema as s
 from lares.plans.housing import family_base, findings, stacking_order, unnumbered_components
 from lares.sources.registry import read_registry
@@ -92,3 +92,28 @@ def test_no_unbounded_single_partition(spark, registry, static_plans):
 def test_no_python_workers(spark, registry, static_plans):
     plan = explain(report(registry, PERSON), "formatted")
     assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
+
+
+@pytest.mark.parametrize(
+    "settings",
+    [
+        {"spark.sql.shuffle.partitions": "1"},
+        {"spark.sql.shuffle.partitions": "37", "spark.sql.adaptive.enabled": "false"},
+        {
+            "spark.sql.shuffle.partitions": "13",
+            "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        },
+    ],
+)
+def test_numbers_do_not_depend_on_the_partitioning(spark, small, settings):
+    persons = standin_persons(spark, small)
+    wanted = sorted(components(persons, PERSON).collect())
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        assert sorted(components(persons, PERSON).collect()) == wanted
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
