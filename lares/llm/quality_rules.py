@@ -59,11 +59,7 @@ MEASURES = (
 
 
 def _occurrences(text: Column, characters: str) -> Column:
-    """How often the ASCII characters occur: bytes lost when they are taken out."""
-    left = text
-    for c in characters:
-        left = F.replace(left, F.lit(c))
-    return (F.octet_length(text) - F.octet_length(left)).cast("bigint")
+    return F.regexp_count(text, F.lit(f"[{characters}]")).cast("bigint")
 
 
 def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -71,8 +67,10 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     element would compute them again."""
     kept = [docs[c] for c in docs.columns if c not in MEASURES]
     value = F.coalesce(docs[text].cast("string"), F.lit(""))
-    trimmed = F.btrim(value, F.lit(_SPACES))
-    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[\\x20\\x09-\\x0D]+"))
+    spaced = value
+    for c in _SPACES[1:]:
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    words = F.array_remove(F.split(spaced, " "), "")
     lines = F.filter(F.split(value, "\n"), lambda line: F.btrim(line, F.lit(_SPACES)) != "")
     cut = docs.select(
         *kept,
@@ -101,14 +99,14 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     # Windows with an equal one elsewhere stand beside it when sorted; texts without any skip the sort.
     g = F.col("_windows")
     found = [*rest, *(m for m in MEASURES if m != "n_repeat_words")]
-    placed = F.array_sort(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    placed = F.sort_array(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     sorted_ = counted.select(*found, F.when(F.size(F.array_distinct(g)) < F.size(g), placed).alias("_placed"))
     p = F.col("_placed")
     starts = F.transform(
         p,
         lambda x, j: F.when((x["h"] == F.get(p, j - 1)["h"]) | (x["h"] == F.get(p, j + 1)["h"]), x["i"]),
     )
-    marked = sorted_.select(*found, F.array_sort(F.filter(starts, F.isnotnull)).alias("_starts"))
+    marked = sorted_.select(*found, F.sort_array(F.filter(starts, F.isnotnull)).alias("_starts"))
     # Each window adds its words up to the start of the next one.
     s = F.col("_starts")
     new_words = F.transform(s, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(s, j + 1) - x, F.lit(3))))
