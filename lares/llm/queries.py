@@ -7,12 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lares.llm import bpe, quality_rules, secret_scan, token_counts
+from lares.llm import bpe, quality_fm, quality_rules, secret_scan, sharding, token_counts
 from lares.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_fm.score(docs, quality_fm.fit(docs, labels))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(documents(spark, sf_dir), shards=8)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
@@ -33,6 +42,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_quality_fm": op3_quality_fm,
+        "op4_sharding": op4_sharding,
         "op7_quality_rules": op7_quality_rules,
         "op8_secret_scan": op8_secret_scan,
         "op9_bpe_round_trip": op9_bpe_round_trip,
