@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lares.llm import bpe, quality_fm, quality_rules, secret_scan, sharding, token_counts
+from lares.llm import bpe, lm_bloom, quality_fm, quality_rules, secret_scan, sharding, token_counts
 from lares.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir), shards=8)
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_bloom.score(documents(spark, sf_dir))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
@@ -44,6 +48,7 @@ def queries() -> dict[str, Query]:
     return {
         "op3_quality_fm": op3_quality_fm,
         "op4_sharding": op4_sharding,
+        "op6_lm_scores": op6_lm_scores,
         "op7_quality_rules": op7_quality_rules,
         "op8_secret_scan": op8_secret_scan,
         "op9_bpe_round_trip": op9_bpe_round_trip,
