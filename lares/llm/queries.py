@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lares.llm import bpe, lm_bloom, quality_fm, quality_rules, secret_scan, sharding, token_counts
+from lares.llm import bpe, decontaminate, lm_bloom, quality_fm, quality_rules, secret_scan, sharding, token_counts
 from lares.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_fm.score(docs, quality_fm.fit(docs, labels))
@@ -46,6 +50,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_decontaminate": op1_decontaminate,
         "op3_quality_fm": op3_quality_fm,
         "op4_sharding": op4_sharding,
         "op6_lm_scores": op6_lm_scores,
