@@ -1,7 +1,7 @@
 """Benchmark items in documents, also with other numbers, names and units.
 
 A text becomes a template: punctuation around words goes, words without a letter or digit go, words are lower-cased
-(A-Z), numbers become one placeholder, units after a number another. A second template of the same words makes
+(A-Z and Latin-1), numbers become one placeholder, units after a number another. A second template of the same words makes
 capitalised words a placeholder, too. Both are cut into windows of WINDOW words (an item of fewer words, but at
 least SHORTEST, is one window); windows of which fewer than LITERALS words are literal are left out.
 
@@ -63,6 +63,15 @@ def _hash(strings: list[str]) -> np.ndarray:
 _UNIT_HASHES = np.sort(_hash(UNITS))
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with A-Z and the capitals of Latin-1 (two bytes, the first C3) in lower case."""
+    out = LOWER[data]
+    second = np.flatnonzero(data[:-1] == 0xC3) + 1
+    capital = second[(data[second] >= 0x80) & (data[second] <= 0x9E) & (data[second] != 0x97)]
+    out[capital] += 32
+    return out
+
+
 class Templates:
     """The words of texts as two sequences of hashes, and the value of each slot (0: literal)."""
 
@@ -79,7 +88,7 @@ class Templates:
         full = starts < ends
         starts, ends = starts[full], ends[full]
         self.first = np.concatenate([[0], np.cumsum(full)])[words.first]
-        values = span_hashes(prefix_hashes(LOWER[texts.data]), starts, ends)
+        values = span_hashes(prefix_hashes(lowered(texts.data)), starts, ends)
         number = _DIGIT[texts.data[starts]]
         at = np.minimum(np.searchsorted(_UNIT_HASHES, values), len(_UNIT_HASHES) - 1)
         unit = np.zeros(len(values), bool)
