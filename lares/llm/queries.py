@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lares.llm import bpe, decontaminate, lm_bloom, quality_fm, quality_rules, secret_scan, sharding, token_counts
+import corpus_pipeline
+
+from lares.llm import bpe, decontaminate, jaccard_join, lm_bloom, quality_fm, quality_rules, secret_scan, sharding, token_counts
 from lares.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +19,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(documents(spark, sf_dir))
+
+
 def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_fm.score(docs, quality_fm.fit(docs, labels))
@@ -51,6 +57,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": op1_decontaminate,
+        "op2_jaccard_join": op2_jaccard_join,
         "op3_quality_fm": op3_quality_fm,
         "op4_sharding": op4_sharding,
         "op6_lm_scores": op6_lm_scores,
@@ -58,6 +65,7 @@ def queries() -> dict[str, Query]:
         "op8_secret_scan": op8_secret_scan,
         "op9_bpe_round_trip": op9_bpe_round_trip,
         "op10_token_counts": op10_token_counts,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -53,6 +53,8 @@ IDENTIFIERS = (
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 00000000 11111111 xxxxxxxx XXXXXXXX "
     "2020-01-01T00:00:00Z 127.0.0.1 192.168.0.1 test_token_123 your_api_key_here placeholder changeme"
 )
+#: What stands for a masked secret.
+MARK = "[SECRET]"
 REACH = 64
 SURROUNDINGS = 256
 SHORTEST = 16
@@ -135,6 +137,36 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return keyed_texts(docs, key, text).mapInArrow(run, schema)
 
 
+def masked(text: str) -> str:
+    """The text with a mark in place of each stretch of reported spans."""
+    out, done = [], 0
+    for start, _, end in find_spans(text):
+        if end > done:
+            if start >= done:
+                out += [text[done:start], MARK]
+            done = end
+    return "".join([*out, text[done:]])
+
+
+def redact(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
+    """The same rows and columns with masked texts, and their length in code points if there is such a column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            whole = batch.column(at)
+            clean = [masked(t) for _, texts in str_slices(whole) for t in texts]
+            clean = pa.array(clean, pa.string(), mask=whole.is_null().to_numpy(zero_copy_only=False))
+            columns = [clean if i == at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    clean = docs.mapInArrow(run, docs.schema)
+    if length not in docs.columns:
+        return clean
+    counted = F.length(text).cast(docs.schema[length].dataType)
+    return clean.withColumn(length, F.when(F.col(text).isNull(), F.col(length)).otherwise(counted))
+
+
 def span_list(spans: Column) -> Column:
     """kind:start:end of each span, joined by commas."""
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
