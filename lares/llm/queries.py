@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from lares.llm import bpe, decontaminate, jaccard_join, lm_bloom, quality_fm, quality_rules, secret_scan, sharding, token_counts
+from lares.llm import bpe, decontaminate, jaccard_join, lm_bloom, quality_fm, quality_rules, secret_scan, sharding, suffix_dedup, token_counts
 from lares.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir), shards=8)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_bloom.score(documents(spark, sf_dir))
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Query]:
         "op2_jaccard_join": op2_jaccard_join,
         "op3_quality_fm": op3_quality_fm,
         "op4_sharding": op4_sharding,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_lm_scores": op6_lm_scores,
         "op7_quality_rules": op7_quality_rules,
         "op8_secret_scan": op8_secret_scan,
