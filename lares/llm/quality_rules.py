@@ -111,6 +111,9 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     s = F.col("_starts")
     new_words = F.transform(s, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(s, j + 1) - x, F.lit(3))))
     total = F.aggregate(new_words, F.lit(0), lambda a, b: a + b)
+    # The partition's number, never negative, keeps a filter on the result above these steps: pushed below them it
+    # would be written out in terms of the text, arrays computed again for each element.
+    total = F.when(F.spark_partition_id() >= 0, total)
     return marked.select(*found, F.coalesce(total, F.lit(0)).cast("bigint").alias("n_repeat_words"))
 
 
