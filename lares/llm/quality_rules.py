@@ -10,7 +10,7 @@ n_stop (words that are stop words). Windows are compared by a 64-bit hash within
 A rule of RULES compares a ratio of two measures with a bound; a text passes when it breaks no rule. A rule whose
 divisor is 0 is not broken. base_failed is the fixed part (too few words, or too many of them repeated); kept
 needs it false, too. There is no shuffle; rows are judged one by one, so repeated rows and ties need no care, and other
-columns pass through. Columns of the input named as a measure are replaced.
+columns pass through, but for those that bear a name in RESERVED.
 """
 
 from __future__ import annotations
@@ -56,6 +56,8 @@ RULES = (
 MEASURES = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs", "n_stop",
 )
+#: Columns of the input with these names, in any case, are replaced or left out.
+RESERVED = {*MEASURES, "base_failed", "kept", "_words", "_lines", "_windows", "_placed", "_starts"}
 
 
 def _occurrences(text: Column, characters: str) -> Column:
@@ -65,7 +67,7 @@ def _occurrences(text: Column, characters: str) -> Column:
 def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the measures. Arrays that a function over elements reads are columns of a step of their own, or each
     element would compute them again."""
-    kept = [docs[c] for c in docs.columns if c not in MEASURES]
+    rest = [c for c in docs.columns if c.lower() not in RESERVED]
     value = F.coalesce(docs[text].cast("string"), F.lit(""))
     spaced = value
     for c in _SPACES[1:]:
@@ -73,7 +75,7 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     words = F.array_remove(F.split(spaced, " "), "")
     lines = F.filter(F.split(value, "\n"), lambda line: F.btrim(line, F.lit(_SPACES)) != "")
     cut = docs.select(
-        *kept,
+        *rest,
         words.alias("_words"),
         lines.alias("_lines"),
         _occurrences(value, _SYMBOLS).alias("n_symbols"),
@@ -84,7 +86,6 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
         n >= 3,
         F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))),
     )
-    rest = [c for c in docs.columns if c not in MEASURES]
     counted = cut.select(
         *rest,
         "n_symbols",
@@ -133,6 +134,6 @@ def compile_rules(rules: tuple[Rule, ...]) -> Column:
 
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The input's columns, the measures, base_failed and kept."""
-    measured = with_measures(docs.drop("base_failed", "kept"), text)
+    measured = with_measures(docs, text)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return measured.withColumn("base_failed", failed).withColumn("kept", ~failed & compile_rules(rules))
