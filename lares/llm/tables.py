@@ -25,12 +25,8 @@ def keyed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a session without it (a test) gets one beside its warehouse."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """spark.checkpoint.dir; without it (a session of a test) a folder in the warehouse, which is shared as well."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -88,7 +88,8 @@ def normal(text):
 
 def test_leaks(spark, medium, rows_of):
     items = {r.item_id: normal(r.text) for r in spark.read.parquet(f"{medium}/benchmark.parquet").collect()}
-    whole = {(key, i) for key, t in rows_of(medium) for i, item in items.items() if f" {item} " in f" {normal(t)} "}
+    texts = [(key, f" {normal(t)} ") for key, t in rows_of(medium)]
+    whole = {(key, i) for key, t in texts for i, item in items.items() if f" {item} " in t}
     got = {(r.doc_id, r.item_id) for r in queries.op1_decontaminate(spark, medium).collect()}
     assert whole and got == whole
 
@@ -287,7 +288,8 @@ def brute_pipeline(rows, items, encode, kept_by_rules):
     rows = [(k, t) for k, t in rows if k in kept_by_rules]
     together = brute.groups([t for _, t in rows])
     rows = [r for i, r in enumerate(rows) if r[0] == min(rows[m][0] for m in together[i])]
-    rows = [(k, t) for k, t in rows if not any(f" {item} " in f" {normal(t)} " for item in items)]
+    texts = {k: f" {normal(t)} " for k, t in rows}
+    rows = [(k, t) for k, t in rows if not any(f" {item} " in texts[k] for item in items)]
     return {k: encode(secret_scan.masked(t)) for k, t in rows}
 
 
