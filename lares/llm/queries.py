@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from lares.llm import bpe, decontaminate, jaccard_join, lm_bloom, quality_fm, quality_rules, secret_scan, sharding, suffix_dedup, token_counts
+from lares.llm import bpe, decontaminate, jaccard_join, lm_bloom, oracle, quality_fm, quality_rules, secret_scan, sharding, suffix_dedup, token_counts
 from lares.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,4 +75,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_jaccard_join": oracle.JACCARD_JOIN, "op7_quality_rules": oracle.QUALITY_RULES}
