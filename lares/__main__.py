@@ -11,7 +11,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from lares import FAMILY, PERSON, Totals, read_registry, write_results
+from lares import FAMILY, PERSON, Staging, Totals, read_registry, write_results
 
 
 def _arguments(argv: list[str] | None) -> argparse.Namespace:
@@ -19,6 +19,10 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     parser.add_argument("--registry", required=True, help="folder or file of the extract")
     parser.add_argument("--format", default="parquet", choices=["parquet", "orc", "csv"])
     parser.add_argument("--separator", default=",", help="column separator of a csv extract")
+    parser.add_argument("--decimal", default=".", choices=[".", ","], help="decimal mark of a csv extract")
+    parser.add_argument("--lenient", action="store_true", help="take cells that should be numbers and are none as missing")
+    parser.add_argument("--multiline", action="store_true", help="a csv extract has quoted line breaks")
+    parser.add_argument("--staging", help="folder for tables in between; default: spark.checkpoint.dir")
     parser.add_argument("--layout", default="person", choices=["family", "person"])
     parser.add_argument("--family-columns", type=int, help="how many leading columns describe the family")
     parser.add_argument("--corrected", action="store_true")
@@ -30,8 +34,9 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
 def main(argv: list[str] | None = None) -> None:
     args = _arguments(argv)
     spark = SparkSession.builder.appName("lares").getOrCreate()
-    options = {"sep": args.separator} if args.format == "csv" else {}
-    registry = read_registry(spark, args.registry, args.format, **options)
+    options = {"sep": args.separator, "multiLine": args.multiline} if args.format == "csv" else {}
+    staging = Staging(spark, args.staging)
+    registry = read_registry(spark, args.registry, args.format, args.decimal, args.lenient, staging, **options)
     report = write_results(
         registry,
         args.output,
@@ -39,6 +44,7 @@ def main(argv: list[str] | None = None) -> None:
         args.corrected,
         Totals(*args.totals) if args.totals else None,
         args.family_columns,
+        staging,
     )
     report.show(20, truncate=False)
 

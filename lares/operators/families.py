@@ -21,6 +21,8 @@ def family_slice(registry: DataFrame, family_columns: int | Sequence[str] | None
     if family_columns is None:
         family_columns = s.FAMILY_COLUMNS
     elif isinstance(family_columns, int):
+        if len(registry.columns) < family_columns:
+            raise ValueError(f"registry has {len(registry.columns)} columns, its family part should have {family_columns}")
         family_columns = registry.columns[:family_columns]
     return registry.select(*[F.col(f"`{c}`") for c in family_columns])
 
@@ -74,9 +76,16 @@ def _extra_families() -> Column:
 
 def homeless_keys(registry: DataFrame) -> DataFrame:
     """Keys with at least one person marked homeless, each once (a null key is a key)."""
+    if dict(registry.dtypes).get(s.HOMELESS) != "string":
+        raise ValueError(f"the registry needs a text column {s.HOMELESS!r}")
     return registry.filter(F.col(s.HOMELESS) == s.HOMELESS_YES).select(s.KEY).distinct()
 
 
+def homeless_family_count(registry: DataFrame) -> DataFrame:
+    """One row: the number of distinct keys with a person marked homeless."""
+    return homeless_keys(registry).agg(F.count("*").alias("homeless_families"))
+
+
 def homeless_rows(keys: DataFrame) -> DataFrame:
     """One added row per homeless key."""
     rows = keys.withColumns({s.HOMELESS_CODE: F.lit(s.BAD), s.ROW_KIND: F.lit(s.HOMELESS_ROW)})

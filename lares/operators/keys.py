@@ -6,29 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_HOT_KEYS = 50_000
-MIN_HOT_ROWS = 1_000_000
+#: A key is hot above this part of an even share of the shuffle partitions.
+SHARE = 0.25
 
 _SPREAD = "_spread"
 _PIECES = "_pieces"
 
 
-def hot_keys(
-    rows: DataFrame, key: str, max_keys: int = MAX_HOT_KEYS, min_rows: int = MIN_HOT_ROWS
-) -> DataFrame:
+def hot_keys(rows: DataFrame, key: str, max_keys: int | None = None) -> DataFrame:
     """Keys with more than ``1 / max_keys`` of all rows, and into how many pieces to cut each.
 
-    Fewer than ``max_keys`` keys can hold that much, and their pieces sum to less than twice as many, so
-    both this table and anything it multiplies stay bounded whatever the input size. Reads the key column
+    The rule is the same at every size: unless given, ``max_keys`` follows the number of shuffle partitions,
+    a quarter of whose even share a key may hold in one piece, up to ``MAX_HOT_KEYS``. Fewer than
+    ``max_keys`` keys can hold that much, and their pieces sum to less than twice as many, so both this table
+    and anything it multiplies stay bounded. No key gets more pieces than it has rows. Reads the key column
     only. A null key counts like any other.
     """
-    limit = F.greatest(
-        F.lit(float(min_rows)),
-        rows.agg(F.count("*").cast("double")).scalar() / F.lit(float(max_keys)),
-    )
+    if max_keys is None:
+        partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        max_keys = min(MAX_HOT_KEYS, int(partitions / SHARE))
+    limit = rows.agg(F.count("*").cast("double")).scalar() / F.lit(float(max_keys))
     counts = rows.groupBy(key).agg(F.count("*").alias("_rows"))
-    return counts.filter(F.col("_rows") > limit).select(
-        key, F.ceil(F.col("_rows") / limit).cast("int").alias(_PIECES)
-    )
+    pieces = F.least(F.ceil(F.col("_rows") / limit), F.col("_rows")).cast("int")
+    return counts.filter(F.col("_rows") > limit).select(key, pieces.alias(_PIECES)).filter(f"{_PIECES} > 1")
 
 
 def _same_key(left: DataFrame, right: DataFrame, key: str) -> Column:

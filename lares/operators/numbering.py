@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lares.sources.staging import staged_table
+from lares.sources.staging import Staging
 
 _POSITION = "_position"
 _PART = "_part"
@@ -15,11 +15,11 @@ _POSITION_BITS = 33  # monotonically_increasing_id: partition number above, posi
 
 
 def sequential_id(
-    df: DataFrame, order_by: Sequence[Column], keep: Sequence[str], name: str
+    df: DataFrame, order_by: Sequence[Column], keep: Sequence[str], name: str, staging: Staging | None = None
 ) -> DataFrame:
     """``keep`` columns plus ``name`` = 1..N in the given order.
 
-    The rows are range-partitioned, sorted within each partition and written to the staging folder along
+    Runs a job: the rows are range-partitioned, sorted within each partition and written to the staging folder along
     with their position, so that a lost executor cannot move a row after its number is known. A number is
     then the position plus the size of the partitions before. ``order_by`` should tell rows apart, so that a
     frequent key can be cut across partitions, and be narrow, as samples of it go to the driver.
@@ -30,7 +30,7 @@ def sequential_id(
         .withColumn(_POSITION, F.monotonically_increasing_id())
         .select(*[F.col(f"`{c}`") for c in keep], _POSITION)
     )
-    saved = staged_table(ordered, "numbered").withColumn(
+    saved = (staging or Staging(df.sparkSession)).table(ordered, "numbered").withColumn(
         _PART, F.shiftright(_POSITION, _POSITION_BITS)
     )
     # One row per shuffle partition: small by construction, so one task and a broadcast are fine.

@@ -72,12 +72,13 @@ def _bad_of(code: str) -> Column:
     return F.max(F.when(F.col(s.CODE) == code, F.col(s.BAD))).over(everything)
 
 
-def summarise(counts: DataFrame, totals: Totals | None) -> DataFrame:
+def summarise(counts: DataFrame, totals: Totals | None, corrected: bool = False) -> DataFrame:
     """Shares for all codes, and the adjusted "no data" count of inadequacy codes.
 
-    With ``totals`` None the denominators are the counts of the roll-ups themselves, and the rows added
-    back are those that were left out.
+    With ``totals`` None the denominators are the counts of the roll-ups themselves. The rows added back are
+    the given deficit figure as originally defined, and those that were left out if ``corrected``.
     """
+    left_out = _bad_of(s.DEFICIT) if totals is None or corrected else F.lit(totals.deficit)
     deficit = _bad_of(s.DEFICIT) if totals is None else F.lit(totals.deficit)
     inadequacy = _bad_of(s.INADEQUACY) if totals is None else F.lit(totals.inadequacy)
     is_deficit = F.col(s.CODE).isin([*s.DEFICIT_CODES, s.HOMELESS_CODE, s.DEFICIT])
@@ -85,7 +86,7 @@ def summarise(counts: DataFrame, totals: Totals | None) -> DataFrame:
     denominator = F.when(is_deficit, deficit).otherwise(inadequacy).cast("double")
     return counts.withColumns(
         {
-            s.MISSING: F.when(is_deficit, missing).otherwise(missing + deficit),
+            s.MISSING: F.when(is_deficit, missing).otherwise(missing + left_out),
             s.SHARE: ratio(F.col(s.BAD).cast("double"), denominator),
         }
     )

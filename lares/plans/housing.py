@@ -33,20 +33,29 @@ from lares.operators.numbering import sequential_id
 from lares.operators.summary import Totals, condition_counts, present, summarise
 from lares.sources.exports import write_components, write_csv2, write_report
 from lares.sources.registry import normalise_registry
+from lares.sources.staging import Staging
+
+
+FamilyColumns = int | Sequence[str] | None
 
 
 @dataclass(frozen=True)
 class Layout:
     homeless: bool
     totals: Totals  # fixed figures of the extract each layout was written for
+    family_columns: FamilyColumns  # the leading columns that describe the family, or their names
 
 
-FAMILY = Layout(homeless=False, totals=Totals(deficit=6020, inadequacy=22890))
-PERSON = Layout(homeless=True, totals=Totals(deficit=6917, inadequacy=22891))
+FAMILY = Layout(homeless=False, totals=Totals(deficit=6020, inadequacy=22890), family_columns=66)
+PERSON = Layout(homeless=True, totals=Totals(deficit=6917, inadequacy=22891), family_columns=38)
 
 ORDER_COLUMNS = (DIGEST, ORIGIN)
 
-FamilyColumns = int | Sequence[str] | None
+
+def families(registry: DataFrame, layout: Layout, family_columns: FamilyColumns = None) -> DataFrame:
+    """Distinct family rows over the layout's family columns, unless others are given."""
+    chosen = layout.family_columns if family_columns is None else family_columns
+    return extract_families(normalise_registry(registry), chosen)
 
 
 def _stacked(families: DataFrame, registry: DataFrame, layout: Layout) -> DataFrame:
@@ -65,7 +74,7 @@ def family_base(
 ) -> DataFrame:
     """The stacked rows every count is taken over; with ``PERSON`` also the homeless flag of each row."""
     registry = normalise_registry(registry)
-    return _stacked(extract_families(registry, family_columns), registry, layout)
+    return _stacked(families(registry, layout, family_columns), registry, layout)
 
 
 def findings(
@@ -80,9 +89,8 @@ def findings(
     is shuffled from there on is a key, a situation and some booleans.
     """
     registry = normalise_registry(registry)
-    families = extract_families(registry, family_columns)
     codes = condition_codes(homeless=False)
-    narrow = with_findings(families, codes).select(
+    narrow = with_findings(families(registry, layout, family_columns), codes).select(
         s.KEY, s.SITUATION, s.FAMILIES, *codes, *ORDER_COLUMNS
     )
     stacked = _stacked(narrow, registry, layout)
@@ -108,10 +116,10 @@ def stacking_order() -> list[Column]:
     return [lead.asc(), F.col(s.KEY).asc_nulls_first(), F.col(DIGEST).asc(), F.col(ORIGIN).asc()]
 
 
-def number_base(base: DataFrame) -> DataFrame:
-    """The stacked base with ``ID`` = 1..N in stacking order."""
+def number_base(base: DataFrame, staging: Staging | None = None) -> DataFrame:
+    """The stacked base with ``ID`` = 1..N in stacking order. Runs a job and writes a staging table."""
     keep = [c for c in base.columns if not c.startswith("_")]
-    return sequential_id(base, stacking_order(), keep, s.ROW_ID)
+    return sequential_id(base, stacking_order(), keep, s.ROW_ID, staging)
 
 
 def components(
@@ -119,11 +127,14 @@ def components(
     layout: Layout = PERSON,
     corrected: bool = False,
     family_columns: FamilyColumns = None,
+    staging: Staging | None = None,
 ) -> DataFrame:
-    """The component table, numbered. Writes a staging table (see ``sequential_id``)."""
+    """The component table, numbered. Runs a job and writes a staging table (see ``sequential_id``), which the
+    caller may clear through ``staging`` when done."""
     found = findings(registry, layout, corrected, family_columns)
     keep = [s.KEY, s.ROW_KIND, s.SITUATION, *condition_codes(layout.homeless)]
-    return label_components(sequential_id(found, stacking_order(), keep, s.ROW_ID), layout.homeless)
+    numbered = sequential_id(found, stacking_order(), keep, s.ROW_ID, staging)
+    return label_components(numbered, layout.homeless)
 
 
 def unnumbered_components(
@@ -152,7 +163,7 @@ def _summary_of(
     table: DataFrame, layout: Layout, corrected: bool, totals: Totals | None
 ) -> DataFrame:
     figures = totals or (None if corrected else layout.totals)
-    return summarise(condition_counts(table, corrected), figures)
+    return summarise(condition_counts(table, corrected), figures, corrected)
 
 
 def report(
@@ -173,17 +184,25 @@ def write_results(
     corrected: bool = False,
     totals: Totals | None = None,
     family_columns: FamilyColumns = None,
+    staging: Staging | None = None,
 ) -> DataFrame:
-    """Writes the component table and the report under ``folder`` and returns the report.
+    """Writes the component table and the report under ``folder`` and returns the report as written.
 
     The family layout gets its component table as text, the person layout as Parquet. The report is
-    counted from the table just written, so the registry is processed once.
+    counted once, from the numbered table, so the registry is processed once; its rows, one per code, are
+    held by the session from then on, and the staging tables are deleted.
     """
-    table = components(registry, layout, corrected, family_columns)
-    if layout.homeless:
-        write_components(table, f"{folder}/components")
-    else:
-        write_csv2(table, f"{folder}/components")
-    result = present(_summary_of(table, layout, corrected, totals))
-    write_report(result, f"{folder}/report")
+    spark = registry.sparkSession
+    staging = staging or Staging(spark)
+    try:
+        table = components(registry, layout, corrected, family_columns, staging)
+        if layout.homeless:
+            write_components(table, f"{folder}/components")
+        else:
+            write_csv2(table, f"{folder}/components")
+        counted = present(_summary_of(table, layout, corrected, totals))
+        result = spark.createDataFrame(counted.collect(), counted.schema)
+        write_report(result, f"{folder}/report")
+    finally:
+        staging.clear()
     return result

@@ -12,9 +12,10 @@ CSV2 = {"sep": ";", "header": True, "nullValue": "NA", "quote": '"', "escape": '
 
 def write_csv2(df: DataFrame, path: str, mode: str = "error") -> None:
     """Semicolon-separated text with decimal commas, a header and ``NA`` for missing values."""
-    fractional = {name for name, kind in df.dtypes if kind in ("double", "float") or kind.startswith("decimal")}
+    fractional = {name: kind for name, kind in df.dtypes if kind in ("double", "float") or kind.startswith("decimal")}
     columns = [
-        plain_digits(F.col(f"`{c}`")).alias(c) if c in fractional else F.col(f"`{c}`") for c in df.columns
+        plain_digits(F.col(f"`{c}`"), fractional[c]).alias(c) if c in fractional else F.col(f"`{c}`")
+        for c in df.columns
     ]
     df.select(*columns).write.mode(mode).options(**CSV2).csv(path)
 

@@ -1,4 +1,7 @@
-"""DuckDB SQL with the same results as the registered queries, written out independently of the library."""
+"""DuckDB SQL with the same results as the registered queries, written out independently of the library.
+
+Column names, category texts, codes, component names and the listed address words are fixed values.
+"""
 
 from __future__ import annotations
 
@@ -76,6 +79,13 @@ FAMILIES = f"""
 fam AS (SELECT DISTINCT k, {", ".join(ATTRIBUTES)} FROM persons),
 street_keys AS (SELECT DISTINCT k FROM persons WHERE street = 'Sim')"""
 
+
+def _wide_persons(further: int) -> str:
+    """The stand-in with family columns that no rule knows."""
+    extras = "".join(f',\n    CAST(o_orderkey % {i + 1} AS VARCHAR) AS "outra {i}"' for i in range(1, further + 1))
+    return PERSONS.replace("\n  FROM orders", f"{extras}\n  FROM orders")
+
+
 # Orders the rows of one key; any fixed order would do.
 _DIGEST = "md5(concat_ws('|', " + ", ".join(f"COALESCE(CAST({a} AS VARCHAR), '?')" for a in ATTRIBUTES) + "))"
 
@@ -244,18 +254,22 @@ counts AS (
 )"""
 
 
-def _summary(homeless: bool, corrected: bool = False) -> str:
-    if corrected:
-        d = "(SELECT bad FROM counts WHERE code = 'Déficit')"
-        i = "(SELECT bad FROM counts WHERE code = 'Inadequação')"
-    else:
-        d, i = ("6917", "22891") if homeless else ("6020", "22890")
+def _share(total: str) -> str:
+    """bad / total; x/0 is an infinity, 0/0 unknown."""
+    return f"CASE WHEN {total} <> 0 THEN CAST(bad AS DOUBLE) / {total} WHEN bad > 0 THEN CAST('inf' AS DOUBLE) END"
+
+
+def _summary(homeless: bool, corrected: bool = False, totals: tuple[str, str] | None = None) -> str:
+    d = counted = "(SELECT bad FROM counts WHERE code = 'Déficit')"
+    i = "(SELECT bad FROM counts WHERE code = 'Inadequação')"
+    if totals or not corrected:
+        d, i = totals or (("6917", "22891") if homeless else ("6020", "22890"))
     return f"""{_counts(homeless, corrected)},
 summary AS (
-  SELECT code, ok, bad, nodata, CAST(bad AS DOUBLE) / NULLIF({d}, 0) AS share FROM counts
+  SELECT code, ok, bad, nodata, {_share(d)} AS share FROM counts
   WHERE code LIKE 'D%'
   UNION ALL
-  SELECT code, ok, bad, CAST(nodata + {d} AS BIGINT), CAST(bad AS DOUBLE) / NULLIF({i}, 0) FROM counts
+  SELECT code, ok, bad, CAST(nodata + {counted if corrected else d} AS BIGINT), {_share(i)} FROM counts
   WHERE code LIKE 'I%'
 )"""
 
@@ -263,8 +277,8 @@ summary AS (
 _COUNT_COLUMNS = f'code AS "Codigo", ok AS "Adequado", bad AS "Inadequado", nodata AS "{NO_DATA}"'
 
 
-def _report(homeless: bool, corrected: bool = False) -> str:
-    return f"""{_summary(homeless, corrected)},{NAMES}
+def _report(homeless: bool, corrected: bool = False, totals: tuple[str, str] | None = None) -> str:
+    return f"""{_summary(homeless, corrected, totals)},{NAMES}
 SELECT s.code AS "Codigo", label AS "Componente", bad AS "Inadequado", round_even(share, 3) AS "%",
   ok AS "Adequado", nodata AS "{NO_DATA}"
 FROM summary s LEFT JOIN names n ON n.code = s.code ORDER BY s.code"""
@@ -296,6 +310,20 @@ FROM fam JOIN (VALUES (1, 'ID1'), (2, 'ID2'), (3, 'ID3')) v(n, kind) ON fams > n
         "homeless_semi_join": f"""{families}
 SELECT {_columns("k", "compl", "fams")} FROM fam f
 WHERE EXISTS (SELECT 1 FROM persons p WHERE p.street = 'Sim' AND p.k IS NOT DISTINCT FROM f.k)""",
+        "source_csv2": f"""WITH {PERSONS}
+SELECT * REPLACE ("{HEADERS['rent']}" + 0.5 AS "{HEADERS['rent']}")
+FROM (SELECT {_columns("k", *ATTRIBUTES, "street")} FROM persons)""",
+        "family_distinct_wide": f"""WITH {_wide_persons(20)}
+SELECT DISTINCT {_columns("k", *ATTRIBUTES)}, {", ".join(f'"outra {i}"' for i in range(1, 21))},
+  'ID0' AS "Familias novas", k AS "ID" FROM persons""",
+        "homeless_family_count": f"{families} SELECT COUNT(*) AS homeless_families FROM street_keys",
+        "homeless_flag_skewed": f"""WITH {PERSONS},
+third AS (SELECT * REPLACE (CASE WHEN CAST(k AS BIGINT) % 3 <> 0 THEN k END AS k) FROM persons),
+fam AS (SELECT DISTINCT k, {", ".join(ATTRIBUTES)} FROM third),
+street_keys AS (SELECT DISTINCT k FROM third WHERE street = 'Sim')
+SELECT {_columns("k", "compl", "fams")},
+  EXISTS (SELECT 1 FROM street_keys s WHERE s.k IS NOT DISTINCT FROM f.k) AS homeless
+FROM fam f""",
         "homeless_distinct": f"""{families}
 SELECT k AS "Codigo familiar", 'Inadequado' AS "D07", 'ID7' AS "Familias novas",
   concat(COALESCE(k, 'NA'), ' ID7') AS "ID" FROM street_keys""",
@@ -335,6 +363,7 @@ SELECT c.code AS "Codigo", label AS "Componente", ok AS "Adequado", bad AS "Inad
         "report_v2": _report(True),
         "report_v1_corrected": _report(False, corrected=True),
         "report_corrected": _report(True, corrected=True),
+        "report_corrected_totals": _report(True, corrected=True, totals=("6917", "22891")),
         "export_components_parquet": _components(True),
         "export_components_csv": _components(False),
         "export_report_csv": _report(True),

@@ -5,13 +5,13 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from lares import FAMILY, PERSON, components, report
+from lares import components, report
 from lares import schema as s
 from lares.operators import families as fam
 from lares.operators import summary as sm
 from lares.plans.housing import unnumbered_components
 from lares.sources.registry import normalise_registry
-from standin import standin_persons
+from standin import FAMILY, PERSON, standin_persons
 
 KINDS = {
     "small": {"ID0": 164, "ID7": 13, "ID1": 87, "ID2": 63, "ID3": 41},
@@ -88,3 +88,13 @@ def test_class_follows_flags(spark, medium):
 def test_distinct_keys(spark, medium):
     families = fam.extract_families(normalise_registry(standin_persons(spark, medium)))
     assert families.select(s.KEY).distinct().count() == 1500
+
+
+def test_numbers_follow_row_kind_and_key(spark, small):
+    """The order that is given by definition, whatever orders the rows of one kind and key."""
+    import __spark_entry__ as entry
+
+    rows = sorted(entry.queries()["sequential_id"](spark, small).collect(), key=lambda r: r[s.ROW_ID])
+    assert [r[s.ROW_ID] for r in rows] == list(range(1, len(rows) + 1))
+    places = [(s.STACKING_ORDER.index(r[s.ROW_KIND]), r[s.KEY] is not None, r[s.KEY] or "") for r in rows]
+    assert places == sorted(places)

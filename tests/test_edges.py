@@ -7,7 +7,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from lares import FAMILY, PERSON, Totals, components, report
+from lares import Totals, components, report
 from lares import schema as s
 from lares.functions.arithmetic import plain_digits, ratio, round_share
 from lares.functions.conditions import label, shared_lot_pattern, with_findings
@@ -119,7 +119,7 @@ def test_extra_rows_per_family_count(spark):
 
 
 def test_exploded_stack_equals_naive_stack(spark, medium):
-    from standin import standin_persons
+    from standin import FAMILY, PERSON, standin_persons
 
     persons = normalise_registry(standin_persons(spark, medium))
     families, members = fam.extract_families(persons), fam.homeless_keys(persons)

@@ -17,10 +17,12 @@ def con(medium):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    """But for some of the llm subpackage, which has tests of its own."""
+    own = set(entry.llm.queries()) if entry.llm else set()
+    assert set(QUERIES) - own <= set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, con, medium, name):
     got = spark_result(QUERIES[name](spark, medium))
     want = duckdb_result(con, ORACLES[name])

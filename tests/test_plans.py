@@ -9,11 +9,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lares import FAMILY, PERSON, components, report
+from lares import components, report
 from lares import schema as s
 from lares.plans.housing import family_base, findings, stacking_order, unnumbered_components
 from lares.sources.registry import read_registry
-from standin import standin_persons
+from standin import FAMILY, PERSON, standin_persons
 
 # The JVM does not compile methods above this size; a stage in such a method runs interpreted.
 JIT_LIMIT = 8000

@@ -8,8 +8,9 @@ import duckdb
 import pytest
 
 import oracle
-from lares import FAMILY, PERSON, components, report
+from lares import components, report
 from lares import schema as s
+from standin import FAMILY, PERSON
 from tests.compare import duckdb_result, spark_result
 
 ROWS = 6000
