@@ -5,15 +5,15 @@ Tokens of a text: its words, lower-cased (A-Z), then one end. Counts are learned
 1. Tasks count the unigrams and bigrams of what they read and send the sums by hash range; a range's task adds them
    up. Ranges follow the number of input partitions, and frequent n-grams arrive as one sum a task.
 2. A range's counts become a segment of the filter: an n-gram of count c is entered at levels 0 to floor(log2 c).
-   Segments are sized by their entries and concatenated. The filter grows with the corpus up to FILTER_BYTES, its
-   documented bound as a broadcast; above it segments are folded in halves, which keeps every n-gram and raises the
-   share of false hits.
-3. Scoring finds an n-gram's level by probing level after level until one is missing. With c(level) the middle of
-   the level, p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)) and p(w | v) = 0.6 min(c(v w), c(v)) / c(v) + 0.4 p(w), or
-   p(w) if v is unknown. The first word's v is the start of a text. score is the sum of log10 p(w | v).
-4. base_score needs exact counts. Tokens with at least 1 / HOT of all occurrences, so at most HOT of them, are
-   broadcast. The occurrences of all others travel to the hash range that has their counts, packed, and what they
-   add to a text travels back to the slice of texts that it stands in.
+   A segment is sized by its entries and stays in its range: no task holds two, and none is made smaller.
+3. A slice of texts sends each of its distinct bigrams, and each distinct token that is not frequent, to its hash range
+   once, packed and in order. The range's task gives the level of each in its segment, found by probing level after
+   level until one is missing, and the exact counts of tokens. Frequent tokens have at least 1 / HOT of all occurrences,
+   so there are at most HOT of them; their levels and counts are all that is broadcast.
+4. Levels and counts travel back to the slice, whose tokens were kept as places among its distinct ones. With c(level)
+   the middle of the level, p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)) and p(w | v) = 0.6 min(c(v w), c(v)) / c(v) + 0.4 p(w),
+   or p(w) if v is unknown. The first word's v is the start of a text. score is the sum of log10 p(w | v). base_score
+   is that of (c + 0.5) / (N + 0.5 (V + 1)) with exact counts c.
 
 A null or empty text has one token, the end. A row without doc_id is a training row. Repeated rows count and are
 scored each. With no training rows counts are 0 and both scores use N = V = 0. Other columns are ignored.
@@ -26,6 +26,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,6 @@ from lares.llm.tables import keyed_texts, settle, text_slices
 from lares.llm.words import find_words, mix, word_hashes
 
 HOT = 1 << 18
-FILTER_BYTES = 1 << 29
 BITS_PER_ENTRY = 8
 PROBES = 2
 INTERPOLATION = 0.6
@@ -77,33 +77,31 @@ def _split(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return parts.astype(np.int64), np.append(at, len(keys))
 
 
-def _narrow(values: np.ndarray) -> bytes:
-    """Non-negative integers in as few bytes each as the largest needs."""
-    return values.astype(np.min_scalar_type(int(values.max(initial=0)))).tobytes()
+def _pack(values: np.ndarray) -> bytes:
+    """Non-negative integers by byte planes, compressed: planes of zeros take no room."""
+    cells = np.ascontiguousarray(values.astype(np.uint64)).view(np.uint8).reshape(-1, 8)
+    return zstandard.compress(np.ascontiguousarray(cells.T).tobytes(), 1)
 
 
-def _wide(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, f"u{len(data) // n}" if n else "u1").astype(np.int64)
+def _unpack(data: bytes) -> np.ndarray:
+    cells = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(cells.T).view(np.uint64).ravel()
 
 
-def _pack_keys(keys: np.ndarray, order: int) -> bytes:
-    cells = np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)
-    return (cells[:, 2:] if order == 2 else cells).tobytes()
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys, as the distances between them."""
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
 
 
-def _unpack_keys(data: bytes, order: int) -> np.ndarray:
-    if order == 1:
-        return np.frombuffer(data, np.uint64)
-    cells = np.zeros((len(data) // 6, 8), np.uint8)
-    cells[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return cells.view(np.uint64).ravel()
+def _unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data), dtype=np.uint64)
 
 
 def _count_rows(order: int, held: list[np.ndarray], bits: int) -> Iterator[dict]:
     keys, counts = np.unique(np.concatenate(held), return_counts=True)
     parts, at = _split(keys, bits)
     for part, a, b in zip(parts, at, at[1:], strict=False):
-        yield {"order": order, "part": part, "keys": _pack_keys(keys[a:b], order), "counts": _narrow(counts[a:b])}
+        yield {"order": order, "part": part, "keys": _pack_keys(keys[a:b]), "counts": _pack(counts[a:b])}
 
 
 _COUNTS = pa.schema([("order", pa.int32()), ("part", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -127,6 +125,7 @@ def build_segment(keys: np.ndarray, counts: np.ndarray, order: int) -> bytes:
 
 
 def fold(segment: bytes, halvings: int) -> bytes:
+    """A smaller segment with every n-gram and more false hits. Scores don't use it: they need the segments whole."""
     bits = np.frombuffer(segment, np.uint8)
     for _ in range(halvings):
         if len(bits) > 8:
@@ -136,8 +135,8 @@ def fold(segment: bytes, halvings: int) -> bytes:
 
 def _add_up(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     order, part = key[0].as_py(), key[1].as_py()
-    keys = [_unpack_keys(k, order) for k in table.column("keys").to_pylist()]
-    counts = [_wide(c, len(k)) for c, k in zip(table.column("counts").to_pylist(), keys, strict=True)]
+    keys = [_unpack_keys(k) for k in table.column("keys").to_pylist()]
+    counts = [_unpack(c).astype(np.int64) for c in table.column("counts").to_pylist()]
     keys, counts = np.concatenate(keys), np.concatenate(counts)
     by_key = np.argsort(keys, kind="stable")
     keys, counts = keys[by_key], counts[by_key]
@@ -187,7 +186,7 @@ def learn(docs: DataFrame, bits: int) -> DataFrame:
 
 
 class Filter:
-    """All segments end to end."""
+    """Segments end to end; score() makes one of a single segment."""
 
     def __init__(self, segments: list[tuple[int, int, bytes]], bits: int):
         self.shift = np.uint64(64 - bits)
@@ -202,8 +201,8 @@ class Filter:
             start = self.offset[order][part]
             self.data[start : start + len(segment)] = np.frombuffer(segment, np.uint8)
 
-    def counts(self, keys: np.ndarray, order: int) -> np.ndarray:
-        """The middle of each key's level; 0 if it is at none."""
+    def levels(self, keys: np.ndarray, order: int) -> np.ndarray:
+        """How many levels each key is at."""
         part = (keys >> self.shift).astype(np.int64)
         offset, mask = self.offset[order][part], self.mask[order][part]
         levels = np.zeros(len(keys), np.int64)
@@ -216,119 +215,130 @@ class Filter:
                 left = left[(byte >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
             level += 1
             levels[left] = level
-        return np.where(levels < 2, levels, 0.75 * np.exp2(levels))
+        return levels
+
+    def counts(self, keys: np.ndarray, order: int) -> np.ndarray:
+        return middles(self.levels(keys, order))
+
+
+def middles(levels: np.ndarray) -> np.ndarray:
+    """The middle of the highest of so many levels; 0 if there is none."""
+    return np.where(levels < 2, levels, 0.75 * np.exp2(levels))
 
 
 class Model(NamedTuple):
-    filter: Filter
+    """Totals, and the frequent tokens by key with their levels and exact counts."""
+
     texts: int
     total: int
     distinct: int
     hot_keys: np.ndarray
+    hot_levels: np.ndarray
     hot_counts: np.ndarray
     bits: int
 
-
-def _score(model: Model, tokens: Tokens, keys: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """log10 of each text's probability. keys: the distinct tokens, place: each token's among them."""
-    counts = model.filter.counts(keys, 1)
-    p = ((counts + 0.5) / (model.total + 0.5 * (model.distinct + 1)))[place]
-    history = np.empty(len(place))
-    history[1:] = counts[place[:-1]]
-    history[tokens.first[:-1]] = model.texts
-    pairs = np.minimum(model.filter.counts(bigrams_of(tokens), 2), history)
-    known = history > 0
-    p[known] = INTERPOLATION * pairs[known] / history[known] + (1 - INTERPOLATION) * p[known]
-    return np.add.reduceat(np.log10(p), tokens.first[:-1])
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each key would be among the frequent ones, and whether it is there."""
+        at = np.minimum(np.searchsorted(self.hot_keys, keys), max(0, len(self.hot_keys) - 1))
+        return at, self.hot_keys[at] == keys if len(self.hot_keys) else np.zeros(len(keys), bool)
 
 
 _OUT = pa.schema(
     [
-        ("slice", pa.int64()), ("part", pa.int64()),
-        ("keys", pa.binary()), ("runs", pa.binary()), ("docs", pa.binary()), ("times", pa.binary()),
-        ("ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64())),
-        ("known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("score", pa.list_(pa.float64())),
+        ("slice", pa.int64()), ("order", pa.int32()), ("part", pa.int64()),
+        ("keys", pa.binary()), ("levels", pa.binary()), ("counts", pa.binary()),
+        ("place", pa.binary()), ("n_tokens", pa.binary()), ("ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())),
     ]
 )
 _OUT_SQL = (
-    "slice long, part long, keys binary, runs binary, docs binary, times binary, ids array<long>, "
-    "held_out array<boolean>, n_tokens array<long>, known array<long>, base array<double>, score array<double>"
+    "slice long, order int, part long, keys binary, levels binary, counts binary, "
+    "place binary, n_tokens binary, ids array<long>, held_out array<boolean>"
 )
 
 
-def _slice_rows(model: Model, texts, slice_id: int, ids: list, held_out: list) -> list[dict]:
-    """What the frequent tokens and the filter give, and the occurrences of all other tokens by hash range."""
+def _slice_rows(model: Model, texts, slice_id: int, ids: list, held_out: list) -> Iterator[dict]:
+    """The texts' tokens as places among the distinct ones, and by hash range the n-grams to be looked up."""
     tokens = tokens_of(texts)
-    n = len(tokens.first) - 1
     keys, place = np.unique(tokens.hashes, return_inverse=True)
-    score = _score(model, tokens, keys, place)
-    at = np.minimum(np.searchsorted(model.hot_keys, keys), max(0, len(model.hot_keys) - 1))
-    hot = model.hot_keys[at] == keys if len(model.hot_keys) else np.zeros(len(keys), bool)
-    gain = np.zeros(len(keys))
-    gain[hot] = np.log10(model.hot_counts[at[hot]] + 0.5)
-    base = np.add.reduceat(gain[place], tokens.first[:-1])
-    known = np.add.reduceat(hot[place].astype(np.int64), tokens.first[:-1])
-    empty = dict.fromkeys(_OUT.names)
-    rows = [
-        empty
-        | {"slice": slice_id, "part": int(mix(np.array([slice_id], np.uint64))[0] >> np.uint64(64 - model.bits)), "ids": ids}
-        | {"held_out": held_out, "n_tokens": np.diff(tokens.first), "known": known, "base": base, "score": score}
-    ]
-    owner = np.repeat(np.arange(n), np.diff(tokens.first))
-    rest = ~hot[place]
-    pairs, times = np.unique(place[rest] * n + owner[rest], return_counts=True)
-    key_of, doc_of = pairs // n, pairs % n
-    parts, cuts = _split(keys[key_of], model.bits)
-    for part, a, b in zip(parts, cuts, cuts[1:], strict=False):
-        own, runs = np.unique(key_of[a:b], return_counts=True)
-        rows.append(
-            empty
-            | {"slice": slice_id, "part": part, "keys": keys[own].tobytes(), "runs": _narrow(runs)}
-            | {"docs": _narrow(doc_of[a:b]), "times": _narrow(times[a:b])}
-        )
-    return rows
-
-
-def _join_counts(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-    """Texts' sums over one range's tokens; rows that hold the texts themselves pass through."""
+    hot = model.places(keys)[1]
+    empty = dict.fromkeys(_OUT.names) | {"slice": slice_id}
+    # Any range will do for the texts themselves; order 0 has no counts.
+    yield empty | {
+        "order": 0, "part": int(mix(np.array([slice_id], np.uint64))[0] >> np.uint64(64 - model.bits)),
+        "keys": _pack_keys(keys[hot]), "place": _pack(place), "n_tokens": _pack(np.diff(tokens.first)),
+        "ids": ids, "held_out": held_out,
+    }
+    for order, wanted in ((1, keys[~hot]), (2, np.unique(bigrams_of(tokens)))):
+        parts, at = _split(wanted, model.bits)
+        for part, a, b in zip(parts, at, at[1:], strict=False):
+            yield empty | {"order": order, "part": int(part), "keys": _pack_keys(wanted[a:b])}
+
+
+def _look_up(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table, bits: int) -> pa.Table:
+    """Levels, and counts of tokens, of the n-grams of one range; rows that hold the texts themselves pass through."""
+    order, part = key[0].as_py(), key[1].as_py()
+    if not left.num_rows or order == 0:
+        return left.cast(_OUT)
+    segments, known, exact = [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if right.num_rows:
-        all_keys = np.frombuffer(right.column("keys")[0].as_py(), np.uint64)
-        counts = np.frombuffer(right.column("counts")[0].as_py(), np.int64)
-    else:
-        all_keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    rows = []
-    for row in left.to_pylist():
-        if row["keys"] is not None:
-            keys = np.frombuffer(row["keys"], np.uint64)
-            at = np.minimum(np.searchsorted(all_keys, keys), max(0, len(all_keys) - 1))
-            found = np.where(all_keys[at] == keys, counts[at], 0) if len(all_keys) else np.zeros(len(keys), np.int64)
-            runs = _wide(row["runs"], len(keys))
-            docs, times = (_wide(row[c], int(runs.sum())) for c in ("docs", "times"))
-            found = np.repeat(found, runs)
-            own, place = np.unique(docs, return_inverse=True)
-            row |= {
-                "keys": None, "runs": None, "times": None,
-                "docs": _narrow(own),
-                "base": np.bincount(place, times * np.log10(found + 0.5), len(own)),
-                "known": np.bincount(place, times * (found > 0), len(own)).astype(np.int64),
-            }
-        rows.append(row)
-    return pa.Table.from_pylist(rows, _OUT)
-
-
-def _add_to_texts(table: pa.Table) -> pa.Table:
-    """The rows of one slice of texts."""
-    rows = table.to_pylist()
-    own = next(r for r in rows if r["ids"] is not None)
-    base, known = np.array(own["base"]), np.array(own["known"])
-    for row in rows:
-        if row["ids"] is None:
-            docs = _wide(row["docs"], len(row["base"]))
-            base[docs] += row["base"]
-            known[docs] += row["known"]
+        segments = [(order, part, right.column("segment")[0].as_py())]
+        if order == 1:
+            known = np.frombuffer(right.column("keys")[0].as_py(), np.uint64)
+            exact = np.frombuffer(right.column("counts")[0].as_py(), np.int64)
+    own = Filter(segments, bits)
+    levels, counts = [], []
+    for packed in left.column("keys").to_pylist():
+        keys = _unpack_keys(packed)
+        levels.append(zstandard.compress(own.levels(keys, order).astype(np.uint8).tobytes(), 1))
+        found = None
+        if order == 1:
+            at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+            found = _pack(np.where(known[at] == keys, exact[at], 0) if len(known) else np.zeros(len(keys), np.int64))
+        counts.append(found)
+    columns = {"levels": pa.array(levels, pa.binary()), "counts": pa.array(counts, pa.binary())}
+    if order == 2:
+        columns["keys"] = pa.nulls(left.num_rows, pa.binary())
+    return pa.table([columns.get(f.name, left.column(f.name)) for f in _OUT], _OUT.names).cast(_OUT)
+
+
+_SCORES = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
+
+
+def _levels(rows: list[dict]) -> np.ndarray:
+    return np.frombuffer(b"".join(zstandard.decompress(r["levels"]) for r in rows), np.uint8).astype(np.int64)
+
+
+def _score_slice(model: Model, table: pa.Table) -> pa.Table:
+    """The texts of one slice, from the rows that came back."""
+    rows = sorted(table.to_pylist(), key=lambda r: (r["order"], r["part"]))
+    own = rows[0]
+    n_tokens, place = _unpack(own["n_tokens"]).astype(np.int64), _unpack(own["place"]).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(n_tokens)])
+    # Ranges are the high bits of sorted keys, so their answers in order are those of all keys.
+    asked = [r for r in rows if r["order"] == 1]
+    keys = np.concatenate([_unpack_keys(own["keys"]), *(_unpack_keys(r["keys"]) for r in asked)])
+    at, hot = model.places(keys)
+    levels, exact = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+    levels[hot], exact[hot] = model.hot_levels[at[hot]], model.hot_counts[at[hot]]
+    levels[~hot] = _levels(asked)
+    exact[~hot] = np.concatenate([np.zeros(0, np.int64), *(_unpack(r["counts"]).astype(np.int64) for r in asked)])
+    by_key = np.argsort(keys)
+    keys, levels, exact = keys[by_key], levels[by_key], exact[by_key]
+    base = np.add.reduceat(np.log10(exact + 0.5)[place], first[:-1])
+    known = np.add.reduceat((exact > 0)[place].astype(np.int64), first[:-1])
+
+    counts = middles(levels)
+    p = ((counts + 0.5) / (model.total + 0.5 * (model.distinct + 1)))[place]
+    history = np.empty(len(place))
+    history[1:] = counts[place[:-1]]
+    history[first[:-1]] = model.texts
+    _, pair = np.unique(bigrams_of(Tokens(keys[place], first)), return_inverse=True)
+    pairs = middles(_levels([r for r in rows if r["order"] == 2]))[pair]
+    follows = history > 0
+    p[follows] = INTERPOLATION * np.minimum(pairs, history)[follows] / history[follows] + (1 - INTERPOLATION) * p[follows]
+    score = np.add.reduceat(np.log10(p), first[:-1])
     columns = [pa.array(own["ids"], pa.int64()), pa.array(own["held_out"], pa.bool_())]
-    columns += [pa.array(own["n_tokens"], pa.int64()), pa.array(known, pa.int64()), pa.array(base)]
-    return pa.table([*columns, pa.array(own["score"], pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
+    return pa.table([*columns, *map(pa.array, (n_tokens, known, base, score))], _SCORES)
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -340,27 +350,25 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     learned = settle(learn(source, bits))
     sums = learned.groupBy("order").agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct")).collect()
     total, distinct = next(((r["total"], r["distinct"]) for r in sums if r["order"] == 1), (0, 0))
-    size = learned.agg(F.sum(F.octet_length("segment"))).first()[0] or 0
-    halvings = max(0, (-(-size // FILTER_BYTES) - 1).bit_length())
-    folded = F.udf(lambda s: fold(s, halvings), "binary")("segment") if halvings else F.col("segment")
-    segments = learned.select("order", "part", folded.alias("segment")).toArrow()
-    segments = list(zip(*(segments.column(c).to_pylist() for c in ("order", "part", "segment")), strict=True))
-    unigrams = learned.filter("order = 1").select("part", "keys", "counts")
     least = total / HOT
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                keys, counts = np.frombuffer(keys, np.int64), np.frombuffer(counts, np.int64)
-                high = counts >= least
-                yield pa.RecordBatch.from_arrays([pa.array(keys[high]), pa.array(counts[high])], ["key", "n"])
-
-    found = unigrams.mapInArrow(frequent, "key long, n long").toArrow()
-    hot_keys, hot_counts = found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy()
+            for row in batch.to_pylist():
+                keys, counts = np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["counts"], np.int64)
+                keys, counts = keys[counts >= least], counts[counts >= least]
+                levels = Filter([(1, row["part"], row["segment"])], bits).levels(keys, 1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.view(np.int64)), pa.array(levels), pa.array(counts)], ["key", "level", "n"]
+                )
+
+    unigrams = learned.filter("order = 1").select("part", "segment", "keys", "counts")
+    found = unigrams.mapInArrow(frequent, "key long, level long, n long").toArrow()
+    hot_keys = found.column("key").to_numpy().view(np.uint64)
     by_key = np.argsort(hot_keys)
+    hot = (hot_keys[by_key], *(found.column(c).to_numpy()[by_key] for c in ("level", "n")))
     texts = source.filter(~F.col("held_out")).select("doc_id").count()
-    model = Model(Filter(segments, bits), texts, total, distinct, hot_keys[by_key], hot_counts[by_key], bits)
-    shared = spark.sparkContext.broadcast(tuple(model))
+    shared = spark.sparkContext.broadcast(tuple(Model(texts, total, distinct, *hot, bits)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
@@ -368,13 +376,19 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             place, ids, held = (batch.column(c).to_pylist() for c in ("place", "doc_id", "held_out"))
             for texts in text_slices(batch.column("text")):
                 a, b = texts.first_row, texts.first_row + len(texts.offsets) - 1
-                rows = _slice_rows(own, texts, place[a], ids[a:b], held[a:b])
-                yield pa.RecordBatch.from_pylist(rows, _OUT)
+                yield pa.RecordBatch.from_pylist(list(_slice_rows(own, texts, place[a], ids[a:b], held[a:b])), _OUT)
+
+    def look_up(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        return _look_up(key, left, right, bits)
+
+    def score_slice(table: pa.Table) -> pa.Table:
+        return _score_slice(Model(*shared.value), table)
 
-    scored = source.withColumn("place", F.monotonically_increasing_id()).mapInArrow(run, _OUT_SQL)
-    partial = scored.groupBy("part").cogroup(unigrams.groupBy("part")).applyInArrow(_join_counts, _OUT_SQL)
-    whole = partial.groupBy("slice").applyInArrow(
-        _add_to_texts, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+    asked = source.withColumn("place", F.monotonically_increasing_id()).mapInArrow(run, _OUT_SQL)
+    answers = learned.select("order", "part", "segment", "keys", "counts").groupBy("order", "part")
+    answered = asked.groupBy("order", "part").cogroup(answers).applyInArrow(look_up, _OUT_SQL)
+    whole = answered.groupBy("slice").applyInArrow(
+        score_slice, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
     )
     divisor = float(np.log10(total + 0.5 * (distinct + 1)))
     return whole.select(

@@ -219,6 +219,30 @@ def test_filter_levels():
     assert (lm_bloom.Filter(folded, 4).counts(keys, 1) >= low).all()
 
 
+def plain_scores(rows):
+    """Scores by exact levels, without false hits."""
+    middle = lambda c: c if c < 2 else 1.5 * 2 ** (c.bit_length() - 1)
+    texts = [(key, [*brute.low_words(text), None]) for key, text in rows]
+    learned = [own for key, own in texts if key is None or brute.crc(key) % 5 != 1]
+    one = Counter(w for own in learned for w in own)
+    two = Counter(pair for own in learned for pair in zip(["", *own], own, strict=False))
+    out = {}
+    for key, own in texts:
+        out[key] = 0
+        for v, w in zip(["", *own], own, strict=False):
+            p = (middle(one[w]) + 0.5) / (one.total() + 0.5 * (len(one) + 1))
+            history = len(learned) if v == "" else middle(one[v])
+            out[key] += np.log10(0.6 * min(middle(two[v, w]), history) / history + 0.4 * p if history else p)
+    return out
+
+
+def test_scores_need_no_filter_in_one_piece(spark, small, rows_of, monkeypatch):
+    monkeypatch.setattr(lm_bloom, "FILTER_BYTES", 1 << 10, raising=False)
+    got, want = queries.op6_lm_scores(spark, small).collect(), plain_scores(rows_of(small))
+    off = [abs(r.score - want[r.doc_id]) / r.n_tokens for r in got]
+    assert len(off) == len(want) and np.mean(off) < 0.03
+
+
 def test_quality_scores(spark, medium):
     got = {r.doc_id: r for r in queries.op3_quality_fm(spark, medium).collect()}
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{medium}/labels.parquet").collect()}
