@@ -2,17 +2,20 @@
 
 A text becomes a template: punctuation around words goes, words without a letter or digit go, words are lower-cased
 (A-Z and Latin-1), numbers become one placeholder, units after a number another. A second template of the same words makes
-capitalised words a placeholder, too. Both are cut into windows of WINDOW words (an item of fewer words, but at
-least SHORTEST, is one window); windows of which fewer than LITERALS words are literal are left out.
+capitalised words a placeholder, too. The words as they are make a third, for verbatim copies. Each is cut into
+windows of WINDOW words. An item of fewer words is one window, with at least SHORTEST words for the templates and at
+least VERBATIM as it is. Template windows must have LITERALS literal words to be looked up; words as they are need none.
 
 Document windows are hash-joined with the items' windows. Before the join a bitmap of 2 ** MAP_BITS slots, which is
 all that is broadcast, drops the windows that can't match; its size does not depend on either table. A match lines
 a document up with an item at a distance. Slots lined up must be consistent: one value of an item's slot has one
 value in the document. Distances of which under CONSISTENT of the values do are dropped: the words between the
-slots agree but the question is another. The rest is a leak when windows cover at least COVERED words of the item,
-or the item whole if it is shorter.
+slots agree but the question is another. A window carries the words beside it that only windows with too few literals
+reach, each word once a side and template. Of these, the ones that agree with the item's in a row next to the match
+are covered as well; a slot among them only if its value is consistent. The rest is a leak when windows and such words
+cover at least COVERED words of the item, or the item whole if it is shorter.
 
-Null and empty texts, and items under SHORTEST words, match nothing. Items that repeat are reported each;
+Null and empty texts, and items under VERBATIM words, match nothing. Items that repeat are reported each;
 rows that repeat are reported once by key. Rows without a key are reported under null. Other columns are ignored.
 """
 
@@ -30,6 +33,7 @@ from lares.llm.words import LOWER, find_words, mix, prefix_hashes, span_hashes,
 
 WINDOW = 8
 SHORTEST = 5
+VERBATIM = 3
 LITERALS = 4
 COVERED = 13
 CONSISTENT = 0.8
@@ -46,6 +50,8 @@ UNITS = (
 _WORDLIKE = np.isin(np.arange(256), np.r_[48:58, 65:91, 97:123, 128:256])
 _DIGIT = np.isin(np.arange(256), np.r_[48:58])
 _CAPITAL = np.isin(np.arange(256), np.r_[65:91])
+#: The place of the words as they are among the sequences.
+AS_IS = 2
 NUMBER, UNIT, NAME = (np.uint64(x) for x in (0x4E756D6265720001, 0x556E697400000003, 0x4E616D6500000005))
 
 
@@ -72,8 +78,11 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return out
 
 
+_WORD = pa.struct([("word", pa.int64()), ("slot", pa.int64())])
+
+
 class Templates:
-    """The words of texts as two sequences of hashes, and the value of each slot (0: literal)."""
+    """The words of texts as three sequences of hashes (the last as they are), and the value of each slot (0: literal)."""
 
     def __init__(self, texts: Texts):
         words = find_words(texts)
@@ -99,32 +108,61 @@ class Templates:
         name = (_CAPITAL[texts.data[starts]] | accented) & (ends - starts > 1)
         plain = np.where(number, NUMBER, np.where(unit, UNIT, values))
         typed = np.where(name & ~number & ~unit, NAME, plain)
-        self.sequences = (plain, typed)
+        self.sequences = (plain, typed, values)
         self.slots = tuple(np.where(s == values, np.uint64(0), values) for s in self.sequences)
 
     def windows(self, width: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts and hashes of the windows within one text that have enough literal words."""
         sequence, slots = self.sequences[kind], self.slots[kind]
-        hashes = mix(window_hashes(sequence, width) + np.uint64(width))
+        hashes = mix(window_hashes(sequence, width) + np.uint64(width + ((kind == AS_IS) << 32)))
         room = np.repeat(self.first[1:], np.diff(self.first))[: len(hashes)]
         starts = np.arange(len(hashes))
         literal = np.concatenate([[0], np.cumsum(slots == 0)])
-        enough = literal[starts + width] - literal[starts] >= LITERALS
+        enough = (literal[starts + width] - literal[starts] >= LITERALS) | (kind == AS_IS)
         starts = starts[(starts + width <= room) & enough]
         return starts, hashes[starts]
 
+    def beside(self, kind: int, all_starts: np.ndarray, some: np.ndarray, most: int) -> tuple[pa.ListArray, pa.ListArray]:
+        """Words before (nearest first) and after the windows all_starts[some], up to the next window of all_starts.
+
+        Each is its hash and slot; there are at most `most` a side.
+        """
+        starts = all_starts[some]
+        text = np.searchsorted(self.first, starts, "right") - 1
+        begin, end = self.first[text], self.first[text + 1]
+        around = np.concatenate([[-1], all_starts, [len(self.sequences[kind])]])
+        left = starts - np.maximum(around[:-2][some], begin - 1) - 1
+        right = np.minimum(around[2:][some], end - WINDOW + 1) - starts - 1
+        sides = []
+        for sizes, origin, step in ((left, starts - 1, -1), (right, starts + WINDOW, 1)):
+            sizes = np.clip(sizes, 0, most)
+            cuts = np.concatenate([[0], np.cumsum(sizes)])
+            at = np.repeat(origin, sizes) + step * (np.arange(cuts[-1]) - np.repeat(cuts[:-1], sizes))
+            words = [pa.array(x[kind][at].view(np.int64)) for x in (self.sequences, self.slots)]
+            sides.append(pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.StructArray.from_arrays(words, fields=list(_WORD))))
+        return sides[0], sides[1]
+
 
 _ROWS = pa.schema(
     [
         ("key", pa.int64()), ("hash", pa.int64()), ("at", pa.int32()), ("width", pa.int32()),
-        ("n_words", pa.int32()), ("slots", pa.list_(pa.int64())),
+        ("n_words", pa.int32()), ("as_is", pa.bool_()), ("slots", pa.list_(pa.int64())),
+        ("before", pa.list_(_WORD)), ("after", pa.list_(_WORD)),
     ]
 )
-_ROWS_SQL = "key long, hash long, at int, width int, n_words int, slots array<long>"
+_ROWS_SQL = (
+    "key long, hash long, at int, width int, n_words int, as_is boolean, slots array<long>, "
+    "before array<struct<word: long, slot: long>>, after array<struct<word: long, slot: long>>"
+)
+#: Item words that travel beside a window: no item is longer.
+NO_LIMIT = 1 << 30
+
 
+def _window_rows(column: str, choose: Callable, most: int) -> Callable:
+    """A function over batches: the windows that `choose` (templates) gives, as (width, kind, all starts, which, hashes).
 
-def _window_rows(column: str, choose: Callable) -> Callable:
-    """A function over batches: the windows that `choose` (templates) gives, as (width, kind, starts, hashes)."""
+    `which` of the windows become rows; the others only bound the words beside them, `most` of them a side.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,12 +171,16 @@ def _window_rows(column: str, choose: Callable) -> Callable:
                 ids = batch.column(column).slice(texts.first_row, len(texts.offsets) - 1)
                 sizes = np.diff(own.first)
                 owner = np.repeat(np.arange(len(sizes)), sizes)
-                for width, kind, starts, hashes in choose(own):
+                for width, kind, all_starts, which, hashes in choose(own):
+                    starts, hashes = all_starts[which], hashes[which]
                     if not len(starts):
                         continue
                     doc = owner[starts]
-                    slots = own.slots[kind][starts[:, None] + np.arange(width)].view(np.int64)
-                    cuts = pa.array(np.arange(len(starts) + 1, dtype=np.int32) * width)
+                    carried = 0 if kind == AS_IS else width
+                    slots = own.slots[kind][starts[:, None] + np.arange(carried)].view(np.int64)
+                    cuts = pa.array(np.arange(len(starts) + 1, dtype=np.int32) * carried)
+                    reach = most if width == WINDOW and kind != AS_IS else 0
+                    before, after = own.beside(kind, all_starts, which, reach)
                     yield pa.RecordBatch.from_arrays(
                         [
                             ids.take(pa.array(doc)),
@@ -146,7 +188,10 @@ def _window_rows(column: str, choose: Callable) -> Callable:
                             pa.array((starts - own.first[doc]).astype(np.int32)),
                             pa.array(np.full(len(starts), width, np.int32)),
                             pa.array(sizes[doc].astype(np.int32)),
+                            pa.array(np.full(len(starts), kind == AS_IS)),
                             pa.ListArray.from_arrays(cuts, pa.array(slots.ravel())),
+                            before,
+                            after,
                         ],
                         schema=_ROWS,
                     )
@@ -154,36 +199,71 @@ def _window_rows(column: str, choose: Callable) -> Callable:
     return run
 
 
-def _item_windows(own: Templates) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _kinds(width: int) -> range:
+    return range(AS_IS if width < SHORTEST else 0, AS_IS + 1)
+
+
+def _item_windows(own: Templates) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     sizes = np.diff(own.first)
-    for kind in (0, 1):
-        yield WINDOW, kind, *own.windows(WINDOW, kind)
-        for width in range(SHORTEST, WINDOW):
+    for width in range(VERBATIM, WINDOW + 1):
+        for kind in _kinds(width):
             starts, hashes = own.windows(width, kind)
-            short = np.isin(starts, own.first[:-1][sizes == width])
-            yield width, kind, starts[short], hashes[short]
+            which = np.arange(len(starts))
+            if width < WINDOW:
+                which = np.flatnonzero(np.isin(starts, own.first[:-1][sizes == width]))
+            yield width, kind, starts, which, hashes
 
 
 def item_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
     rows = keyed_texts(benchmark, key, text)
-    windows = rows.mapInArrow(_window_rows("doc_id", _item_windows), _ROWS_SQL)
+    windows = rows.mapInArrow(_window_rows("doc_id", _item_windows, NO_LIMIT), _ROWS_SQL)
     return windows.select(
         F.col("key").alias("item_id"), "hash", F.col("at").alias("item_at"), "width",
         F.col("n_words").alias("item_words"), F.col("slots").alias("item_slots"),
+        F.col("before").alias("item_before"), F.col("after").alias("item_after"),
     )
 
 
-def covered_words(spans: Column) -> Column:
-    """Words in at least one of the spans (at, width), an array sorted by `at`."""
-    ends = F.transform(spans, lambda s: s["at"] + s["width"])
-    gained = F.transform(
-        spans,
-        lambda s, i: F.greatest(
-            F.lit(0),
-            s["at"] + s["width"] - F.greatest(s["at"], F.coalesce(F.array_max(F.slice(ends, 1, i)), F.lit(0))),
+def _agreeing(side: str, first: Column, step: int) -> Column:
+    """The words on one side of a match up to the first that differ: item place, item's and document's slot."""
+    both = F.arrays_zip(F.col(f"item_{side}").alias("item"), F.col(side).alias("doc"))
+    # The shorter side is filled up with nulls, which differ from all words.
+    same = F.transform(both, lambda p: p["item"]["word"].eqNullSafe(p["doc"]["word"]))
+    differ = F.array_position(same, False).cast("int")
+    agreeing = F.when(differ == 0, both).otherwise(F.slice(both, 1, F.greatest(differ - 1, F.lit(0))))
+    return F.transform(
+        agreeing,
+        lambda p, i: F.struct(
+            (first + step * i).cast("int").alias("at"), p["item"]["slot"].alias("item"), p["doc"]["slot"].alias("doc")
         ),
     )
-    return F.aggregate(gained, F.lit(0), lambda a, b: a + b)
+
+
+def _consistent_words(pairs: Column, beside: Column) -> Column:
+    """Spans of the words beside matches that are literal, or slots whose item value has one value in the document."""
+    slots = F.transform(F.filter(beside, lambda w: w["item"] != 0), lambda w: F.struct(w["item"].alias("item"), w["doc"].alias("doc")))
+    # As the one element of an array it is computed once, not for each word.
+    known = F.array(F.array_distinct(F.concat(pairs, slots)))
+    agrees = F.transform(
+        known,
+        lambda all_pairs: F.filter(
+            beside,
+            lambda w: (w["item"] == 0)
+            | F.exists(pairs, lambda p: (p["item"] == w["item"]) & (p["doc"] == w["doc"]))
+            | (F.size(F.filter(all_pairs, lambda p: p["item"] == w["item"])) == 1),
+        ),
+    )[0]
+    return F.transform(agrees, lambda w: F.struct(w["at"].alias("at"), F.lit(1).alias("width")))
+
+
+def covered_words(spans: Column) -> Column:
+    """Words in at least one of the spans (at, width), an array sorted by `at`."""
+    def add(done: Column, span: Column) -> Column:
+        end = span["at"] + span["width"]
+        gained = F.greatest(F.lit(0), end - F.greatest(span["at"], done["end"]))
+        return F.struct((done["words"] + gained).alias("words"), F.greatest(done["end"], end).alias("end"))
+
+    return F.aggregate(spans, F.struct(F.lit(0).alias("words"), F.lit(0).alias("end")), add, lambda done: done["words"])
 
 
 def leaks(
@@ -196,39 +276,45 @@ def leaks(
     marked = np.zeros(1 << MAP_BITS, bool)
     marked[slots.column("slot").to_numpy()] = True
     widths = sorted(set(slots.column("width").to_pylist()))
+    longest = items.agg(F.max("item_words")).first()[0] or 0
     shared = spark.sparkContext.broadcast((np.packbits(marked), widths))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, lengths = shared.value
         possible = np.unpackbits(bits).astype(bool)
 
-        def choose(own: Templates) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        def choose(own: Templates) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
             for width in lengths:
-                for kind in (0, 1):
+                for kind in _kinds(width):
                     starts, hashes = own.windows(width, kind)
                     hit = possible[(hashes & np.uint64(len(possible) - 1)).astype(np.int64)]
-                    yield width, kind, starts[hit], hashes[hit]
+                    yield width, kind, starts, np.flatnonzero(hit), hashes
 
-        yield from _window_rows("doc_id", choose)(batches)
+        yield from _window_rows("doc_id", choose, longest)(batches)
 
     found = keyed_texts(docs, key, text).mapInArrow(run, _ROWS_SQL).withColumnRenamed("key", "doc_id")
     pairs = F.filter(
         F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc")), lambda p: p["item"] != 0
     )
     matched = found.join(items, ["hash", "width"]).select(
-        "doc_id", "item_id", "item_words", "item_at", "width", (F.col("at") - F.col("item_at")).alias("distance"),
+        "doc_id", "item_id", "item_words", "as_is", "item_at", "width", (F.col("at") - F.col("item_at")).alias("distance"),
         pairs.alias("pairs"),
+        F.concat(
+            _agreeing("before", F.col("item_at") - 1, -1), _agreeing("after", F.col("item_at") + F.col("width"), 1)
+        ).alias("beside"),
     )
     # An item's length bounds what is gathered for one distance.
-    lined_up = matched.groupBy("doc_id", "item_id", "item_words", "distance").agg(
+    lined_up = matched.groupBy("doc_id", "item_id", "item_words", "as_is", "distance").agg(
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
+        F.flatten(F.collect_set("beside")).alias("beside"),
         F.collect_set(F.struct(F.col("item_at").alias("at"), "width")).alias("spans"),
     )
     values = F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"])))
     consistent = F.when(F.size("pairs") == 0, F.lit(1.0)).otherwise(values / F.size("pairs"))
     kept = lined_up.withColumn("consistent", consistent).filter(F.col("consistent") >= CONSISTENT)
+    kept = kept.withColumn("spans", F.concat("spans", _consistent_words(F.col("pairs"), F.col("beside"))))
     by_item = kept.groupBy("doc_id", "item_id", "item_words").agg(
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"),
+        F.sort_array(F.flatten(F.collect_set("spans"))).alias("spans"),
         F.max("consistent").alias("consistent"),
     )
     return (

@@ -125,6 +125,34 @@ def test_leaks_need_consistent_slots(spark):
     assert [(r.doc_id, r.consistent) for r in found] == [(2, 1.0)]
 
 
+def test_leaks_of_items_with_few_literal_words(spark):
+    items = [
+        (1, "What is 12 times 13?"),
+        (2, "Compute 12 + 7 - 3 * 4"),
+        (3, "What is 15 percent of 240 dollars plus 30 dollars?"),
+        (4, "Find the sum of 3, 5, 7, 9 and 11"),
+        (5, "What is 12+7?"),
+        (6, "Add 1 2 3 4 5 6 7 8 9 10 and then take 40 50 60 70 80 from all that was left"),
+    ]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(i, f"so they said, {text.lower()} and no more") for i, text in items]
+    docs += [
+        (13, "What is 20 percent of 90 euros plus 8 euros?"),
+        (14, "Find the sum of 2, 4, 6, 8 and 10"),
+        (24, "Find the sum of 2, 4, 6, 8 or 10"),
+        (34, "What is 12 times 14?"),
+    ]
+    found = decontaminate.leaks(spark.createDataFrame(docs, TEXTS), table).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i, _ in items} | {(13, 3), (14, 4)}
+    again = spark.createDataFrame([(1, "Find the sum of 3, 5, 7, 9 and 3")], "item_id long, text string")
+    docs = [(1, "Find the sum of 2, 4, 6, 8 and 2"), (2, "Find the sum of 2, 4, 6, 8 and 9")]
+    assert [r.doc_id for r in decontaminate.leaks(spark.createDataFrame(docs, TEXTS), again).collect()] == [1]
+    # The words before the first window with enough literals.
+    late = spark.createDataFrame([(1, "7 8 9 10 11 12 are the numbers that we use")], "item_id long, text string")
+    docs = [(1, "1 2 3 4 5 6 are the numbers that we use"), (2, "1 2 3 x 5 6 are the numbers that we use")]
+    assert [r.doc_id for r in decontaminate.leaks(spark.createDataFrame(docs, TEXTS), late).collect()] == [1]
+
+
 def test_leaks_on_edges(spark, edges, edge_rows, nothing):
     items = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(edge_rows)], "item_id long, text string")
     found = decontaminate.leaks(edges, items).collect()
