@@ -3,10 +3,11 @@
 The patterns are assignments to a secret-like name, access key ids and long hexadecimal runs, each found
 leftmost without overlap over the whole text.
 
-Novelty: after a sensitive word (`SENSITIVE`) on the same line, within `REACH` characters, each run of
-key characters with at least `SHORTEST` of them, a letter and a digit is a candidate. A zstandard compressor is
-primed with the identifier dictionary and the text around the candidate, without the candidate; the bytes that
-the candidate adds to an empty frame are its marginal bytes. Text that the dictionary or the surroundings
+Novelty: before and after a sensitive word (`SENSITIVE`), across line breaks and within `REACH` characters, each run of
+key characters with at least `SHORTEST` of them, a letter and a digit is a candidate. The parts of a sensitive word
+may stand apart by a space, hyphen or underscore. The body of a PEM block of a private key is one candidate, until its
+END line or the end of the text. A zstandard compressor is primed with the identifier dictionary and the text around
+the candidate, without the candidate; the bytes that the candidate adds to an empty frame are its marginal bytes. Text that the dictionary or the surroundings
 explain (a path, a known identifier, a repeated name) adds few; a random string adds nearly all of its own.
 Candidates of at least `MIN_MARGINAL` marginal bytes a character are reported, unless a pattern has them already.
 
@@ -17,7 +18,9 @@ columns are ignored. Nothing is shuffled, and texts are scanned whole.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -38,11 +41,12 @@ _ASSIGN_SHORTEST = 12
 _ACCESS = re.compile("AKIA[A-Z0-9]{14,}")
 _HEX = re.compile("[0-9a-f]{16,}")
 
-#: Words that make what follows them sensitive, lower case.
+#: Words that make what stands around them sensitive, lower case; their parts are joined by JOINT.
 SENSITIVE = (
-    "password", "passwd", "passphrase", "secret", "token", "api_key", "apikey", "api key", "access key",
-    "private key", "credential", "bearer ", "authorization", "client_id", "signature",
+    "password", "passwd", "pass phrase", "secret", "token", "api key", "access key", "private key", "account key",
+    "credential", "bearer", "authorization", "client id", "signature",
 )
+JOINT = "[ _-]?"
 #: Identifiers, as found around keys in code and settings, that are no secrets themselves.
 IDENTIFIERS = (
     "access_key_id secret_access_key client_secret client_id api_key api_version auth_token refresh_token "
@@ -60,7 +64,8 @@ SURROUNDINGS = 256
 SHORTEST = 16
 MIN_MARGINAL = 0.6
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
-_SENSITIVE = re.compile("|".join(map(re.escape, SENSITIVE)))
+_SENSITIVE = re.compile("|".join(word.replace(" ", JOINT) for word in SENSITIVE))
+_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----\s*")
 _DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
@@ -88,33 +93,49 @@ def marginal_bytes(candidate: str, before: str, after: str) -> int:
     return len(compressor.compress(candidate.encode())) - len(compressor.compress(b""))
 
 
+def _is_novel(text: str, start: int, end: int) -> bool:
+    before, after = text[max(0, start - SURROUNDINGS) : start], text[end : end + SURROUNDINGS]
+    return marginal_bytes(text[start:end], before, after) >= MIN_MARGINAL * (end - start)
+
+
+def key_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """The bodies of PEM blocks of private keys."""
+    at = 0
+    while begin := _PEM.search(text, at):
+        start, at = begin.end(), text.find("-----END ", begin.end())
+        at = at if at >= 0 else len(text)
+        if body := text[start:at].rstrip():
+            yield start, start + len(body)
+
+
 def novel_spans(text: str, lowered: str, taken: list[Span]) -> list[Span]:
     if len(lowered) != len(text):  # a letter whose lower case is longer: places would differ
         lowered = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    spans: dict[int, Span] = {}
-    for context in _SENSITIVE.finditer(lowered):
-        line_end = text.find("\n", context.end())
-        stop = min(context.end() + REACH, line_end if line_end >= 0 else len(text))
-        at = context.end()
-        while (m := _CANDIDATE.search(text, at)) and m.start() < stop:
-            at = m.end()
-            string = m.group()
-            if m.start() in spans or not (_DIGIT.search(string) and _LETTER.search(string)):
+    spans = [(start, 3, end) for start, end in key_blocks(text) if _is_novel(text, start, end)]
+    taken = sorted(taken + spans)
+    reach = list(accumulate((end for _, _, end in taken), max))
+    begins = [start for start, _, _ in taken]
+    contexts = [m.span() for m in _SENSITIVE.finditer(lowered)]
+    edges = [(0, 0), *contexts, (len(text), len(text))]
+    for i, ((_, start), (stop, _)) in enumerate(zip(edges, edges[1:], strict=False)):
+        first, last = i == 0, i == len(contexts)
+        for m in _CANDIDATE.finditer(text, start, stop):
+            near = (not first and m.start() < start + REACH) or (not last and m.end() > stop - REACH)
+            if not near or not (_DIGIT.search(m.group()) and _LETTER.search(m.group())):
                 continue
-            if any(s < m.end() and m.start() < e for s, _, e in taken):
+            earlier = bisect_left(begins, m.end())
+            if earlier and reach[earlier - 1] > m.start():
                 continue
-            before = text[max(0, m.start() - SURROUNDINGS) : m.start()]
-            after = text[m.end() : m.end() + SURROUNDINGS]
-            if marginal_bytes(string, before, after) >= MIN_MARGINAL * len(string):
-                spans[m.start()] = (m.start(), 3, m.end())
-    return list(spans.values())
+            if _is_novel(text, *m.span()):
+                spans.append((m.start(), 3, m.end()))
+    return spans
 
 
 def find_spans(text: str) -> list[Span]:
     """All spans of a text, by start, then kind as listed."""
     lowered = text.lower()
     spans = base_spans(text, lowered)
-    if any(word in lowered for word in SENSITIVE):
+    if _SENSITIVE.search(lowered):
         spans = sorted(spans + novel_spans(text, lowered, spans))
     return spans
 

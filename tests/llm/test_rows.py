@@ -118,6 +118,32 @@ def test_novel_strings():
     assert [shifted[s:e] for s, _, e in secret_scan.find_spans(shifted)] == ["qT7xKz9LmP2vWc8RsY4j"]
 
 
+KEY = "qT7xKz9LmP2vWc8RsY4j"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        f"private_key={KEY}", f"access_key: {KEY}", f"private-key {KEY}", f"Access-Key {KEY}", f"accountKey {KEY}",
+        f"account_key:\n  {KEY}\n", f'"client-id":\n"{KEY}"', f"{KEY} is the pass-phrase", f"{KEY}\nis my signature",
+    ],
+)
+def test_novel_strings_around_sensitive_words(text):
+    assert [text[s:e].strip("=") for s, _, e in secret_scan.find_spans(text)] == [KEY]
+
+
+def test_bodies_of_private_keys():
+    import random
+
+    rng = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    body = "\n".join("".join(rng.choice(letters) for _ in range(n)) for n in [64] * 12 + [11]) + "="
+    for kind in ("", "RSA "):
+        text = f"see\n-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----\nend"
+        assert secret_scan.masked(text) == text.replace(body, "[SECRET]")
+        assert secret_scan.masked(text.split("\n-----END")[0]).endswith("KEY-----\n[SECRET]")
+
+
 def test_masking(edges, spark):
     clean = {r.doc_id: r.text for r in secret_scan.redact(edges).collect() if r.doc_id in (1, 4, 11)}
     assert clean[1] is None and clean[4] == "one two three"
