@@ -34,7 +34,7 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         (F.octet_length(value) + 1).cast("bigint").alias("size"),
         F.crc32(value.cast("binary")).alias("text_crc32"),
         F.unhex(F.md5(value.cast("binary"))).alias("digest"),
-        F.size(F.split(value, " ")).cast("bigint").alias("tokens"),
+        F.regexp_count(value, F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint").alias("tokens"),
         F.monotonically_increasing_id().alias("place"),
     )
 

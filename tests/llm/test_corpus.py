@@ -326,6 +326,11 @@ def test_shards_of_a_large_group(spark):
     assert set(sizes) == set(range(5))
 
 
+def test_tokens_of_shards_are_words(edges, edge_rows):
+    got = Counter((r.doc_id, r.tokens) for r in sharding.measure(edges).collect())
+    assert got == Counter((key, len(brute.words(text))) for key, text in edge_rows)
+
+
 def test_shards_on_edges(edges, edge_rows, nothing):
     check_shards(sharding.assign(edges, shards=2).collect(), edge_rows, 10**6)
     assert sharding.assign(nothing).count() == 0
