@@ -16,6 +16,7 @@ from lares.operators import summary as sm
 from lares.operators.classify import summary_codes
 from lares.plans.housing import family_base, unnumbered_components
 from lares.sources.registry import normalise_headers, normalise_registry
+from standin import FAMILY, PERSON
 
 SOUND = {
     s.KEY: "1", s.SITUATION: "urbana", s.DWELLING: "particular permanente",
@@ -107,7 +108,7 @@ def test_share_ties_go_to_even(spark):
 def test_plain_digits(spark):
     xs = [100000.0, 1.2e10, 0.023, 0.0, 1.0, -2.5, 0.0005, None]
     df = spark.createDataFrame([(x,) for x in xs], "x double").coalesce(1)
-    got = [r[0] for r in df.select(plain_digits(F.col("x"))).collect()]
+    got = [r[0] for r in df.select(plain_digits(F.col("x"), "double")).collect()]
     assert got == ["100000", "12000000000", "0,023", "0", "1", "-2,5", "0,0005", None]
 
 
@@ -119,7 +120,7 @@ def test_extra_rows_per_family_count(spark):
 
 
 def test_exploded_stack_equals_naive_stack(spark, medium):
-    from standin import FAMILY, PERSON, standin_persons
+    from standin import standin_persons
 
     persons = normalise_registry(standin_persons(spark, medium))
     families, members = fam.extract_families(persons), fam.homeless_keys(persons)
