@@ -62,3 +62,34 @@ reach(doc_id, other) AS (
 )
 SELECT doc_id, CAST(COALESCE(ANY_VALUE(n), 0) AS BIGINT) AS n_shingles, MIN(other) AS component_id
 FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id"""
+
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+LEXICAL_SEARCH = rf"""
+WITH cut AS (
+  SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERMS}') AS t
+  FROM documents
+),
+sums AS (SELECT COUNT(*) AS n_docs, CAST(SUM(len(t)) AS BIGINT) AS n_terms FROM cut WHERE len(t) > 0),
+tf AS (
+  SELECT doc_id, n, term, COUNT(*) AS tf FROM (SELECT doc_id, CAST(len(t) AS BIGINT) AS n, unnest(t) AS term FROM cut) GROUP BY ALL
+),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * COUNT(*) + 1))) AS BIGINT) AS w FROM tf, sums GROUP BY term, n_docs
+),
+asked AS (
+  SELECT item_id, unnest(regexp_extract_all(
+    translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERMS}')) AS term
+  FROM benchmark
+),
+repeated AS (SELECT item_id, term, COUNT(*) AS repeats FROM asked GROUP BY ALL),
+scored AS (
+  SELECT item_id, doc_id,
+    CAST(SUM(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM repeated JOIN weights USING (term) JOIN tf USING (term), sums GROUP BY item_id, doc_id
+),
+ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""

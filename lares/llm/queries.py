@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from lares.llm import bpe, decontaminate, jaccard_join, lm_bloom, oracle, quality_fm, quality_rules, secret_scan, sharding, suffix_dedup, token_counts
+from lares.llm import bpe, decontaminate, jaccard_join, lexical_search, lm_bloom, oracle, quality_fm, quality_rules, secret_scan, sharding, suffix_dedup, token_counts
 from lares.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_limit(token_counts.token_counts(documents(spark, sf_dir), path), 4096)
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -70,9 +74,14 @@ def queries() -> dict[str, Query]:
         "op8_secret_scan": op8_secret_scan,
         "op9_bpe_round_trip": op9_bpe_round_trip,
         "op10_token_counts": op10_token_counts,
+        "op12_lexical_search": op12_lexical_search,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": oracle.JACCARD_JOIN, "op7_quality_rules": oracle.QUALITY_RULES}
+    return {
+        "op2_jaccard_join": oracle.JACCARD_JOIN,
+        "op7_quality_rules": oracle.QUALITY_RULES,
+        "op12_lexical_search": oracle.LEXICAL_SEARCH,
+    }

@@ -50,8 +50,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def find_words(texts: Texts) -> Words:
-    inside = ~IS_SPACE[texts.data]
+def find_words(texts: Texts, between: np.ndarray = IS_SPACE) -> Words:
+    """The maximal runs of bytes that don't part words. between: True for the bytes that do."""
+    inside = ~between[texts.data]
     begins, stops = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     stops[:-1] &= ~inside[1:]
