@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from lares.llm import bpe, decontaminate, jaccard_join, lexical_search, lm_bloom, oracle, quality_fm, quality_rules, secret_scan, sharding, suffix_dedup, token_counts
+from lares.llm import bpe, decontaminate, jaccard_join, lexical_search, lm_bloom, oracle, periodic_runs, quality_fm, quality_rules, secret_scan, sharding, suffix_dedup, token_counts
 from lares.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -75,6 +79,7 @@ def queries() -> dict[str, Query]:
         "op9_bpe_round_trip": op9_bpe_round_trip,
         "op10_token_counts": op10_token_counts,
         "op12_lexical_search": op12_lexical_search,
+        "op13_periodic_runs": op13_periodic_runs,
         "pipeline": corpus_pipeline.run,
     }
 
