@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from lares.llm import bpe, decontaminate, jaccard_join, lexical_search, lm_bloom, oracle, periodic_runs, quality_fm, quality_rules, secret_scan, sharding, suffix_dedup, token_counts
+from lares.llm import bpe, decontaminate, forest_search, jaccard_join, lexical_search, lm_bloom, oracle, periodic_runs, quality_fm, quality_rules, secret_scan, sharding, suffix_dedup, token_counts
 from lares.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +59,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_limit(token_counts.token_counts(documents(spark, sf_dir), path), 4096)
 
 
+def op11_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return forest_search.neighbours(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
 
@@ -78,6 +84,7 @@ def queries() -> dict[str, Query]:
         "op8_secret_scan": op8_secret_scan,
         "op9_bpe_round_trip": op9_bpe_round_trip,
         "op10_token_counts": op10_token_counts,
+        "op11_forest_search": op11_forest_search,
         "op12_lexical_search": op12_lexical_search,
         "op13_periodic_runs": op13_periodic_runs,
         "pipeline": corpus_pipeline.run,
