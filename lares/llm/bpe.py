@@ -4,21 +4,29 @@ A text is cut into pre-tokens by a pattern. The distinct ones of a slice of text
 matrices of one row each, grouped by length and padded. In every round each row looks up the ranks of all its
 neighbouring pairs in a hash table, merges its leftmost pair of least rank and closes the gap; rows without a
 pair leave. A merged pair's id is its rank, as in rank files. A pre-token that is itself a token is that token.
-Rows over MATRIX_WIDTH bytes, whose rounds would be many, use a heap of pairs with the same order of merges.
+
+Rows over MATRIX_WIDTH bytes merge all pairs of their least rank in one round, from left to right without overlap, so
+that they need about a round a rank and not one a pair. That changes no merge, for no pair with the merged token comes
+before the pairs of the same rank that are left, unless that token is part of one of lower rank; such tokens (`early`) are
+looked up for each rank file and are merged one a round in long rows as well. Only ranks beside a merge are looked up again.
+
+What a task keeps of pre-tokens is bounded in bytes (KEPT); what is forgotten is merged again. A very long text is
+taken whole; it takes some 30 bytes a byte while it is cut.
 
 Null and empty texts have no ids. Decoding concatenates the bytes of the ids, so any text comes back byte for
-byte. Repeated rows are encoded each; other columns are ignored. Nothing is shuffled.
+byte. Repeated rows are encoded each; an empty table gives an empty result; other columns are ignored. Nothing is
+shuffled.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
+import sys
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +36,10 @@ from pyspark.sql import DataFrame
 from lares.llm.kept import Kept
 from lares.llm.tables import keyed_texts, str_slices
 
-#: Chunks of text whose ids a task keeps at a time.
-KEPT = 500_000
+#: Bytes of chunks and their ids that a Python worker keeps.
+KEPT = 96 << 20
+#: The pattern under which a single space between two other characters always begins a pre-token (a fixed value).
+SPACE_BEGINS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MATRIX_WIDTH = 128
 MATRIX_CELLS = 1 << 20
 _NONE = np.int32(2**31 - 1)
@@ -37,6 +47,7 @@ _NONE = np.int32(2**31 - 1)
 
 #: White space beside a space: there a space need not begin a pre-token.
 _DOUBLE = re.compile(r"\s | \s")
+_SINGLE = re.compile(r"(?<=\S) (?=\S)")
 #: Stands before a chunk that has no space before it; a chunk of the text itself never begins so, for it holds no space.
 _MARK = " "
 
@@ -87,77 +98,112 @@ class PairTable:
         return found
 
 
+class Spelling(NamedTuple):
+    """The bytes that stand for each id: data[first[i]:first[i] + size[i]]."""
+
+    data: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+
+    @classmethod
+    def of(cls, parts: list[bytes]) -> Spelling:
+        size = np.array([len(p) for p in parts], np.int64)
+        return cls(np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size, size)
+
+    def write(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of the ids end to end, and where each id's begin (and the last ends)."""
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        at = np.repeat(self.first[ids] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+        return self.data[at].tobytes(), np.append(0, ends)
+
+
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str, kept: int = KEPT):
         self.ranks, self.kept = ranks, Kept(kept)
         self.pattern = regex.compile(pattern)
-        self.bytes_of = [b""] * (max(ranks.values()) + 1)
+        self.cuts = pattern == SPACE_BEGINS
+        bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
-            self.bytes_of[i] = token
-        self.text_of = [str(i) for i in range(len(self.bytes_of))]
+            bytes_of[i] = token
+        self.tokens = Spelling.of(bytes_of)
+        self.numbers = Spelling.of([b"%d," % i for i in range(len(bytes_of))])
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.pairs = {
+        pairs = {
             (ranks[token[:cut]], ranks[token[cut:]]): i
             for token, i in ranks.items()
             for cut in range(1, len(token))
             if token[:cut] in ranks and token[cut:] in ranks
         }
-        self.table = PairTable(self.pairs)
+        #: Tokens that can be merged into one of lower rank.
+        self.early = np.zeros(len(bytes_of), bool)
+        self.early[[part for parts, i in pairs.items() for part in parts if part > i]] = True
+        self.table = PairTable(pairs)
 
-    def encode(self, texts: Iterable[str]) -> list[list[int]]:
-        """The ids of each text."""
+    def encode(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and where each text's begin (and the last ends)."""
         cut = [self._chunks(text) for text in texts]
         known = self.kept.table(set().union(*cut), self._learn)
-        return [list(chain.from_iterable([known[c] for c in chunks])) for chunks in cut]
+        own = [b"".join([known[c] for c in chunks]) for chunks in cut]
+        return np.frombuffer(b"".join(own), np.int32), np.cumsum([0, *map(len, own)]) // 4
 
-    def _learn(self, names: list[str]) -> list[tuple[int, ...]]:
+    def _learn(self, names: list[str]) -> list[bytes]:
+        if not self.cuts:
+            ids = self._merge(names)
+            return [ids[name] for name in names]
         pretokens = [self.pattern.findall(_whole(name)) for name in names]
         ids = self._merge(set().union(*pretokens))
-        return [ids[parts[0]] if len(parts) == 1 else tuple(chain.from_iterable([ids[p] for p in parts])) for parts in pretokens]
+        return [ids[parts[0]] if len(parts) == 1 else b"".join([ids[p] for p in parts]) for parts in pretokens]
 
     def _chunks(self, text: str) -> list[str]:
-        """Parts of a text that the pattern never joins: cut at single spaces, which always begin a pre-token.
+        """Parts of a text that the pattern never joins: cut at single spaces, which always begin a pre-token; for
+        patterns of which that is not known, the pre-tokens.
 
         A chunk stands for itself with a space before it; the first of a text, which has none, is marked.
         """
         if not text:
             return []
+        if not self.cuts:
+            return self.pattern.findall(text)
         chunks = text.split(" ")
-        if len(chunks) > 1 and (_DOUBLE.search(text) or not chunks[0] or not chunks[-1]):
-            chunks = [text]
+        if len(chunks) > 1 and (not chunks[0] or not chunks[-1] or _DOUBLE.search(text)):
+            chunks = _SINGLE.split(text)
         chunks[0] = _MARK + chunks[0]
         return chunks
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        table = self.bytes_of
-        return b"".join([table[i] for i in ids])
+        return self.tokens.write(np.asarray(ids, np.int64))[0]
 
-    def _merge(self, names: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of each pre-token."""
-        merged: dict[str, tuple[int, ...]] = {}
+    def _merge(self, names: Iterable[str]) -> dict[str, bytes]:
+        """The ids of each pre-token, as the bytes of 32-bit numbers."""
+        merged: dict[str, bytes] = {}
         by_width: dict[int, list[tuple[str, bytes]]] = {}
         for name in names:
             data = name.encode()
             if (whole := self.ranks.get(data)) is not None:
-                merged[name] = (whole,)
-            elif len(data) > MATRIX_WIDTH:
-                merged[name] = self._by_heap(data)
+                merged[name] = whole.to_bytes(4, sys.byteorder)
             else:
-                width = len(data) if len(data) <= 16 else -(-len(data) // 8) * 8
-                by_width.setdefault(width, []).append((name, data))
+                # Rows of a matrix differ by an eighth of their length at most.
+                step = max(1, 1 << max(0, len(data).bit_length() - 4))
+                by_width.setdefault(-(-len(data) // step) * step, []).append((name, data))
         for width, rows in by_width.items():
             step = max(1, MATRIX_CELLS // width)
+            merge = self._by_ranks if width > MATRIX_WIDTH else self._by_pairs
             for at in range(0, len(rows), step):
                 part = rows[at : at + step]
-                for (name, _), ids in zip(part, self._by_matrix([d for _, d in part], width), strict=True):
+                for (name, _), ids in zip(part, merge([d for _, d in part], width), strict=True):
                     merged[name] = ids
         return merged
 
-    def _by_matrix(self, rows: list[bytes], width: int) -> list[tuple[int, ...]]:
+    def _matrix(self, rows: list[bytes], width: int) -> np.ndarray:
         lengths = np.array([len(r) for r in rows])
         cells = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in rows), np.uint8).reshape(-1, width)
-        matrix = np.where(np.arange(width) < lengths[:, None], self.byte_ids[cells], np.int32(-1))
-        done: list[tuple[int, ...]] = [()] * len(rows)
+        return np.where(np.arange(width) < lengths[:, None], self.byte_ids[cells], np.int32(-1))
+
+    def _by_pairs(self, rows: list[bytes], width: int) -> list[bytes]:
+        """The ids of rows of at most `width` bytes, a pair of each row in a round."""
+        matrix = self._matrix(rows, width)
+        done = [b""] * len(rows)
         alive = np.arange(len(rows))
         while len(alive):
             wide = matrix.shape[1]
@@ -165,34 +211,67 @@ class Encoder:
             at = ranks.argmin(1) if wide > 1 else np.zeros(len(alive), np.int64)
             least = ranks[np.arange(len(alive)), at] if wide > 1 else np.full(len(alive), _NONE)
             ended = least == _NONE
-            for row, ids in zip(alive[ended], matrix[ended].tolist(), strict=True):
-                done[row] = tuple(ids[: ids.index(-1)] if ids[-1] < 0 else ids)
-            go = ~ended
-            matrix, at, least, alive = matrix[go], at[go], least[go], alive[go]
+            if ended.any():
+                _finish(done, alive[ended], matrix[ended])
+                go = ~ended
+                matrix, at, least, alive = matrix[go], at[go], least[go], alive[go]
             matrix = np.where(np.arange(wide - 1) < at[:, None] + 1, matrix[:, :-1], matrix[:, 1:])
             matrix[np.arange(len(alive)), at] = least
         return done
 
-    def _by_heap(self, data: bytes) -> tuple[int, ...]:
-        ids = self.byte_ids[np.frombuffer(data, np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.pairs.get((ids[i], ids[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, left, right = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != left or j >= n or ids[j] != right:
+    def _by_ranks(self, rows: list[bytes], width: int) -> list[bytes]:
+        """The same, a rank of each row in a round."""
+        matrix = self._matrix(rows, width)
+        # The rank of a cell and the next one; none beyond the last.
+        ranks = np.full(matrix.shape, _NONE)
+        ranks[:, :-1] = self.table.lookup(matrix[:, :-1].ravel(), matrix[:, 1:].ravel()).reshape(len(rows), -1)
+        done = [b""] * len(rows)
+        alive = np.arange(len(rows))
+        while len(alive):
+            least = ranks.min(1)
+            ended = least == _NONE
+            if ended.any():
+                _finish(done, alive[ended], matrix[ended])
+                go = ~ended
+                matrix, ranks, least, alive = matrix[go], ranks[go], least[go], alive[go]
                 continue
-            ids[i], ids[j] = rank, -1
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (r := self.pairs.get((rank, ids[k]))) is not None:
-                    heapq.heappush(heap, (r, i, rank, ids[k]))
-            if (h := before[i]) >= 0 and (r := self.pairs.get((ids[h], rank))) is not None:
-                heapq.heappush(heap, (r, h, ids[h], rank))
-        return tuple(i for i in ids if i >= 0)
+            row, at = np.nonzero(ranks == least[:, None])
+            # Places in a stretch of neighbouring hits: every other one overlaps the one before.
+            begins = np.append(True, (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1))
+            place = np.arange(len(at)) - np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
+            chosen = place % 2 == 0
+            chosen &= ~self.early[least[row]] | np.append(True, row[1:] != row[:-1])
+            row, at = row[chosen], at[chosen]
+            matrix[row, at] = least[row]
+            matrix[row, at + 1] = -1
+            fresh = np.zeros(matrix.shape, bool)
+            fresh[row, at] = True
+            matrix, ranks, fresh = _closed(matrix, ranks, fresh)
+            fresh[:, :-1] |= fresh[:, 1:]
+            row, at = np.nonzero(fresh)
+            last = at + 1 == matrix.shape[1]
+            after = np.where(last, np.int32(-1), matrix[row, np.minimum(at + 1, matrix.shape[1] - 1)])
+            ranks[row, at] = self.table.lookup(matrix[row, at], after)
+        return done
+
+
+def _finish(done: list[bytes], rows: np.ndarray, matrix: np.ndarray) -> None:
+    sizes = (matrix >= 0).sum(1)
+    for row, ids, size in zip(rows.tolist(), matrix, sizes.tolist(), strict=True):
+        done[row] = ids[:size].tobytes()
+
+
+def _closed(matrix: np.ndarray, ranks: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows without their gaps."""
+    kept = matrix >= 0
+    sizes = kept.sum(1)
+    filled = np.arange(sizes.max()) < sizes[:, None]
+    out = []
+    for cells, empty in ((matrix, -1), (ranks, _NONE), (fresh, False)):
+        closed = np.full(filled.shape, empty, cells.dtype)
+        closed[filled] = cells[kept]
+        out.append(closed)
+    return tuple(out)
 
 
 @lru_cache(maxsize=2)
@@ -210,12 +289,13 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
         encoder = load_encoder(path, pattern)
         for batch in batches:
             for row, texts in str_slices(batch.column("text")):
-                ids = encoder.encode(texts)
-                same = [encoder.decode(i) == t.encode() for i, t in zip(ids, texts, strict=True)]
+                ids, first = encoder.encode(texts)
+                data, at = encoder.tokens.write(ids)
+                ends = at[first].tolist()
+                same = [data[a:b] == t.encode() for a, b, t in zip(ends, ends[1:], texts, strict=False)]
+                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))
                 keys = batch.column("doc_id").slice(row, len(texts))
-                yield pa.RecordBatch.from_arrays(
-                    [keys, pa.array(ids, pa.list_(pa.int32())), pa.array(same)], ["doc_id", "ids", "round_trip"]
-                )
+                yield pa.RecordBatch.from_arrays([keys, lists, pa.array(same, pa.bool_())], ["doc_id", "ids", "round_trip"])
 
     return keyed_texts(docs, key, text).mapInArrow(run, "doc_id long, ids array<int>, round_trip boolean")
 
@@ -233,33 +313,29 @@ def decode(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id", ids
     return columns.mapInArrow(run, "doc_id long, data binary")
 
 
+DIGESTS = pa.schema(
+    [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+)
+
+
 def round_trip_digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row the number of ids, the digest of the ids and the digest of the bytes that they decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load_encoder(path, pattern)
-        names = encoder.text_of
         for batch in batches:
             for row, texts in str_slices(batch.column("text")):
-                keys = batch.column("doc_id").slice(row, len(texts)).to_pylist()
-                rows = [
-                    (
-                        k,
-                        len(ids),
-                        hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest(),
-                        hashlib.sha256(encoder.decode(ids)).hexdigest(),
-                    )
-                    for k, ids in zip(keys, encoder.encode(texts), strict=True)
-                ]
-                yield pa.RecordBatch.from_pylist(
-                    [dict(zip(DIGESTS.names, r, strict=True)) for r in rows], schema=DIGESTS
-                )
+                ids, first = encoder.encode(texts)
+                digests = []
+                for spelling, end in ((encoder.numbers, 1), (encoder.tokens, 0)):
+                    data, at = spelling.write(ids)
+                    own, cuts = memoryview(data), at[first].tolist()
+                    # The last number of a text has no comma after it.
+                    digests.append([hashlib.sha256(own[a : max(a, b - end)]).hexdigest() for a, b in zip(cuts, cuts[1:], strict=False)])
+                keys = batch.column("doc_id").slice(row, len(texts))
+                columns = [keys, pa.array(np.diff(first)), *map(pa.array, digests)]
+                yield pa.RecordBatch.from_arrays(columns, schema=DIGESTS)
 
     return keyed_texts(docs, key, text).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
-
-
-DIGESTS = pa.schema(
-    [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-)

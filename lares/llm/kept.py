@@ -3,25 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from typing import Any
+
+#: What an entry takes beside its key's and its result's own bytes, about.
+ENTRY = 200
 
 
 class Kept:
-    """Results by key. Of those not used lately, some are forgotten; that costs time and changes no result."""
+    """Results (bytes) by key, of about `limit` bytes. Of those not used lately, some are forgotten; that costs time and
+    changes no result."""
 
     def __init__(self, limit: int):
-        self.half, self.recent, self.older = max(1, limit // 2), {}, {}
+        self.half, self.size, self.recent, self.older = max(1, limit // 2), 0, {}, {}
 
-    def table(self, keys: Iterable[str], learn: Callable[[list[str]], Iterable[Any]]) -> dict[str, Any]:
+    def table(self, keys: Iterable[str], learn: Callable[[list[str]], Iterable[bytes]]) -> dict[str, bytes]:
         """A table with at least these keys; `learn` gives the results of new ones."""
-        missing = set(keys).difference(self.recent)
-        if len(self.recent) + len(missing) > self.half:
-            self.older, self.recent = self.recent, {}
-            missing = set(keys)
-        if self.older:
-            again = missing.intersection(self.older)
-            self.recent.update((k, self.older[k]) for k in again)
-            missing -= again
-        new = list(missing)
-        self.recent.update(zip(new, learn(new), strict=True))
+        keys = set(keys)
+        missing = keys.difference(self.recent)
+        if self.size + ENTRY * len(missing) > self.half:
+            self.older, self.recent, self.size = self.recent, {}, 0
+            missing = keys
+        again = missing.intersection(self.older) if self.older else ()
+        new = list(missing.difference(again))
+        self._add({k: self.older[k] for k in again})
+        self._add(dict(zip(new, learn(new), strict=True)))
         return self.recent
+
+    def _add(self, entries: dict[str, bytes]) -> None:
+        self.recent.update(entries)
+        self.size += ENTRY * len(entries) + sum(map(len, entries)) + sum(map(len, entries.values()))

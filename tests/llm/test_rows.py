@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from lares.llm import bpe, queries, quality_rules, secret_scan, token_counts
+from lares.llm.tables import text_slices
 from tests.llm import brute
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -191,19 +195,51 @@ def test_byte_bpe_on_edges(edges, edge_rows, nothing, tiktoken_ids):
 )
 def test_byte_bpe_of_single_texts(text, tiktoken_ids):
     encoder = bpe.load_encoder(RANKS, public_tokenizers.PATTERN)
-    assert encoder.encode([text]) == [tiktoken_ids(text)]
-    assert encoder.decode(encoder.encode([text])[0]) == text.encode()
+    ids, first = encoder.encode(["a b", text])
+    assert ids[first[1] :].tolist() == tiktoken_ids(text) and first.tolist()[::2] == [0, len(ids)]
+    assert encoder.decode(ids[first[1] :]) == text.encode()
+
+
+@pytest.mark.parametrize("letters", ["a", "ab", "etaoin shr", "abcdefghijklmnopqrstuvwxyz", "日本語中文字"])
+def test_byte_bpe_of_long_pretokens(letters, tiktoken_ids):
+    rng = random.Random(6)
+    encoder = bpe.load_encoder(RANKS, public_tokenizers.PATTERN)
+    for n in (126, 128, 130, 300, 2000):
+        text = "".join(rng.choice(letters) for _ in range(n))
+        assert encoder.encode([text])[0].tolist() == tiktoken_ids(text)
+
+
+def test_byte_bpe_under_another_pattern():
+    """A space within a pre-token: nothing may be cut there."""
+    import tiktoken
+
+    encoder = bpe.load_encoder(RANKS, public_tokenizers.PATTERN)
+    pattern = r"[^\n]{1,9}|\n"
+    other = bpe.Encoder(encoder.ranks, pattern)
+    plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=encoder.ranks, special_tokens={})
+    text = "one of the words, and one of the lines\n of it"
+    assert other.encode([text])[0].tolist() == plain.encode_ordinary(text)
 
 
 def test_bounded_tables_change_nothing(rows_of, small, tiktoken_ids):
     encoder = bpe.load_encoder(RANKS, public_tokenizers.PATTERN)
-    tight = bpe.Encoder(encoder.ranks, public_tokenizers.PATTERN, kept=50)
+    tight = bpe.Encoder(encoder.ranks, public_tokenizers.PATTERN, kept=5000)
     for _, text in rows_of(small)[:40]:
-        assert tight.encode([text]) == [tiktoken_ids(text)]
-    model = token_counts._model(PIECES)
-    counter = token_counts.PieceCounter(lambda names: model.encode(names, out_type=int), kept=50)
-    for _, text in rows_of(small)[:40]:
-        assert counter.totals([text]) == [len(model.encode(text))]
+        assert tight.encode([text])[0].tolist() == tiktoken_ids(text)
+
+
+def test_tables_are_bounded_in_bytes(tiktoken_ids):
+    """Texts with double spaces, together several times the bound: chunks between them stay small, and so does the table."""
+    encoder = bpe.load_encoder(RANKS, public_tokenizers.PATTERN)
+    limit = 200_000
+    tight = bpe.Encoder(encoder.ranks, public_tokenizers.PATTERN, kept=limit)
+    rng = random.Random(9)
+    for i in range(30):
+        text = "".join(f"w{rng.randrange(10**6)}" + rng.choice([" ", "  ", " \n "]) for _ in range(400))
+        assert tight.encode([text])[0].tolist() == tiktoken_ids(text)
+        held = [*tight.kept.recent.items(), *tight.kept.older.items()]
+        assert tight.kept.size <= limit // 2 + 200_000 and sum(len(k) + len(v) for k, v in held) < limit
+        assert max(len(k) for k, _ in held) < 200
 
 
 def plain_counts(rows):
@@ -221,8 +257,37 @@ def test_token_counts_on_edges(edges, edge_rows, nothing):
     assert token_counts.token_counts(nothing, PIECES).count() == 0
 
 
-@pytest.mark.parametrize("text", ["▁a", "a▁b", " ", "   ", "a  ", "  a   b ", "\n\n", "<s> </s> <unk>", "\x00", "a\tb"])
-def test_pieces_of_single_texts(text):
+def test_token_counts_of_odd_spaces(spark):
+    texts = ["▁a", "a▁b", " ", "   ", "a  ", "  a   b ", "\n\n", "<s> </s> <unk>", "\x00", "a\tb", "", None, "a"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    same([tuple(r)[:3] for r in token_counts.token_counts(table, PIECES).collect()], [r[:3] for r in plain_counts(rows)])
+
+
+def test_each_pretoken_is_counted_once_a_range(rows_of, small):
+    """Slices and ranges without Spark: right sums, one call a distinct pre-token, none for hot ones."""
     model = token_counts._model(PIECES)
-    counter = token_counts.PieceCounter(lambda names: model.encode(names, out_type=int))
-    assert counter.totals([text]) == [len(model.encode(text))]
+    texts = [t or "" for _, t in rows_of(small)]
+    asked = Counter()
+
+    def encode(names):
+        asked.update(names)
+        return model.encode(names, out_type=int)
+
+    hot = dict(zip([b"the", b"de"], token_counts.pieces_of(lambda n: model.encode(n, out_type=int), [b"the", b"de"]).tolist(), strict=True))
+    parts, sent = 5, []
+    for at in range(0, len(texts), 50):
+        (own,) = text_slices(pa.array(texts[at : at + 50]), 1 << 30)
+        ids = pa.array(range(at, at + len(own.offsets) - 1))
+        sent += token_counts.slice_rows(f"s{at}", token_counts.read_slice(own), parts, hot, ids, np.diff(own.offsets))
+    sums = [r for r in sent if r["doc_ids"] is not None]
+    for part in range(parts):
+        sums += token_counts.count_range([r for r in sent if r["part"] == part and r["doc_ids"] is None], encode)
+    got = {}
+    for name in {r["slice"] for r in sums}:
+        table = token_counts.add_up(name, [r for r in sums if r["slice"] == name])
+        got.update(zip(table.column("doc_id").to_pylist(), table.column("n_tokens").to_pylist(), strict=True))
+    assert got == {i: len(model.encode(t)) for i, t in enumerate(texts)}
+    assert set(asked.values()) == {1} and not {"the", "de"} & set(asked)
+    with pytest.raises(RuntimeError, match="slice s0"):
+        token_counts.add_up("s0", [r for r in sums if r["slice"] == "s0"][:-1])
