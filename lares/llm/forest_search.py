@@ -175,7 +175,10 @@ def space_of(rows: DataFrame) -> Space | None:
 
 
 def _least_hashes(rows: DataFrame, n: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """vec_ids and vectors of the n rows of least hash of vec_id."""
+    """vec_ids and vectors of the n rows of least hash of vec_id. Only rows whose hash can be among the least are sorted."""
+    total = rows.count()
+    if total > 4 * n:
+        rows = rows.filter(F.shiftrightunsigned(F.xxhash64("vec_id"), 1) < int(2**63 * 2 * n / total))
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).select("vec_id", "vector").toArrow()
     return chosen.column("vec_id").to_numpy(), _matrix(chosen.column("vector"), dim)
 

@@ -4,8 +4,8 @@ The model's merges never cross the start of a run of spaces: no piece holds a sp
 (`check_model` raises otherwise). A text is therefore the sequence of its pre-tokens, each a run of spaces and
 what follows it, and its token count is the sum over its distinct pre-tokens of frequency times pieces.
 
-1. Hot pre-tokens: the HOT of up to LONGEST_HOT bytes that are in most texts of a sample (the SAMPLE texts of least
-   hash) are counted once and broadcast. Which they are changes no result: they keep the hash ranges even.
+1. Hot pre-tokens: the HOT of up to LONGEST_HOT bytes that are in most texts of a random sample of about SAMPLE texts
+   are counted once and broadcast. Which they are changes no result: they keep the hash ranges even.
 2. A slice of texts is taken apart. Its hot pre-tokens are summed up by text; the others, each once a slice, and their
    frequencies by text go to hash ranges, about RANGE_BYTES of text to a range.
 3. A range counts the pieces of each distinct pre-token once, joins the counts to the frequencies and sends one sum a
@@ -203,8 +203,8 @@ def add_up(name: str, rows: list[dict]) -> pa.Table:
     return pa.table([pa.array(whole["doc_ids"], pa.int64()), pa.array(_unpacked(whole["n_bytes"])), pa.array(total)], schema=_COUNTS)
 
 
-def hot_pretokens(source: DataFrame, model_path: str) -> dict[bytes, int]:
-    """The pieces of the HOT pre-tokens that are in most texts of a sample: the SAMPLE texts of least hash."""
+def hot_pretokens(source: DataFrame, rows: int, model_path: str) -> dict[bytes, int]:
+    """The pieces of the HOT pre-tokens that are in most texts of a sample of about SAMPLE texts."""
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,8 +217,7 @@ def hot_pretokens(source: DataFrame, model_path: str) -> dict[bytes, int]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(pieces_of(_encode(model_path), batch.column("name").to_pylist()))], ["name", "pieces"])
 
-    sample = source.select("text", F.xxhash64("doc_id", "text").alias("hash")).orderBy("hash").limit(SAMPLE).select("text")
-    counted = sample.mapInArrow(names, "name binary, n long").groupBy("name").agg(F.sum("n").alias("n"))
+    counted = source.select("text").sample(min(1.0, SAMPLE / max(1, rows)), seed=1).mapInArrow(names, "name binary, n long").groupBy("name").agg(F.sum("n").alias("n"))
     most = counted.orderBy(F.desc("n"), "name").limit(HOT).select("name")
     return {bytes(r["name"]): r["pieces"] for r in most.mapInArrow(pieces, "name binary, pieces long").collect()}
 
@@ -236,9 +235,9 @@ def _encode(path: str) -> Callable[[list[str]], list[list[int]]]:
 def token_counts(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, the UTF-8 length of its text and n_tokens of each row."""
     source = keyed_texts(docs, key, text)
-    n_bytes = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows, n_bytes = source.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = 1 + n_bytes // RANGE_BYTES
-    shared = docs.sparkSession.sparkContext.broadcast(hot_pretokens(source, model_path))
+    shared = docs.sparkSession.sparkContext.broadcast(hot_pretokens(source, rows, model_path))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, number = shared.value, 0
