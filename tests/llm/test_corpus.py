@@ -39,7 +39,7 @@ def test_near_duplicates_on_edges(edges, edge_rows, nothing):
 
 def test_near_duplicates_with_long_lists(spark, monkeypatch):
     """A large group of near copies, a passage in most texts, and blocks smaller than both."""
-    monkeypatch.setattr(jaccard_join, "LONG", 4)
+    monkeypatch.setattr(jaccard_join, "SKETCH_BITS", 10)
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
     rng = random.Random(5)
     word = lambda: f"w{rng.randrange(4000)}"
@@ -156,7 +156,7 @@ def test_leaks_of_items_with_few_literal_words(spark):
 def test_leaks_on_edges(spark, edges, edge_rows, nothing):
     items = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(edge_rows)], "item_id long, text string")
     found = decontaminate.leaks(edges, items).collect()
-    assert {(8, 12), (6, 7), (6, 8), (6, 9), (7, 7)} <= {(r.doc_id, r.item_id) for r in found}
+    assert {(8, 10), (10, 12), (6, 7), (6, 8), (6, 9), (7, 7)} <= {(r.doc_id, r.item_id) for r in found}
     assert decontaminate.leaks(nothing, items).count() == decontaminate.leaks(edges, items.limit(0)).count() == 0
 
 
