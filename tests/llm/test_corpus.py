@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lares.llm import components, decontaminate, jaccard_join, lm_bloom, quality_fm, queries, secret_scan, sharding, suffix_dedup
@@ -39,7 +40,6 @@ def test_near_duplicates_on_edges(edges, edge_rows, nothing):
 
 def test_near_duplicates_with_long_lists(spark, monkeypatch):
     """A large group of near copies, a passage in most texts, and blocks smaller than both."""
-    monkeypatch.setattr(jaccard_join, "SKETCH_BITS", 10)
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
     rng = random.Random(5)
     word = lambda: f"w{rng.randrange(4000)}"
@@ -326,6 +326,27 @@ def test_shards_of_a_large_group(spark):
     assert set(sizes) == set(range(5))
 
 
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01", "sf0.1"])
+def test_equal_texts_share_a_shard(spark, medium, scale):
+    """At every size, for no group here is as large as a shard; sizes stay near equal where the texts are small to a shard."""
+    table = spark.read.parquet(medium.replace("sf0.01", scale) + "/documents.parquet")
+    got = sharding.assign(table, shards=8).join(table.select("doc_id", F.md5("text").alias("digest")), "doc_id").collect()
+    shards_of, sizes = defaultdict(set), Counter()
+    for r in got:
+        shards_of[r.digest].add(r.shard)
+        sizes[r.shard] += r["size"]
+    assert len(shards_of) < len(got) and all(len(own) == 1 for own in shards_of.values())
+    largest = max(r["size"] for r in got)
+    assert max(sizes.values()) - min(sizes.values()) <= max(largest, 0.01 * sum(sizes.values()) / 8)
+
+
+def test_only_a_group_beyond_a_shard_is_cut(spark):
+    rows = [(i, "one text of many copies" if i < 500 else "other copies" if i < 600 else f"another text, number {i}") for i in range(1000)]
+    got = sharding.assign(spark.createDataFrame(rows, TEXTS), shards=8, bundles=64).collect()
+    assert {r.shard for r in got if r.doc_id < 500} == set(range(8))
+    assert len({r.shard for r in got if 500 <= r.doc_id < 600}) == 1
+
+
 def test_tokens_of_shards_are_words(edges, edge_rows):
     got = Counter((r.doc_id, r.tokens) for r in sharding.measure(edges).collect())
     assert got == Counter((key, len(brute.words(text))) for key, text in edge_rows)
