@@ -124,14 +124,6 @@ def build_segment(keys: np.ndarray, counts: np.ndarray, order: int) -> bytes:
     return np.packbits(flags, bitorder="little").tobytes()
 
 
-def fold(segment: bytes, halvings: int) -> bytes:
-    """A smaller segment with every n-gram and more false hits. Scores don't use it: they need the segments whole."""
-    bits = np.frombuffer(segment, np.uint8)
-    for _ in range(halvings):
-        if len(bits) > 8:
-            bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
-    return bits.tobytes()
-
 
 def _add_up(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     order, part = key[0].as_py(), key[1].as_py()
