@@ -26,9 +26,17 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 ROW = "_row_of_stage"
 
 
-def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs (numbered by ROW) without the rows of that number."""
-    return docs.join(rows, ROW, "left_anti").drop(ROW)
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with the place of each row, and the new column's name: ROW, or one like it that docs doesn't have."""
+    name, taken = ROW, {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return docs.withColumn(name, F.monotonically_increasing_id()), name
+
+
+def _without(docs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """docs (numbered by that column) without the rows of those numbers."""
+    return docs.join(rows, name, "left_anti").drop(name)
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,19 +45,19 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def apply_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
-    found = settle(jaccard_join.near_duplicates(numbered, key=ROW).withColumnRenamed("doc_id", ROW))
-    rows = found.join(numbered.select(ROW, "doc_id"), ROW)
-    kept = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW].alias("kept"))
-    dropped = rows.join(kept, "component_id").filter(F.col(ROW) != F.col("kept")).select(ROW)
-    return _without(numbered, settle(dropped))
+    numbered, row = _numbered(docs)
+    found = settle(jaccard_join.near_duplicates(numbered, key=row).withColumnRenamed("doc_id", row))
+    rows = found.join(numbered.select(row, "doc_id"), row)
+    kept = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row))[row].alias("kept"))
+    dropped = rows.join(kept, "component_id").filter(F.col(row) != F.col("kept")).select(row)
+    return _without(numbered, settle(dropped), row)
 
 
 def apply_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
+    numbered, row = _numbered(docs)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaked = decontaminate.leaks(numbered, benchmark, key=ROW).select(F.col("doc_id").alias(ROW)).distinct()
-    return _without(numbered, settle(leaked))
+    leaked = decontaminate.leaks(numbered, benchmark, key=row).select(F.col("doc_id").alias(row)).distinct()
+    return _without(numbered, settle(leaked), row)
 
 
 def apply_secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
