@@ -12,7 +12,8 @@ bucket; its members stand for all strings of 100 bytes that contain their 44 byt
    of them repeat all their strings, and no text is looked at again.
 3. Buckets with several names go on: their strings, and only those, are sorted by their own hash one range of hashes
    at a time, and all but the first of equal ones repeat it.
-4. Texts with repeats meet their spans, the others are done where they are read.
+4. Spans are joined by blocks of rows of the table. Texts with repeats meet them, the others are done where they are
+   read.
 
 Each range is one group of one task and is as small as the number of ranges, which follows the input's partitions,
 makes it. A task sends only the first of equal names or strings that it has seen, so a large group of copies arrives
@@ -21,7 +22,11 @@ compared by 64-bit hashes.
 
 Earlier means smaller doc_id, then earlier row of the table, then smaller offset. Rows without doc_id come last.
 Null and empty texts have no bytes; texts under 100 bytes lose none. Strings don't cross texts and are judged on
-the input. Repeated rows are later than the first of them. Other columns are ignored.
+the input. Repeated rows are later than the first of them. Other columns are ignored. An empty table gives none; a very
+long text is taken whole by one task.
+
+The table is read several times, and rows are known by their places in it: it has to be a stored table (or one that
+settle() has stored), not the result of a shuffle that may give its rows in another order when run again.
 """
 
 from __future__ import annotations
@@ -339,6 +344,52 @@ def sorted_strings(docs: DataFrame, several: np.ndarray, bits: int) -> DataFrame
     return docs.mapInArrow(run, _SENT_SQL).groupBy("part").applyInArrow(_sort_range(bits, False), _SENT_SQL)
 
 
+_SPANS = pa.schema([(c, _SENT.field(c).type) for c in ("block", "rows", "starts", "ends")])
+_SPANS_SQL = "block long, rows binary, starts binary, ends binary"
+
+
+def _read_spans(rows: list[dict]) -> tuple[np.ndarray, ...]:
+    """Rows within the block, starts and ends."""
+    types = {"rows": np.uint16, "starts": np.int64, "ends": np.int64}
+    return tuple(np.concatenate([np.zeros(0, t), *(np.frombuffer(r[c], t) for r in rows)]) for c, t in types.items())
+
+
+def joined_spans(spans: DataFrame, bits: int) -> DataFrame:
+    """One row a block: the spans that all ranges found in its texts, overlapping ones joined."""
+
+    def join(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        rows, starts, ends = _read_spans(table.to_pylist())
+        found = _spans((key[0].as_py() << BLOCK_BITS) + rows.astype(np.int64), starts, ends, bits)
+        return pa.Table.from_pylist([{c: r[c] for c in _SPANS.names} for r in found], _SPANS)
+
+    return spans.groupBy("block").applyInArrow(join, _SPANS_SQL)
+
+
+def _slot(blocks: np.ndarray) -> np.ndarray:
+    return (mix(blocks.astype(np.uint64)) >> np.uint64(64 - (TOUCHED_BITS - BLOCK_BITS))).astype(np.int64)
+
+
+def touched_rows(spans: DataFrame) -> np.ndarray:
+    """A bit for each row that has spans, in 2 ** TOUCHED_BITS bits: a line of bits a slot of blocks. Blocks that share
+    a slot share its bits, and a bit too many costs a row's way, no more."""
+    words = [f"w{i}" for i in range((1 << BLOCK_BITS) // 64)]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flags = np.zeros((batch.num_rows, 1 << BLOCK_BITS), np.uint8)
+            for line, rows in zip(flags, batch.column("rows").to_pylist(), strict=True):
+                line[np.frombuffer(rows, np.uint16)] = 1
+            masks = np.packbits(flags, axis=1, bitorder="little").view(np.int64)
+            columns = [_slot(batch.column("block").to_numpy()).astype(np.int32), *masks.T]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["slot", *words])
+
+    marked = spans.select("block", "rows").mapInArrow(mark, "slot int, " + ", ".join(f"{w} long" for w in words))
+    found = marked.groupBy("slot").agg(*[F.bit_or(w).alias(w) for w in words]).toArrow()
+    touched = np.zeros((1 << (TOUCHED_BITS - BLOCK_BITS), len(words)), np.int64)
+    touched[found.column("slot").to_numpy()] = np.stack([found.column(w).to_numpy() for w in words], axis=1)
+    return touched.view(np.uint8)
+
+
 _RESULT = pa.schema(
     [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
 )
@@ -358,11 +409,7 @@ def without_spans(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[by
 
 def _cut(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
     """The rows of one block: those that are done, and those whose text meets its spans."""
-    spans = [
-        tuple(np.frombuffer(r[c], t) for c, t in (("rows", np.uint16), ("starts", np.int64), ("ends", np.int64)))
-        for r in right.to_pylist()
-    ]
-    rows, starts, ends = (np.concatenate(c) for c in zip(*spans, strict=True)) if spans else (np.zeros(0, np.int64),) * 3
+    rows, starts, ends = _read_spans(right.to_pylist())
     out = []
     for r in left.to_pylist():
         if r["text"] is not None:
@@ -385,30 +432,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     several = _whole_map(ties.filter("segment is not null").select("part", "segment"))
     strings = settle(sorted_strings(source, several, bits))
     spans = ties.filter("block is not null").unionByName(strings.filter("block is not null"))
-    spans = spans.select("block", "rows", "starts", "ends")
-
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [
-                (np.int64(block) << BLOCK_BITS) + np.unique(np.frombuffer(rows, np.uint16)).astype(np.int64)
-                for block, rows in zip(batch.column("block").to_pylist(), batch.column("rows").to_pylist(), strict=True)
-            ]
-            places = np.concatenate(found) if found else np.zeros(0, np.int64)
-            slot = np.unique(mix(places.astype(np.uint64)) >> np.uint64(64 - TOUCHED_BITS)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(slot)], ["slot"])
-
-    touched = np.zeros(1 << TOUCHED_BITS, bool)
-    touched[spans.select("block", "rows").mapInArrow(slots, "slot int").distinct().toArrow().column("slot").to_numpy()] = True
-    shared = spark.sparkContext.broadcast(np.packbits(touched))
+    spans = settle(joined_spans(spans.select("block", "rows", "starts", "ends"), bits))
+    shared = spark.sparkContext.broadcast(touched_rows(spans))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        possible = np.unpackbits(shared.value).astype(bool)
+        possible = np.unpackbits(shared.value, axis=1, bitorder="little").astype(bool)
         for batch in batches:
             out = []
             for texts in text_slices(batch.column("text")):
                 places = batch.column("place").to_numpy()[texts.first_row :][: len(texts.offsets) - 1]
                 ids = batch.column("doc_id").slice(texts.first_row, len(places)).to_pylist()
-                wanted = possible[(mix(places.astype(np.uint64)) >> np.uint64(64 - TOUCHED_BITS)).astype(np.int64)]
+                wanted = possible[_slot(places >> BLOCK_BITS), places & ((1 << BLOCK_BITS) - 1)]
                 for i, (place, doc_id) in enumerate(zip(places.tolist(), ids, strict=True)):
                     data = texts.data[texts.offsets[i] : texts.offsets[i + 1]].tobytes()
                     row = {"block": place >> BLOCK_BITS, "place": place, "doc_id": doc_id, "n_bytes": len(data)}

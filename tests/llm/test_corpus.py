@@ -203,6 +203,21 @@ def test_repeats_of_random_pieces(spark, partitions):
     assert Counter(map(tuple, suffix_dedup.remove_repeats(table).collect())) == repeats(rows)
 
 
+def test_spans_of_blocks(spark):
+    """Spans of one block from several ranges become one row; the rows they touch are found, also in far partitions."""
+    blocks = {0: [(3, 0, 100), (3, 50, 180), (511, 7, 107)], 1: [(0, 0, 100)], (5 << 33) >> suffix_dedup.BLOCK_BITS: [(64, 1, 101)]}
+    types = (np.uint16, np.int64, np.int64)
+    sent = [(b, *(np.array([v], t).tobytes() for v, t in zip(s, types, strict=True))) for b, own in blocks.items() for s in own]
+    spans = suffix_dedup.joined_spans(spark.createDataFrame(sent, "block long, rows binary, starts binary, ends binary"), 4)
+    got = {r["block"]: list(zip(*(np.frombuffer(r[c], t).tolist() for c, t in zip(r.asDict(), (None, *types)) if t), strict=True)) for r in spans.collect()}
+    assert got == blocks | {0: [(3, 0, 180), (511, 7, 107)]}
+    touched = np.unpackbits(suffix_dedup.touched_rows(spans), axis=1, bitorder="little")
+    assert touched.sum() == 4
+    for block, own in blocks.items():
+        assert all(touched[suffix_dedup._slot(np.array([block]))[0], row] for row, _, _ in own)
+    assert not suffix_dedup.touched_rows(spans.limit(0)).any()
+
+
 def check_scores(got, rows):
     want = defaultdict(list)
     for (key, _), r in zip(rows, brute.unigram_scores(rows), strict=True):
