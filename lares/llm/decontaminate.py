@@ -1,11 +1,15 @@
 """Benchmark items in documents, also with other numbers, names and units.
 
 A text becomes a template: punctuation around words goes, words without a letter or digit go, words are lower-cased
-(A-Z and Latin-1), numbers become one placeholder, units after a number another. A second template of the same words makes
+(A-Z and Latin-1), numbers (digits, or number words of four languages) become one placeholder, units after a number
+another; a unit glued to its number ("5kg") is a word of its own. A second template of the same words makes
 capitalised words a placeholder, too. The words as they are make a third, for verbatim copies. Each is cut into
 windows of WINDOW words. An item of fewer words is one window, with at least SHORTEST words for the templates and at
 least VERBATIM as it is. Template windows must have LITERALS literal words to be looked up; words as they are need none.
 
+Windows that more than COMMON items hold, as an instruction put before each question, are no evidence: unless they
+cover the item whole, they are not looked up, and the words under them don't count below.
+
 Document windows are hash-joined with the items' windows. Before the join a bitmap of 2 ** MAP_BITS slots, which is
 all that is broadcast, drops the windows that can't match; its size does not depend on either table. A match lines
 a document up with an item at a distance. Slots lined up must be consistent: one value of an item's slot has one
@@ -13,10 +17,12 @@ value in the document. Distances of which under CONSISTENT of the values do are
 slots agree but the question is another. A window carries the words beside it that only windows with too few literals
 reach, each word once a side and template. Of these, the ones that agree with the item's in a row next to the match
 are covered as well; a slot among them only if its value is consistent. The rest is a leak when windows and such words
-cover at least COVERED words of the item, or the item whole if it is shorter.
+cover at least COVERED words of the item, or the item whole if it is shorter (of both, the words under common windows
+don't count).
 
 Null and empty texts, and items under VERBATIM words, match nothing. Items that repeat are reported each;
 rows that repeat are reported once by key. Rows without a key are reported under null. Other columns are ignored.
+Without documents or items there are no leaks. A very long text is taken whole by one task.
 """
 
 from __future__ import annotations
@@ -36,6 +42,7 @@ SHORTEST = 5
 VERBATIM = 3
 LITERALS = 4
 COVERED = 13
+COMMON = 4
 CONSISTENT = 0.8
 MAP_BITS = 22
 
@@ -47,8 +54,22 @@ UNITS = (
     "eur percent degrees celsius fahrenheit watt watts kw volt volts amp amps hz mph kmh km/h m/s"
 ).split()
 
+#: Number words of English, German, French and Spanish, without those for one, which are articles too (fixed values).
+_ONES = "two three four five six seven eight nine".split()
+_TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+NUMBER_WORDS = (
+    *_ONES, *_TENS,
+    *"ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen hundred thousand million".split(),
+    *"zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn".split(),
+    *"achtzehn neunzehn zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend".split(),
+    *"deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante".split(),
+    *"cinquante soixante mille dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce quince".split(),
+    *"veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien".split(),
+)
+
 _WORDLIKE = np.isin(np.arange(256), np.r_[48:58, 65:91, 97:123, 128:256])
 _DIGIT = np.isin(np.arange(256), np.r_[48:58])
+_IN_NUMBER = np.isin(np.arange(256), np.r_[48:58, list(b".,")])
 _CAPITAL = np.isin(np.arange(256), np.r_[65:91])
 #: The place of the words as they are among the sequences.
 AS_IS = 2
@@ -67,6 +88,20 @@ def _hash(strings: list[str]) -> np.ndarray:
 
 
 _UNIT_HASHES = np.sort(_hash(UNITS))
+_NUMBER_HASHES = np.sort(_hash([*NUMBER_WORDS, *(f"{ten}-{one}" for ten in _TENS for one in ("one", *_ONES))]))
+
+
+def _is_one_of(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+
+
+def _glued_units(data: np.ndarray, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words that are a number and a unit without a space, and where their units begin."""
+    some = np.flatnonzero(_DIGIT[data[starts]] & ~_IN_NUMBER[data[ends - 1]])
+    other = np.flatnonzero(~_IN_NUMBER[data])
+    begin = other[np.searchsorted(other, starts[some])]
+    unit = _is_one_of(_UNIT_HASHES, span_hashes(sums, begin, ends[some]))
+    return some[unit], begin[unit]
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -94,14 +129,19 @@ class Templates:
                 outer = edge[left] if step > 0 else edge[left] - 1
                 left = left[~_WORDLIKE[texts.data[outer]]]
                 edge[left] += step
-        full = starts < ends
+        pieces = (starts < ends).astype(np.int64)
+        full = np.flatnonzero(pieces)
         starts, ends = starts[full], ends[full]
-        self.first = np.concatenate([[0], np.cumsum(full)])[words.first]
-        values = span_hashes(prefix_hashes(lowered(texts.data)), starts, ends)
-        number = _DIGIT[texts.data[starts]]
-        at = np.minimum(np.searchsorted(_UNIT_HASHES, values), len(_UNIT_HASHES) - 1)
+        sums = prefix_hashes(lowered(texts.data))
+        glued, begin = _glued_units(texts.data, sums, starts, ends)
+        pieces[full[glued]] = 2
+        starts = np.insert(starts, glued + 1, begin)
+        ends = np.insert(ends, glued, begin)
+        self.first = np.concatenate([[0], np.cumsum(pieces)])[words.first]
+        values = span_hashes(sums, starts, ends)
+        number = _DIGIT[texts.data[starts]] | _is_one_of(_NUMBER_HASHES, values)
         unit = np.zeros(len(values), bool)
-        unit[1:] = (_UNIT_HASHES[at] == values)[1:] & number[:-1]
+        unit[1:] = _is_one_of(_UNIT_HASHES, values)[1:] & number[:-1]
         unit[self.first[:-1][self.first[:-1] < len(unit)]] = False
         second = texts.data[np.minimum(starts + 1, len(texts.data) - 1)] if len(starts) else starts
         accented = (texts.data[starts] == 0xC3) & (second >= 0x80) & (second <= 0x9E)
@@ -266,12 +306,33 @@ def covered_words(spans: Column) -> Column:
     return F.aggregate(spans, F.struct(F.lit(0).alias("words"), F.lit(0).alias("end")), add, lambda done: done["words"])
 
 
+def common_windows(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hash and width of the windows that more than COMMON items hold, and their spans by item (item, shared, own: the
+    number of other words), of the items that have other words."""
+    held = windows.groupBy("hash", "width").agg(F.count_distinct("item_id").alias("items")).filter(F.col("items") > COMMON)
+    held = held.select("hash", "width", F.lit(True).alias("common"))
+    span = F.struct(F.col("item_at").alias("at"), "width")
+    spans = windows.join(held, ["hash", "width"], "left_semi").groupBy("item_id", "item_words").agg(
+        F.sort_array(F.collect_set(span)).alias("shared")
+    )
+    own = (F.col("item_words") - covered_words(F.col("shared"))).alias("own")
+    item = F.struct("item_id", "item_words").alias("item")
+    return held, spans.select(item, "shared", own).filter("own > 0")
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
-    """doc_id, item_id, item_words, covered (words of the item found) and consistent (share of slot values)."""
+    """doc_id, item_id, item_words, covered (words of the item found, without those under common windows, which count
+    only in items that have no others) and consistent (share of slot values)."""
     spark = docs.sparkSession
-    items = settle(item_windows(benchmark, item_key, item_text))
+    windows = settle(item_windows(benchmark, item_key, item_text))
+    held, partly = common_windows(windows)
+    partly = settle(partly)
+    of_item = partly.select("item").withColumn("partly", F.lit(True))
+    flagged = windows.join(held, ["hash", "width"], "left").withColumn("of", F.struct("item_id", "item_words"))
+    flagged = flagged.join(of_item, F.col("of").eqNullSafe(F.col("item")), "left")
+    items = settle(flagged.filter("common is null or partly is null").drop("common", "partly", "of", "item"))
     slots = items.select(F.pmod("hash", F.lit(1 << MAP_BITS)).cast("int").alias("slot"), "width").distinct().toArrow()
     marked = np.zeros(1 << MAP_BITS, bool)
     marked[slots.column("slot").to_numpy()] = True
@@ -317,7 +378,11 @@ def leaks(
         F.sort_array(F.flatten(F.collect_set("spans"))).alias("spans"),
         F.max("consistent").alias("consistent"),
     )
-    return (
-        by_item.select("doc_id", "item_id", "item_words", covered_words(F.col("spans")).alias("covered"), "consistent")
-        .filter(F.col("covered") >= F.least(F.col("item_words"), F.lit(COVERED)))
-    )
+    by_item = by_item.withColumn("of", F.struct("item_id", "item_words"))
+    judged = by_item.join(partly, F.col("of").eqNullSafe(F.col("item")), "left")
+    every = covered_words(F.sort_array(F.concat("spans", "shared"))) - covered_words(F.col("shared"))
+    covered = F.when(F.col("shared").isNull(), covered_words(F.col("spans"))).otherwise(every)
+    wanted = F.least(F.coalesce("own", "item_words"), F.lit(COVERED))
+    return judged.withColumn("covered", covered).filter(F.col("covered") >= wanted).select(
+        "doc_id", "item_id", "item_words", "covered", "consistent"
+    )

@@ -153,6 +153,50 @@ def test_leaks_of_items_with_few_literal_words(spark):
     assert [r.doc_id for r in decontaminate.leaks(spark.createDataFrame(docs, TEXTS), late).collect()] == [1]
 
 
+def test_leaks_with_number_words_and_glued_units(spark):
+    items = [
+        (1, "A shop packs three baskets with twelve pears and twenty-five plums for the market on the hill"),
+        (2, "Ein Koch nimmt zwei Eier und hundert Gramm Mehl für den Kuchen in der kleinen Form"),
+        (3, "The board weighs 5kg and has a length of 12cm when it lies flat on the wide bench"),
+        (4, "A pump moves 3.5l of clear water in the time that a tall clerk needs to write"),
+    ]
+    docs = [
+        (1, "so a shop packs six baskets with twenty pears and forty-two plums for the market on the hill"),
+        (2, "ein Koch nimmt 7 Eier und dreißig Gramm Mehl für den Kuchen in der kleinen Form, ja"),
+        (3, "The board weighs 7 kg and has a length of 15 cm when it lies flat on the wide bench"),
+        (4, "A pump moves 12 ml of clear water in the time that a tall clerk needs to write"),
+        (5, "The board weighs much and has a length of two when it stands up on the narrow bench"),
+    ]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.leaks(spark.createDataFrame(docs, TEXTS), table).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i, _ in items}
+    assert {r.item_id: r.item_words for r in found} == {1: 17, 2: 16, 3: 20, 4: 18}
+
+
+def test_common_windows_are_no_evidence(spark):
+    rng = random.Random(5)
+    order = "Read the text below with care and then choose the one answer that fits it best"
+    own = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(50 * 20)]
+    questions = [" ".join(own[20 * i : 20 * i + 20]) for i in range(50)]
+    items = [(i, f"{order} {q}") for i, q in enumerate(questions)]
+    items += [(100, "Say 7 8"), (None, f"{order} {questions[0]} anew")]
+    items += [(200 + i, "one text that many items of the table repeat word for word") for i in range(9)]
+    docs = [
+        (1, f"intro {order} and more"),
+        (2, f"{order} {questions[3]}"),
+        (3, f"other words, then {questions[4]}"),
+        (4, " ".join(questions[5].split()[:13])),
+        (5, " ".join(questions[6].split()[:12])),
+        (6, f"{order} {' '.join(questions[7].split()[:12])}"),
+        (7, "one text that many items of the table repeat word for word"),
+        (None, f"{order} {questions[0]} anew"),
+    ]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.covered for r in decontaminate.leaks(spark.createDataFrame(docs, TEXTS), table).collect()}
+    expected = {(2, 3): 20, (3, 4): 20, (4, 5): 13, (None, 0): 20, (None, None): 21}
+    assert found == expected | {(7, 200 + i): 12 for i in range(9)}
+
+
 def test_leaks_on_edges(spark, edges, edge_rows, nothing):
     items = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(edge_rows)], "item_id long, text string")
     found = decontaminate.leaks(edges, items).collect()
