@@ -4,21 +4,32 @@ The patterns are assignments to a secret-like name, access key ids and long hexa
 leftmost without overlap over the whole text.
 
 Novelty: before and after a sensitive word (`SENSITIVE`), across line breaks and within `REACH` characters, each run of
-key characters with at least `SHORTEST` of them, a letter and a digit is a candidate. The parts of a sensitive word
+key characters with at least `SHORTEST` of them, a letter and a digit (or capitals as often after small letters as in
+random strings, `HUMPS`) is a candidate. The parts of a sensitive word
 may stand apart by a space, hyphen or underscore. The body of a PEM block of a private key is one candidate, until its
-END line or the end of the text. A zstandard compressor is primed with the identifier dictionary and the text around
-the candidate, without the candidate; the bytes that the candidate adds to an empty frame are its marginal bytes. Text that the dictionary or the surroundings
-explain (a path, a known identifier, a repeated name) adds few; a random string adds nearly all of its own.
-Candidates of at least `MIN_MARGINAL` marginal bytes a character are reported, unless a pattern has them already.
+END line or the end of the text. A zstandard compressor is primed with the identifier dictionaries and the text around
+the candidate, without the candidate; the bytes that the candidate adds to an empty frame are its marginal bytes. Text
+that the dictionaries or the surroundings explain (a path, a known identifier, a repeated name) adds few; a random
+string adds nearly all of its own.
+Candidates of at least `MIN_MARGINAL` marginal bytes a character, `SHORT_MARGINAL` if they have fewer than `SHORT`
+characters, are reported, unless a pattern has them already: a short random string is stored as it is, at one byte a
+character; in a long one of few different characters each needs fewer bits than eight.
+
+Dictionaries: one is fixed (`IDENTIFIERS`), the other learned. All texts count the parts of their long strings (runs of
+letters of one case, with a capital before small ones); the parts that most texts have, and `LEAST_TEXTS` at least, fill
+`DICTIONARY_BYTES`, which is what the driver gets and broadcasts. A part has at most 12 letters, so that copies of a
+text can't teach its secret.
 
 Spans are in code points, end exclusive. Null and empty texts have none. Repeated rows are scanned each; other
-columns are ignored. Nothing is shuffled, and texts are scanned whole.
+columns are ignored. An empty table gives no rows. Only parts and their counts are shuffled; texts, however long, are
+scanned whole.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -59,13 +70,21 @@ IDENTIFIERS = (
 )
 #: What stands for a masked secret.
 MARK = "[SECRET]"
-REACH = 64
+REACH = 256
 SURROUNDINGS = 256
 SHORTEST = 16
 MIN_MARGINAL = 0.6
+SHORT_MARGINAL = 0.85
+SHORT = 64
+#: Small letters followed by a capital, a character: a quarter in random letters of both cases, fewer in names.
+HUMPS = 1 / 6
+DICTIONARY_BYTES = 8192
+LEAST_TEXTS = 3
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
 _SENSITIVE = re.compile("|".join(word.replace(" ", JOINT) for word in SENSITIVE))
 _PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----\s*")
+_HUMP = re.compile("[a-z][A-Z]")
+_PART = re.compile("[A-Z]?[a-z]{4,11}(?![a-z])|(?<![A-Z])[A-Z]{4,12}(?![A-Za-z])")
 _DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
@@ -83,9 +102,33 @@ def base_spans(text: str, lowered: str) -> list[Span]:
     return sorted(spans)
 
 
-def marginal_bytes(candidate: str, before: str, after: str) -> int:
+def identifier_parts(docs: DataFrame) -> DataFrame:
+    """part and texts: in how many texts a long string has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in str_slices(batch.column("text")):
+                counts: Counter[str] = Counter()
+                for t in texts:
+                    counts.update({part for m in _CANDIDATE.finditer(t) for part in _PART.findall(m.group())})
+                columns = [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "texts"])
+
+    counted = docs.select("text").mapInArrow(run, "part string, texts long")
+    return counted.groupBy("part").agg(F.sum("texts").alias("texts"))
+
+
+def learned_dictionary(docs: DataFrame) -> str:
+    """The most frequent parts, the most frequent ones last. docs: text."""
+    frequent = identifier_parts(docs).filter(F.col("texts") >= LEAST_TEXTS).orderBy(F.desc("texts"), "part")
+    parts = [r.part for r in frequent.limit(DICTIONARY_BYTES // 5).collect()]
+    sizes = accumulate(len(part) + 1 for part in parts)
+    return "_".join(reversed([part for part, size in zip(parts, sizes, strict=True) if size <= DICTIONARY_BYTES]))
+
+
+def marginal_bytes(candidate: str, before: str, after: str, learned: str = "") -> int:
     """Compressed bytes that the candidate adds, given the identifiers and its surroundings."""
-    primer = f"{IDENTIFIERS}\n{after}\n{before}".encode()
+    primer = f"{learned}\n{IDENTIFIERS}\n{after}\n{before}".encode()
     known = zstandard.ZstdCompressionDict(primer, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     compressor = zstandard.ZstdCompressor(
         level=19, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False
@@ -93,9 +136,15 @@ def marginal_bytes(candidate: str, before: str, after: str) -> int:
     return len(compressor.compress(candidate.encode())) - len(compressor.compress(b""))
 
 
-def _is_novel(text: str, start: int, end: int) -> bool:
+def _is_novel(text: str, start: int, end: int, learned: str) -> bool:
+    least = SHORT_MARGINAL if end - start < SHORT else MIN_MARGINAL
     before, after = text[max(0, start - SURROUNDINGS) : start], text[end : end + SURROUNDINGS]
-    return marginal_bytes(text[start:end], before, after) >= MIN_MARGINAL * (end - start)
+    return marginal_bytes(text[start:end], before, after, learned) >= least * (end - start)
+
+
+def _looks_random(string: str) -> bool:
+    humps = sum(1 for _ in _HUMP.finditer(string))
+    return bool(_LETTER.search(string)) and bool(_DIGIT.search(string) or humps >= HUMPS * len(string))
 
 
 def key_blocks(text: str) -> Iterator[tuple[int, int]]:
@@ -108,10 +157,10 @@ def key_blocks(text: str) -> Iterator[tuple[int, int]]:
             yield start, start + len(body)
 
 
-def novel_spans(text: str, lowered: str, taken: list[Span]) -> list[Span]:
+def novel_spans(text: str, lowered: str, taken: list[Span], learned: str = "") -> list[Span]:
     if len(lowered) != len(text):  # a letter whose lower case is longer: places would differ
         lowered = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    spans = [(start, 3, end) for start, end in key_blocks(text) if _is_novel(text, start, end)]
+    spans = [(start, 3, end) for start, end in key_blocks(text) if _is_novel(text, start, end, learned)]
     taken = sorted(taken + spans)
     reach = list(accumulate((end for _, _, end in taken), max))
     begins = [start for start, _, _ in taken]
@@ -121,47 +170,49 @@ def novel_spans(text: str, lowered: str, taken: list[Span]) -> list[Span]:
         first, last = i == 0, i == len(contexts)
         for m in _CANDIDATE.finditer(text, start, stop):
             near = (not first and m.start() < start + REACH) or (not last and m.end() > stop - REACH)
-            if not near or not (_DIGIT.search(m.group()) and _LETTER.search(m.group())):
+            if not near or not _looks_random(m.group()):
                 continue
             earlier = bisect_left(begins, m.end())
             if earlier and reach[earlier - 1] > m.start():
                 continue
-            if _is_novel(text, *m.span()):
+            if _is_novel(text, *m.span(), learned):
                 spans.append((m.start(), 3, m.end()))
     return spans
 
 
-def find_spans(text: str) -> list[Span]:
+def find_spans(text: str, learned: str = "") -> list[Span]:
     """All spans of a text, by start, then kind as listed."""
     lowered = text.lower()
     spans = base_spans(text, lowered)
     if _SENSITIVE.search(lowered):
-        spans = sorted(spans + novel_spans(text, lowered, spans))
+        spans = sorted(spans + novel_spans(text, lowered, spans, learned))
     return spans
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and spans (kind, start, end) of each row."""
+    source = keyed_texts(docs, key, text)
+    learned = learned_dictionary(source)
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, texts in str_slices(batch.column("text")):
                 found = [
-                    [{"kind": KINDS[kind], "start": start, "end": end} for start, kind, end in find_spans(t)]
+                    [{"kind": KINDS[kind], "start": start, "end": end} for start, kind, end in find_spans(t, learned)]
                     for t in texts
                 ]
                 ids = batch.column("doc_id").slice(row, len(texts))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.list_(span))], ["doc_id", "spans"])
 
     schema = "doc_id long, spans array<struct<kind: string, start: long, end: long>>"
-    return keyed_texts(docs, key, text).mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
 
 
-def masked(text: str) -> str:
+def masked(text: str, learned: str = "") -> str:
     """The text with a mark in place of each stretch of reported spans."""
     out, done = [], 0
-    for start, _, end in find_spans(text):
+    for start, _, end in find_spans(text, learned):
         if end > done:
             if start >= done:
                 out += [text[done:start], MARK]
@@ -171,12 +222,13 @@ def masked(text: str) -> str:
 
 def redact(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
     """The same rows and columns with masked texts, and their length in code points if there is such a column."""
+    learned = learned_dictionary(docs.select(docs[text].cast("string").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text)
             whole = batch.column(at)
-            clean = [masked(t) for _, texts in str_slices(whole) for t in texts]
+            clean = [masked(t, learned) for _, texts in str_slices(whole) for t in texts]
             clean = pa.array(clean, pa.string(), mask=whole.is_null().to_numpy(zero_copy_only=False))
             columns = [clean if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)

@@ -110,3 +110,25 @@ def base_spans(text):
     found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
     found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
     return sorted(found)
+
+
+PART = re.compile("[A-Z]?[a-z]{4,11}(?![a-z])|(?<![A-Z])[A-Z]{4,12}(?![A-Za-z])")
+
+
+def identifier_parts(rows):
+    counts = Counter()
+    for _, text in rows:
+        strings = re.findall(r"[A-Za-z0-9+/_=-]{16,}", text or "")
+        counts.update({part for string in strings for part in PART.findall(string)})
+    return counts
+
+
+def learned_dictionary(rows):
+    frequent = sorted((-n, part) for part, n in identifier_parts(rows).items() if n >= 3)
+    parts, size = [], 0
+    for _, part in frequent:
+        size += len(part) + 1
+        if size > 8192:
+            break
+        parts.append(part)
+    return "_".join(reversed(parts))

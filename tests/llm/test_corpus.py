@@ -424,7 +424,8 @@ def brute_pipeline(rows, items, encode, kept_by_rules):
     rows = [r for i, r in enumerate(rows) if r[0] == min(rows[m][0] for m in together[i])]
     texts = {k: f" {normal(t)} " for k, t in rows}
     rows = [(k, t) for k, t in rows if not any(f" {item} " in texts[k] for item in items)]
-    return {k: encode(secret_scan.masked(t)) for k, t in rows}
+    learned = brute.learned_dictionary(rows)
+    return {k: encode(secret_scan.masked(t, learned)) for k, t in rows}
 
 
 def test_pipeline(spark, medium, rows_of):

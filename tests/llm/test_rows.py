@@ -148,6 +148,44 @@ def test_bodies_of_private_keys():
         assert secret_scan.masked(text.split("\n-----END")[0]).endswith("KEY-----\n[SECRET]")
 
 
+def test_strings_without_digits_or_further_away():
+    for text, key in [
+        ("password hint: qTxKzLmPvWcRsYjQwErTyUiOp", "qTxKzLmPvWcRsYjQwErTyUiOp"),
+        (f"the token {'of the other house ' * 9}is {KEY}", KEY),
+    ]:
+        assert [text[s:e] for s, _, e in secret_scan.find_spans(text)] == [key]
+    names = ["getUserCredentialsFromContext", "internationalization", "com/example/users/profile", "X-Forwarded-Proto-Header"]
+    for name in names:
+        assert secret_scan.find_spans(f"the bearer of {name} is known") == []
+
+
+def test_recall_and_false_alarms_of_novelty(spark):
+    rng = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choices(letters, k=rng.randint(16, 48))) for _ in range(500)]
+    words = "kubernetes service account cluster region network gateway backend storage replica monitor session".split()
+    names = [f"{'_'.join(rng.sample(words, 3))}_{rng.randint(1, 9)}" for _ in range(500)]
+    texts = [f"we say that {name} is up" for name in names] + [f"the bearer {key} is new" for key in keys for _ in range(3)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    learned = secret_scan.learned_dictionary(docs)
+    # Copies of a text teach nothing of its key; names that many texts have are learned.
+    assert set(words) <= set(learned.split("_")) and len(learned) <= secret_scan.DICTIONARY_BYTES
+    found = sum(bool(secret_scan.find_spans(f"the bearer {key} is new", learned)) for key in keys)
+    alarms = sum(bool(secret_scan.find_spans(f"the bearer {name} is up", learned)) for name in names)
+    unlearned = sum(bool(secret_scan.find_spans(f"the bearer {name} is up")) for name in names)
+    print(found, alarms, unlearned)
+    assert found >= 0.99 * len(keys) and alarms <= 0.1 * len(names) and unlearned > 0.9 * len(names)
+
+
+def test_identifier_parts(spark, medium, rows_of, edges, nothing):
+    rows = rows_of(medium)
+    docs = spark.read.parquet(f"{medium}/documents.parquet")
+    assert {r.part: r.texts for r in secret_scan.identifier_parts(docs).collect()} == dict(brute.identifier_parts(rows))
+    assert secret_scan.learned_dictionary(docs) == brute.learned_dictionary(rows) != ""
+    assert secret_scan.learned_dictionary(nothing) == ""
+    assert secret_scan.identifier_parts(edges).filter("part is null").count() == 0
+
+
 def test_masking(edges, spark):
     clean = {r.doc_id: r.text for r in secret_scan.redact(edges).collect() if r.doc_id in (1, 4, 11)}
     assert clean[1] is None and clean[4] == "one two three"
