@@ -58,6 +58,21 @@ def test_near_duplicates_with_long_lists(spark, monkeypatch):
     assert Counter(map(tuple, jaccard_join.near_duplicates(table).collect())) == near(rows)
 
 
+def test_members_of_lists_without_partners():
+    rng = np.random.default_rng(3)
+    n, at = rng.integers(1, 60, 400), rng.integers(0, 8, 400)
+    lists = np.sort(rng.integers(0, 90, 400))
+    order = np.lexsort((n, lists))
+    lists, n, at = lists[order], n[order], at[order]
+    fits = [
+        (x, y) for x in range(400) for y in range(400)
+        if x != y and lists[x] == lists[y] and 5 * min(n[x], n[y]) >= 4 * max(n[x], n[y])
+        and min(n[x] - at[x], n[y] - at[y]) * 9 >= 4 * (n[x] + n[y])
+    ]
+    kept = set(jaccard_join._with_partners(lists, n, at).tolist())
+    assert {x for pair in fits for x in pair} <= kept and len(kept) < 300
+
+
 def test_t_occurrence():
     rng = np.random.default_rng(3)
     for n in (1, 2, 7, 60):
