@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 
-from lares.llm.tables import Texts
+from lares.llm.tables import SLICE_BYTES, Texts
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return: everything else belongs to a word.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -28,16 +27,21 @@ class Words(NamedTuple):
     first: np.ndarray
 
 
-@lru_cache(maxsize=4)
-def _powers(base: int, n: int) -> np.ndarray:
-    powers = np.full(n, base, np.uint64)
-    powers[:1] = 1
-    return np.cumprod(powers, dtype=np.uint64)
+#: Powers that a worker keeps of each base: enough for a slice of texts. Those of a longer text are made for it alone.
+_KEPT_POWERS = SLICE_BYTES + (1 << 18)
+_powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0, ... base ** (n - 1), modulo 2 ** 64."""
-    return _powers(base, max(1 << 16, 1 << int(n).bit_length()))[:n]
+    known = _powers.get(base)
+    if known is None or len(known) < n:
+        known = np.full(((n >> 18) + 1) << 18, base, np.uint64)
+        known[0] = 1
+        np.cumprod(known, out=known)
+        if len(known) <= _KEPT_POWERS:
+            _powers[base] = known
+    return known[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
