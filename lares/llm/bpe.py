@@ -10,7 +10,8 @@ that they need about a round a rank and not one a pair. That changes no merge, f
 before the pairs of the same rank that are left, unless that token is part of one of lower rank; such tokens (`early`) are
 looked up for each rank file and are merged one a round in long rows as well. Only ranks beside a merge are looked up again.
 
-What a task keeps of pre-tokens is bounded in bytes (KEPT); what is forgotten is merged again. A very long text is
+What a task keeps of pre-tokens is bounded in bytes (KEPT) and goes with it, so that the next stage of a worker has its
+memory; what is forgotten is merged again. A very long text is
 taken whole; it takes some 30 bytes a byte while it is cut.
 
 Null and empty texts have no ids. Decoding concatenates the bytes of the ids, so any text comes back byte for
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from lares.llm.kept import Kept
 from lares.llm.tables import keyed_texts, str_slices
 
-#: Bytes of chunks and their ids that a Python worker keeps.
+#: Bytes of chunks and their ids that a task keeps.
 KEPT = 96 << 20
 #: The pattern under which a single space between two other characters always begins a pre-token (a fixed value).
 SPACE_BEGINS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -296,6 +297,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))
                 keys = batch.column("doc_id").slice(row, len(texts))
                 yield pa.RecordBatch.from_arrays([keys, lists, pa.array(same, pa.bool_())], ["doc_id", "ids", "round_trip"])
+        encoder.kept.clear()
 
     return keyed_texts(docs, key, text).mapInArrow(run, "doc_id long, ids array<int>, round_trip boolean")
 
@@ -335,6 +337,7 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, key: str = "doc
                 keys = batch.column("doc_id").slice(row, len(texts))
                 columns = [keys, pa.array(np.diff(first)), *map(pa.array, digests)]
                 yield pa.RecordBatch.from_arrays(columns, schema=DIGESTS)
+        encoder.kept.clear()
 
     return keyed_texts(docs, key, text).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

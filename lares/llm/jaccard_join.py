@@ -5,9 +5,9 @@ sequence; without words it is empty and links with nothing. Texts of equal sets
 a class, the first of it in a task, takes part in the search. Links are found by T-occurrence: a text of n
 shingles can only link with one that shares T = ceil(0.8 n) of them.
 
-1. Order. A random sample of texts, of about SKETCH_BYTES whatever the input, is counted into a sketch of
-   2 ** SKETCH_BITS numbers, which is broadcast: how many sampled texts have a shingle of that hash. All texts order their
-   shingles from rare to common by it, then by hash. Any order gives right results; this one keeps lists short.
+1. Order. All texts are counted into a sketch of 2 ** SKETCH_BITS numbers, which is broadcast: how many shingles of their
+   sets have a hash of that slot. All texts order their shingles from rare to common by it, then by hash. Any order gives
+   right results; this one keeps lists short.
 2. Lists. Two linked texts share one of the first n - T + 1 shingles of each in this order. These are sent to hash ranges
    and make inverted lists. Of the shingles that two linked texts share, the first is at places i and j of which neither
    leaves too few behind it: m <= (5 n - 9 i) / 4, and the same for n and j. A class without any partner of such a size
@@ -48,7 +48,6 @@ from lares.llm.words import find_words, mix, window_hashes, word_hashes
 SHINGLE = 5
 PERCENT = 80
 SKETCH_BITS = 22
-SKETCH_BYTES = 192 << 20
 #: Text bytes behind one range of shingles: the number of ranges follows the bytes of all texts.
 RANGE_BYTES = 16 << 20
 #: Ranges of the sketch that are added up by themselves.
@@ -128,8 +127,10 @@ def _probe(one: list[int], c: int) -> int:
     return low
 
 
-_FACTS = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("cls", pa.binary()), ("buckets", pa.binary())])
-_FACTS_SQL = "doc_id long, n int, cls binary, buckets binary"
+_FACTS = pa.schema(
+    [("doc_id", pa.int64()), ("n", pa.int32()), ("cls", pa.binary()), ("buckets", pa.binary()), ("part", pa.int64()), ("counts", pa.binary())]
+)
+_FACTS_SQL = "doc_id long, n int, cls binary, buckets binary, part long, counts binary"
 
 
 def _bucket_counts(own: np.ndarray) -> bytes:
@@ -137,13 +138,16 @@ def _bucket_counts(own: np.ndarray) -> bytes:
 
 
 def facts(docs: DataFrame) -> DataFrame:
-    """A row a text: size, class and, once a task and class, bucket counts."""
+    """A row a text: size, class and, once a task and class, bucket counts. Then rows with a part of the sketch of the
+    task's texts (part, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        sketch = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
             for texts in text_slices(batch.column("text")):
                 sets = shingle_sets(texts)
+                np.add.at(sketch, _slot(np.concatenate(sets)), np.int32(1))
                 classes = [class_of(s) for s in sets]
                 ids = batch.column("doc_id").slice(texts.first_row, len(sets))
                 counts = []
@@ -151,7 +155,12 @@ def facts(docs: DataFrame) -> DataFrame:
                     counts.append(_bucket_counts(own) if len(own) and name not in seen else None)
                     seen.add(name)
                 sizes = pa.array([len(s) for s in sets], pa.int32())
-                yield pa.RecordBatch.from_arrays([ids, sizes, pa.array(classes), pa.array(counts, pa.binary())], schema=_FACTS)
+                columns = [ids, sizes, pa.array(classes), pa.array(counts, pa.binary())]
+                columns += [pa.nulls(len(sets), kind) for kind in (pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema=_FACTS)
+        if seen:
+            parts = [_packed(p) for p in sketch.reshape(SKETCH_PARTS, -1)]
+            yield pa.RecordBatch.from_pylist([{"part": i, "counts": p} for i, p in enumerate(parts)], _FACTS)
 
     return docs.mapInArrow(run, _FACTS_SQL)
 
@@ -164,29 +173,26 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def frequency_sketch(docs: DataFrame, size: int) -> np.ndarray:
-    """How many texts of a sample have a shingle of each slot. size: bytes of all texts."""
-    width = (1 << SKETCH_BITS) // SKETCH_PARTS
+def _packed(counts: np.ndarray) -> bytes:
+    return zstandard.compress(counts.astype(np.min_scalar_type(int(counts.max()))).tobytes(), 1)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int32)
-        for batch in batches:
-            for texts in text_slices(batch.column("text")):
-                total += np.bincount(_slot(np.concatenate(shingle_sets(texts))), minlength=len(total)).astype(np.int32)
-        parts = [zstandard.compress(p.tobytes(), 1) for p in total.reshape(SKETCH_PARTS, width)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int64()), pa.array(parts, pa.binary())], ["part", "counts"])
+
+def frequency_sketch(known: DataFrame) -> np.ndarray:
+    """How many shingles of all texts' sets fall into each slot. known: facts."""
+    width = (1 << SKETCH_BITS) // SKETCH_PARTS
 
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         total = np.zeros(width, np.int64)
-        for counts in table.column("counts"):
-            total += np.frombuffer(zstandard.decompress(counts.as_py()), np.int32)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([total.clip(0, 1 << 30).astype(np.int32).tobytes()], pa.binary())})
+        for packed in table.column("counts"):
+            counts = zstandard.decompress(packed.as_py())
+            total += np.frombuffer(counts, f"u{len(counts) // width}")
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([_packed(total.clip(0, 1 << 30))], pa.binary())})
 
-    sample = docs.select("text").sample(min(1.0, SKETCH_BYTES / max(1, size)), seed=1)
-    added = sample.mapInArrow(count, "part long, counts binary").groupBy("part").applyInArrow(add, "part long, counts binary")
+    parts = known.filter("part is not null").select("part", "counts")
     sketch = np.zeros((SKETCH_PARTS, width), np.int32)
-    for part, counts in added.collect():
-        sketch[part] = np.frombuffer(bytes(counts), np.int32)
+    for part, packed in parts.groupBy("part").applyInArrow(add, "part long, counts binary").collect():
+        counts = zstandard.decompress(bytes(packed))
+        sketch[part] = np.frombuffer(counts, f"u{len(counts) // width}")
     return sketch.ravel()
 
 
@@ -474,10 +480,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """doc_id, n_shingles and component_id of each row."""
     source = keyed_texts(docs, key, text)
     known = settle(facts(source))
-    texts = known.select("doc_id", "n", "cls")
+    texts = known.filter("part is null").select("doc_id", "n", "cls")
     buckets = known.filter("buckets is not null").groupBy("cls").agg(F.first("buckets").alias("buckets"))
     size = text_bytes(source)
-    lists = settle(inverted_lists(source, frequency_sketch(source, size), size))
+    lists = settle(inverted_lists(source, frequency_sketch(known), size))
     stars = settle(likely_pairs(star_pairs(lists), buckets))
     labels = components(decide(source, stars))
     met = settle(likely_pairs(meetings(lists, labels), buckets).join(stars, ["x", "y"], "left_anti"))

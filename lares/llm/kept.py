@@ -28,6 +28,9 @@ class Kept:
         self._add(dict(zip(new, learn(new), strict=True)))
         return self.recent
 
+    def clear(self) -> None:
+        self.size, self.recent, self.older = 0, {}, {}
+
     def _add(self, entries: dict[str, bytes]) -> None:
         self.recent.update(entries)
         self.size += ENTRY * len(entries) + sum(map(len, entries)) + sum(map(len, entries.values()))

@@ -27,6 +27,8 @@ class Words(NamedTuple):
     first: np.ndarray
 
 
+#: Bytes whose words are hashed at a time; a longer word is taken whole.
+HASHED = 1 << 18
 #: Powers that a worker keeps of each base: enough for a slice of texts. Those of a longer text are made for it alone.
 _KEPT_POWERS = SLICE_BYTES + (1 << 18)
 _powers: dict[int, np.ndarray] = {}
@@ -82,8 +84,16 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def word_hashes(texts: Texts, words: Words, lower: bool = True) -> np.ndarray:
-    data = LOWER[texts.data] if lower else texts.data
-    return span_hashes(prefix_hashes(data), words.starts, words.ends)
+    """The hash of each word. Bytes are taken in blocks, so that the arrays of 64 bits a byte stay small."""
+    hashes, row = np.empty(len(words.starts), np.uint64), 0
+    while row < len(hashes):
+        a = words.starts[row]
+        stop = max(row + 1, int(np.searchsorted(words.ends, a + HASHED, "right")))
+        data = texts.data[a : words.ends[stop - 1]]
+        sums = prefix_hashes(LOWER[data] if lower else data)
+        hashes[row:stop] = span_hashes(sums, words.starts[row:stop] - a, words.ends[row:stop] - a)
+        row = stop
+    return hashes
 
 
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:

@@ -7,12 +7,14 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lares.llm import components, decontaminate, jaccard_join, lm_bloom, quality_fm, queries, secret_scan, sharding, suffix_dedup
-from lares.llm.tables import settle
+from lares.llm import bpe, components, decontaminate, jaccard_join, lm_bloom, quality_fm, queries, secret_scan, sharding, suffix_dedup, words
+from lares.llm.tables import settle, text_slices
 from tests.llm import brute
 
 TEXTS = "doc_id long, text string"
@@ -58,6 +60,25 @@ def test_near_duplicates_with_long_lists(spark, monkeypatch):
     assert Counter(map(tuple, jaccard_join.near_duplicates(table).collect())) == near(rows)
 
 
+def _sketch_of(texts):
+    sketch = np.zeros(1 << jaccard_join.SKETCH_BITS, np.int64)
+    for text in texts:
+        table = pa.array([text], pa.string())
+        (own,) = (s for slice_ in text_slices(table) for s in jaccard_join.shingle_sets(slice_))
+        np.add.at(sketch, (own >> np.uint64(64 - jaccard_join.SKETCH_BITS)).astype(np.int64), 1)
+    return sketch
+
+
+def test_the_sketch_counts_all_texts(spark, edges, edge_rows, nothing):
+    """Copies, repeated rows and long texts included, whatever the sizes of tasks."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(300)))) for i in range(400)]
+    for table, texts in ((edges, edge_rows), (spark.createDataFrame(rows, TEXTS).repartition(7), rows)):
+        got = jaccard_join.frequency_sketch(jaccard_join.facts(table.select("doc_id", "text")))
+        assert np.array_equal(got, _sketch_of(text for _, text in texts))
+    assert not jaccard_join.frequency_sketch(jaccard_join.facts(nothing.select("doc_id", "text"))).any()
+
+
 def test_members_of_lists_without_partners():
     rng = np.random.default_rng(3)
     n, at = rng.integers(1, 60, 400), rng.integers(0, 8, 400)
@@ -471,5 +492,45 @@ def test_pipeline_on_edges(spark, edges, nothing, tmp_path):
     assert docs.count() == 0
 
 
+def test_pipeline_counts_all_texts_of_its_join(spark, small, monkeypatch):
+    sketches, count = [], jaccard_join.frequency_sketch
+    monkeypatch.setattr(jaccard_join, "frequency_sketch", lambda *of: sketches.append(count(*of)) or sketches[-1])
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    corpus_pipeline.apply_jaccard_join(spark, docs, small)
+    assert np.array_equal(sketches[0], _sketch_of(r["text"] for r in docs.collect()))
+
+
+def test_blocks_of_hashed_words(monkeypatch):
+    """Words have the same hashes whatever the blocks, and a slice of texts leaves no large table of powers behind."""
+    texts = next(text_slices(pa.array(["Some words of a text " * 20_000, None, "x" * 700, " and more, Größe\n" * 40_000])))
+    found = words.find_words(texts)
+    for lower in (True, False):
+        data = words.LOWER[texts.data] if lower else texts.data
+        whole = words.span_hashes(words.prefix_hashes(data), found.starts, found.ends)
+        for size in (500, 50_000, words.HASHED):
+            monkeypatch.setattr(words, "HASHED", size)
+            assert np.array_equal(words.word_hashes(texts, found, lower), whole)
+        monkeypatch.undo()
+    monkeypatch.setattr(words, "_powers", {})
+    words.word_hashes(texts, found)
+    assert max(map(len, words._powers.values())) < len(texts.data) / 2
+
+
+@pytest.mark.parametrize("operator", [bpe.encode, bpe.round_trip_digests])
+def test_a_task_leaves_no_pretokens_behind(operator, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoder = bpe.load_encoder(path, public_tokenizers.PATTERN)
+
+    class Table:
+        mapInArrow = staticmethod(lambda run, schema: run)
+
+    monkeypatch.setattr(bpe, "keyed_texts", lambda *of: Table)
+    run = operator(None, path, public_tokenizers.PATTERN)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words", "and more of them"]})
+    outputs = run(iter([batch]))
+    assert next(outputs).num_rows == 2 and encoder.kept.recent
+    assert not list(outputs) and not encoder.kept.recent and not encoder.kept.older and not encoder.kept.size
+
+
 def test_stage_names_and_oracle():
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
