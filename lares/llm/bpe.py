@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from lares.llm.kept import Kept
-from lares.llm.tables import keyed_texts, str_slices
+from lares.llm.tables import SMALL_SLICE, keyed_texts, str_slices
 
 #: Bytes of chunks and their ids that a task keeps.
 KEPT = 96 << 20
@@ -289,7 +289,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load_encoder(path, pattern)
         for batch in batches:
-            for row, texts in str_slices(batch.column("text")):
+            for row, texts in str_slices(batch.column("text"), SMALL_SLICE):
                 ids, first = encoder.encode(texts)
                 data, at = encoder.tokens.write(ids)
                 ends = at[first].tolist()
@@ -326,7 +326,7 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, key: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load_encoder(path, pattern)
         for batch in batches:
-            for row, texts in str_slices(batch.column("text")):
+            for row, texts in str_slices(batch.column("text"), SMALL_SLICE):
                 ids, first = encoder.encode(texts)
                 digests = []
                 for spelling, end in ((encoder.numbers, 1), (encoder.tokens, 0)):

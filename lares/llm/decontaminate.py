@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lares.llm.tables import Texts, keyed_texts, settle, text_slices
+from lares.llm.tables import SMALL_SLICE, Texts, keyed_texts, settle, text_slices
 from lares.llm.words import LOWER, find_words, mix, prefix_hashes, span_hashes, window_hashes
 
 WINDOW = 8
@@ -206,7 +206,7 @@ def _window_rows(column: str, choose: Callable, most: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in text_slices(batch.column("text")):
+            for texts in text_slices(batch.column("text"), SMALL_SLICE):
                 own = Templates(texts)
                 ids = batch.column(column).slice(texts.first_row, len(texts.offsets) - 1)
                 sizes = np.diff(own.first)

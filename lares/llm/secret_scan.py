@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lares.llm.tables import keyed_texts, str_slices
+from lares.llm.tables import SMALL_SLICE, keyed_texts, str_slices
 
 #: Kinds in the order in which spans of one start are listed; the last is the method's own.
 KINDS = ("assign", "access", "hex", "novel")
@@ -197,7 +197,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, texts in str_slices(batch.column("text")):
+            for row, texts in str_slices(batch.column("text"), SMALL_SLICE):
                 found = [
                     [{"kind": KINDS[kind], "start": start, "end": end} for start, kind, end in find_spans(t, learned)]
                     for t in texts
@@ -227,11 +227,12 @@ def redact(docs: DataFrame, text: str = "text", length: str = "n_chars") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            whole = batch.column(at)
-            clean = [masked(t, learned) for _, texts in str_slices(whole) for t in texts]
-            clean = pa.array(clean, pa.string(), mask=whole.is_null().to_numpy(zero_copy_only=False))
-            columns = [clean if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+            for row, texts in str_slices(batch.column(at), SMALL_SLICE):
+                part = batch.slice(row, len(texts))
+                empty = part.column(at).is_null().to_numpy(zero_copy_only=False)
+                clean = pa.array([masked(t, learned) for t in texts], pa.string(), mask=empty)
+                columns = [clean if i == at else c for i, c in enumerate(part.columns)]
+                yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     clean = docs.mapInArrow(run, docs.schema)
     if length not in docs.columns:

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one round of array work takes at a time; a longer text is taken whole.
 SLICE_BYTES = 2 << 20
+#: The same for operators whose rounds send no more for being small: a worker's memory follows the slice.
+SMALL_SLICE = 512 << 10
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
