@@ -1,14 +1,15 @@
 """Bytes of texts that repeat an earlier string of 100 bytes, by buckets of suffixes at difference-cover positions.
 
-A position is in the cover if its offset in the text, modulo 57, is in a difference cover of 8 residues: whatever
-the offsets of two equal 100-byte strings, some common distance below 57 puts both on cover positions. There the
-next 44 bytes, which lie inside both strings, are equal, too. Suffixes that begin with the same 44 bytes are a
-bucket; its members stand for all strings of 100 bytes that contain their 44 bytes at a distance below 57.
+A position is in the cover if its offset in the text, modulo 31, is in a difference cover of 6 residues: whatever
+the offsets of two equal 100-byte strings, some common distance below 31 puts both on cover positions. There the
+next 70 bytes, which lie inside both strings, are equal, too. Suffixes that begin with the same 70 bytes are a
+bucket; its members stand for all strings of 100 bytes that contain their 70 bytes at a distance below 31. A shorter
+period has more cover positions but fewer strings between a bucket's prefix and its names, which step 3 has to sort.
 
 1. Buckets with one member can't repeat anything. Tasks send the hashes of their cover positions in few bits, and
    ranges of hashes answer with a map of those seen twice: MAP_BITS bits whatever the input, broadcast.
 2. Ranks of the cover sample: members of a bucket are sorted by the name (hash) of all bytes that their strings can
-   reach, 56 before and 100 from the position. Equal names are ties as long as they can matter; all but the first
+   reach, 30 before and 100 from the position. Equal names are ties as long as they can matter; all but the first
    of them repeat all their strings, and no text is looked at again.
 3. Buckets with several names go on: their strings, and only those, are sorted by their own hash one range of hashes
    at a time, and all but the first of equal ones repeat it.
@@ -44,8 +45,8 @@ from lares.llm.words import mix, prefix_hashes, span_hashes
 
 WIDTH = 100
 #: A difference cover: every distance modulo PERIOD is a difference of two of these (fixed values).
-PERIOD = 57
-COVER = (0, 1, 3, 13, 32, 36, 43, 52)
+PERIOD = 31
+COVER = (0, 1, 3, 8, 12, 18)
 PREFIX = WIDTH - PERIOD + 1
 MAP_BITS = 28
 TOUCHED_BITS = 24
@@ -124,6 +125,16 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, f"u{len(data) // n}" if n else "u1").astype(np.int64)
 
 
+def _pack_near(values: np.ndarray) -> bytes:
+    """One value or more, as the least and the distances to it (modulo 2 ** 64)."""
+    least = values.min(keepdims=True)
+    return least.tobytes() + _pack(values.view(np.uint64) - least.view(np.uint64))
+
+
+def _unpack_near(data: bytes, n: int) -> np.ndarray:
+    return _unpack(data[8:], n) + np.frombuffer(data[:8], np.int64)
+
+
 def _by_range(keys: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
     """Numbers of hash ranges and the places of their keys."""
     order = np.argsort(keys, kind="stable")
@@ -251,7 +262,7 @@ class Slice:
                 | {"part": part, "keys": keys[some].tobytes(), "names": None if names is None else names[some].tobytes()}
                 | {"owners": _pack(place), "offsets": _pack(at[some] - self.starts[owner[some]])}
                 | {"before": _pack(before[some]), "after": _pack(after[some])}
-                | {"places": self.places[used].tobytes(), "doc_ids": self.doc_ids[used].tobytes()}
+                | {"places": _pack_near(self.places[used]), "doc_ids": _pack_near(self.doc_ids[used])}
             )
         return out
 
@@ -265,7 +276,7 @@ def _received(rows: list[dict]) -> tuple[np.ndarray, ...]:
     for r in rows:
         keys = np.frombuffer(r["keys"], np.uint64)
         owners, offsets, before, after = (_unpack(r[c], len(keys)) for c in ("owners", "offsets", "before", "after"))
-        doc_ids, places = (np.frombuffer(r[c], np.int64)[owners] for c in ("doc_ids", "places"))
+        doc_ids, places = (_unpack_near(r[c], int(owners.max()) + 1)[owners] for c in ("doc_ids", "places"))
         names = keys if r["names"] is None else np.frombuffer(r["names"], np.uint64)
         for column, values in zip(columns, (keys, names, doc_ids, places, offsets, before, after), strict=True):
             column.append(values)

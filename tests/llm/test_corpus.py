@@ -283,6 +283,26 @@ def test_repeats_of_random_pieces(spark, partitions):
     assert Counter(map(tuple, suffix_dedup.remove_repeats(table).collect())) == repeats(rows)
 
 
+def test_rows_of_a_slice_are_sent_as_distances():
+    """Rows and ids are sent again to each range that has members of theirs: near ones have to be short."""
+    rng = np.random.default_rng(8)
+    whole = np.iinfo(np.int64)
+    for values in ([7], [whole.min, whole.max, 0, -1], [-5, -5], rng.integers(whole.min, whole.max, 50), 10**15 + rng.permutation(900)):
+        values = np.array(values, np.int64)
+        assert np.array_equal(suffix_dedup._unpack_near(suffix_dedup._pack_near(values), len(values)), values)
+    n = 900
+    texts = next(text_slices(pa.array(["x" * 200] * n)))
+    batch = pa.RecordBatch.from_pydict({"place": np.arange(n) + (5 << 33), "doc_id": np.arange(n) + 10**12})
+    keys, owner = rng.integers(0, 1 << 63, 40 * n, np.uint64) * np.uint64(2), np.repeat(np.arange(n), 40)
+    at = texts.offsets[owner] + np.tile(np.arange(40), n)
+    sent = suffix_dedup.Slice(batch, texts).members(keys, keys, owner, at, at * 0, at * 0 + 100, 5)
+    assert sum(len(r["places"]) + len(r["doc_ids"]) for r in sent) < 32 * (16 + 4 * n)
+    got = suffix_dedup._received(sent)
+    want = (keys, keys, owner + 10**12, owner + (5 << 33), at - texts.offsets[owner], at * 0, at * 0 + 100)
+    a, b = np.argsort(got[0]), np.argsort(keys)
+    assert all(np.array_equal(x[a], y[b]) for x, y in zip(got, want, strict=True))
+
+
 def test_spans_of_blocks(spark):
     """Spans of one block from several ranges become one row; the rows they touch are found, also in far partitions."""
     blocks = {0: [(3, 0, 100), (3, 50, 180), (511, 7, 107)], 1: [(0, 0, 100)], (5 << 33) >> suffix_dedup.BLOCK_BITS: [(64, 1, 101)]}
