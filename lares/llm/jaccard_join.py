@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lares.llm.components import components
-from lares.llm.tables import keyed_texts, settle, text_slices
+from lares.llm.tables import SLICE_BYTES, SMALL_SLICE, keyed_texts, settle, text_slices
 from lares.llm.words import find_words, mix, window_hashes, word_hashes
 
 SHINGLE = 5
@@ -145,7 +145,7 @@ def facts(docs: DataFrame) -> DataFrame:
         seen: set[bytes] = set()
         sketch = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
-            for texts in text_slices(batch.column("text")):
+            for texts in text_slices(batch.column("text"), SMALL_SLICE):
                 sets = shingle_sets(texts)
                 np.add.at(sketch, _slot(np.concatenate(sets)), np.int32(1))
                 classes = [class_of(s) for s in sets]
@@ -202,11 +202,11 @@ def ordered_prefix(own: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     return own[np.argsort(sketch[_slot(own)], kind="stable")[:count]]
 
 
-def _first_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], list[bytes]]]:
-    """Sets and classes of each slice, a class once in a task; no empty sets."""
+def _first_in_task(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[tuple[list[np.ndarray], list[bytes]]]:
+    """Sets and classes of each slice of about `limit` bytes, a class once in a task; no empty sets."""
     seen: set[bytes] = set()
     for batch in batches:
-        for texts in text_slices(batch.column("text")):
+        for texts in text_slices(batch.column("text"), limit):
             sets, classes = [], []
             for own in shingle_sets(texts):
                 if len(own) and (name := class_of(own)) not in seen:
@@ -423,12 +423,13 @@ def wanted_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     slots = names.select(F.conv(F.hex(F.substring("cls", 1, WANTED_BITS // 8)), 16, 10).cast("int").alias("slot"))
     marked = np.zeros(1 << WANTED_BITS, bool)
     marked[slots.distinct().toArrow().column("slot").to_numpy()] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(marked))
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(marked, bitorder="little"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(shared.value).astype(bool)
-        for sets, classes in _first_in_task(batches):
-            some = [i for i, c in enumerate(classes) if wanted[int.from_bytes(c[: WANTED_BITS // 8], "big")]]
+        wanted = shared.value
+        for sets, classes in _first_in_task(batches, SMALL_SLICE):
+            slots = (int.from_bytes(c[: WANTED_BITS // 8], "big") for c in classes)
+            some = [i for i, slot in enumerate(slots) if wanted[slot >> 3] >> (slot & 7) & 1]
             columns = [pa.array([classes[i] for i in some], pa.binary()), pa.array([sets[i].tobytes() for i in some], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["cls", "own"])
 

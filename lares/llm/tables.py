@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
@@ -15,6 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_BYTES = 2 << 20
 #: The same for operators whose rounds send no more for being small: a worker's memory follows the slice.
 SMALL_SLICE = 512 << 10
+#: Bytes after which a task's Arrow batch ends while settle() writes: a little less than two slices. What an executor
+#: holds beside its heap, and each of its workers, follows the batch; Spark's own limit is a number of rows.
+BATCH_BYTES = 15 * SLICE_BYTES // 8
+_WHILE_WRITING = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,11 +36,25 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
 
 
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """With these settings of the session; afterwards it has its own again."""
+    before = {k: spark.conf.get(k) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """The same rows read from a table in the shared folder: computed once, and safe from lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _settings(spark, _WHILE_WRITING):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

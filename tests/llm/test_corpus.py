@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lares.llm import bpe, components, decontaminate, jaccard_join, lm_bloom, quality_fm, queries, secret_scan, sharding, suffix_dedup, words
+from lares.llm import bpe, components, decontaminate, jaccard_join, lm_bloom, quality_fm, queries, secret_scan, sharding, suffix_dedup, tables, words
 from lares.llm.tables import settle, text_slices
 from tests.llm import brute
 
@@ -520,6 +520,24 @@ def test_pipeline_counts_all_texts_of_its_join(spark, small, monkeypatch):
     assert np.array_equal(sketches[0], _sketch_of(r["text"] for r in docs.collect()))
 
 
+def test_batches_of_written_tables_are_small(spark):
+    """Long texts are not gathered by number of rows; the session keeps its own settings."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    names = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    before = [spark.conf.get(name) for name in names]
+    docs = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("words "), 10_000).alias("text"))
+    got = [r.n for r in settle(docs.mapInArrow(sizes, "n long")).collect()]
+    assert sum(got) > 400 * 60_000 and max(got) < tables.BATCH_BYTES + 100_000
+    assert [spark.conf.get(name) for name in names] == before
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        settle(spark.range(3).select(F.expr("1 / (id - id)").alias("x")))
+    assert [spark.conf.get(name) for name in names] == before
+
+
 def test_blocks_of_hashed_words(monkeypatch):
     """Words have the same hashes whatever the blocks, and a slice of texts leaves no large table of powers behind."""
     texts = next(text_slices(pa.array(["Some words of a text " * 20_000, None, "x" * 700, " and more, Größe\n" * 40_000])))
