@@ -19,7 +19,12 @@ SMALL_SLICE = 512 << 10
 #: Bytes after which a task's Arrow batch ends while settle() writes: a little less than two slices. What an executor
 #: holds beside its heap, and each of its workers, follows the batch; Spark's own limit is a number of rows.
 BATCH_BYTES = 15 * SLICE_BYTES // 8
-_WHILE_WRITING = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+#: The written table is all that is read later, so the shuffle files behind it go at once, not when the driver happens
+#: to collect its garbage.
+_WHILE_WRITING = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

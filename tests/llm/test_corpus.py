@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -538,6 +539,22 @@ def test_batches_of_written_tables_are_small(spark):
     assert [spark.conf.get(name) for name in names] == before
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    def shuffled():
+        return {name for name in manager.getAllFiles().mkString("\n").split("\n") if "shuffle_" in name}
+
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    before = shuffled()
+    assert settle(spark.range(1000).groupBy((F.col("id") % 77).alias("k")).count()).count() == 77
+    counted = len({name.split("shuffle_")[1].split("_")[0] for name in shuffled() - before})
+    for _ in range(50):
+        if counted <= 1:  # count()'s own
+            break
+        time.sleep(0.2)
+        counted = len({name.split("shuffle_")[1].split("_")[0] for name in shuffled() - before})
+    assert counted <= 1
+
+
 def test_blocks_of_hashed_words(monkeypatch):
     """Words have the same hashes whatever the blocks, and a slice of texts leaves no large table of powers behind."""
     texts = next(text_slices(pa.array(["Some words of a text " * 20_000, None, "x" * 700, " and more, Größe\n" * 40_000])))
