@@ -7,7 +7,8 @@ bucket; its members stand for all strings of 100 bytes that contain their 70 byt
 period has more cover positions but fewer strings between a bucket's prefix and its names, which step 3 has to sort.
 
 1. Buckets with one member can't repeat anything. Tasks send the hashes of their cover positions in few bits, and
-   ranges of hashes answer with a map of those seen twice: MAP_BITS bits whatever the input, broadcast.
+   ranges of hashes answer with a map of those seen twice: MAP_BITS bits whatever the input, broadcast. A hash has as
+   many places in its range's piece of the map as the number of hashes there leaves room for (a Bloom filter).
 2. Ranks of the cover sample: members of a bucket are sorted by the name (hash) of all bytes that their strings can
    reach, 30 before and 100 from the position. Equal names are ties as long as they can matter; all but the first
    of them repeat all their strings, and no text is looked at again.
@@ -34,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,11 @@ PERIOD = 31
 COVER = (0, 1, 3, 8, 12, 18)
 PREFIX = WIDTH - PERIOD + 1
 MAP_BITS = 28
+#: Places of a key in a map, at most.
+PROBES = 6
+#: Bits of a bucket's hash that go to its range, besides those that the range's number tells. Members are told apart by
+#: the whole hash of their names; buckets that look the same cost time only.
+KEY_BITS = 32
 TOUCHED_BITS = 24
 #: Rows of the table that meet their spans in one group.
 BLOCK_BITS = 9
@@ -135,40 +142,87 @@ def _unpack_near(data: bytes, n: int) -> np.ndarray:
     return _unpack(data[8:], n) + np.frombuffer(data[:8], np.int64)
 
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """One key or more, as the least and the distances to it; zero bits that end all distances are left out."""
+    least = keys.min(keepdims=True)
+    far = keys - least
+    bits = int(np.bitwise_or.reduce(far))
+    shift = (bits & -bits).bit_length() - 1 if bits else 0
+    return bytes([shift]) + least.tobytes() + _pack(far >> np.uint64(shift))
+
+
+def _unpack_keys(data: bytes, n: int) -> np.ndarray:
+    far = np.frombuffer(data[9:], f"u{(len(data) - 9) // n}").astype(np.uint64)
+    return np.frombuffer(data[1:9], np.uint64) + (far << np.uint64(data[0]))
+
+
+def _first_bits(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The keys with only their first bits left."""
+    return keys >> np.uint64(64 - bits) << np.uint64(64 - bits)
+
+
 def _by_range(keys: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Numbers of hash ranges and the places of their keys."""
-    order = np.argsort(keys, kind="stable")
-    parts, cuts = np.unique(keys[order] >> np.uint64(64 - bits), return_index=True)
-    for part, a, b in zip(parts.tolist(), cuts, np.append(cuts[1:], len(keys)), strict=True):
+    """Numbers of hash ranges and the places of their keys, in order."""
+    own = keys >> np.uint64(64 - bits)
+    order = np.argsort(own.astype(np.min_scalar_type((1 << bits) - 1)), kind="stable")
+    parts, cuts = np.unique(own[order], return_index=True)
+    for part, a, b in zip(parts.tolist(), cuts, np.append(cuts[1:], len(keys))[: len(parts)], strict=True):
         yield part, order[a:b]
 
 
-def _segment(keys: np.ndarray, part: int, bits: int) -> bytes:
-    """A range's piece of the map of keys."""
-    flags = np.zeros(1 << (MAP_BITS - bits), np.uint8)
-    flags[(keys >> np.uint64(64 - MAP_BITS)).astype(np.int64) - (part << (MAP_BITS - bits))] = 1
-    return np.packbits(flags, bitorder="little").tobytes()
+class Map(NamedTuple):
+    """Flags of the places of keys, range by range, and the places that a key has in each range's piece. Keys are known by
+    their first key_bits bits."""
 
+    flags: np.ndarray
+    probes: np.ndarray
+    key_bits: int
 
-def _whole_map(segments: DataFrame) -> np.ndarray:
-    """part, segment -> the map, at most 2 ** MAP_BITS bits."""
-    found = segments.toArrow()
-    whole = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    for part, segment in zip(found.column("part").to_pylist(), found.column("segment").to_pylist(), strict=True):
-        whole[part * len(segment) : (part + 1) * len(segment)] = np.frombuffer(segment, np.uint8)
-    return whole
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        """True for all keys that are in it, and for a few others."""
+        keys = _first_bits(keys, self.key_bits)
+        bits = len(self.probes).bit_length() - 1
+        part = (keys >> np.uint64(64 - bits)).astype(np.int64)
+        left, found = np.arange(len(keys)), np.ones(len(keys), bool)
+        for probe in range(int(self.probes.max())):
+            left = left[self.probes[part[left]] > probe]
+            place = (part[left] << (MAP_BITS - bits)) + _place(keys[left], probe, bits)
+            hit = (self.flags[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+            found[left[~hit]] = False
+            left = left[hit]
+        return found
+
+
+def _place(keys: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    """A place of each key within its range's piece of a map."""
+    turned = mix(keys + np.uint64((probe + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+    return (turned >> np.uint64(64 - (MAP_BITS - bits))).astype(np.int64)
 
 
-def _in_map(whole: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = (keys >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-    return (whole[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+def _segment(keys: np.ndarray, bits: int) -> tuple[bytes, int]:
+    """A range's piece of the map of its distinct keys, and the places that each of them has there."""
+    size = 1 << (MAP_BITS - bits)
+    probes = min(PROBES, max(1, round(0.69 * size / max(1, len(keys)))))
+    flags = np.zeros(size, np.uint8)
+    for probe in range(probes):
+        flags[_place(keys, probe, bits)] = 1
+    return np.packbits(flags, bitorder="little").tobytes(), probes
+
+
+def _whole_map(segments: DataFrame, bits: int, key_bits: int) -> Map:
+    """part, segment and probes -> the map, of 2 ** MAP_BITS bits."""
+    found = segments.toArrow()
+    whole, probes = np.zeros((1 << bits, 1 << (MAP_BITS - 3 - bits)), np.uint8), np.ones(1 << bits, np.uint8)
+    for part, segment, n in zip(*(found.column(c).to_pylist() for c in ("part", "segment", "probes")), strict=True):
+        whole[part], probes[part] = np.frombuffer(segment, np.uint8), n
+    return Map(whole.ravel(), probes, key_bits)
 
 
 _SLOTS = pa.schema([("part", pa.int64()), ("n", pa.int64()), ("steps", pa.binary()), ("twice", pa.binary())])
 
 
 def repeated_buckets(docs: DataFrame, bits: int, slot_bits: int) -> DataFrame:
-    """part and segment of the map of buckets that seem to have two members."""
+    """part, segment and probes of the map of buckets that seem to have two members."""
     shift = np.uint64(64 - slot_bits)
 
     def rows(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -198,24 +252,26 @@ def repeated_buckets(docs: DataFrame, bits: int, slot_bits: int) -> DataFrame:
         own = [np.cumsum(_unpack(r["steps"], r["n"])) for r in table.to_pylist()]
         twice = [np.frombuffer(t, np.int64) for t in table.column("twice").to_pylist()]
         slots = np.sort(np.concatenate([*own, *twice]))
-        slots = slots[1:][slots[1:] == slots[:-1]].astype(np.uint64) + np.uint64(part << (slot_bits - bits))
-        return pa.table({"part": pa.array([part], pa.int64()), "segment": pa.array([_segment(slots << shift, part, bits)], pa.binary())})
+        slots = np.unique(slots[1:][slots[1:] == slots[:-1]]).astype(np.uint64) + np.uint64(part << (slot_bits - bits))
+        segment, probes = _segment(slots << shift, bits)
+        return pa.table({"part": pa.array([part], pa.int64()), "segment": pa.array([segment], pa.binary()), "probes": pa.array([probes], pa.int32())})
 
     sent = docs.select("text").mapInArrow(run, "part long, n long, steps binary, twice binary")
-    return sent.groupBy("part").applyInArrow(seen_twice, "part long, segment binary")
+    return sent.groupBy("part").applyInArrow(seen_twice, "part long, segment binary, probes int")
 
 
-#: Members sent to a range (keys, names or none, rows, offsets, spans before and after) or spans found (block set).
+#: Members sent to a range (keys, names or none, members of each text, offsets, spans before and after, the texts' rows
+#: and ids) or spans found (block set), or a piece of a map.
 _SENT = pa.schema(
     [
-        ("part", pa.int64()), ("keys", pa.binary()), ("names", pa.binary()), ("owners", pa.binary()), ("offsets", pa.binary()),
+        ("part", pa.int64()), ("keys", pa.binary()), ("names", pa.binary()), ("counts", pa.binary()), ("offsets", pa.binary()),
         ("before", pa.binary()), ("after", pa.binary()), ("places", pa.binary()), ("doc_ids", pa.binary()),
-        ("block", pa.int64()), ("rows", pa.binary()), ("starts", pa.binary()), ("ends", pa.binary()), ("segment", pa.binary()),
+        ("block", pa.int64()), ("rows", pa.binary()), ("starts", pa.binary()), ("ends", pa.binary()), ("segment", pa.binary()), ("probes", pa.int32()),
     ]
 )
 _SENT_SQL = (
-    "part long, keys binary, names binary, owners binary, offsets binary, before binary, after binary, places binary, "
-    "doc_ids binary, block long, rows binary, starts binary, ends binary, segment binary"
+    "part long, keys binary, names binary, counts binary, offsets binary, before binary, after binary, places binary, "
+    "doc_ids binary, block long, rows binary, starts binary, ends binary, segment binary, probes int"
 )
 _EMPTY = dict.fromkeys(_SENT.names)
 
@@ -254,13 +310,14 @@ class Slice:
         return [self.doc_ids[owner], self.places[owner], at - self.starts[owner]]
 
     def members(self, keys, names, owner, at, before, after, bits: int) -> list[dict]:
+        """at: in order, so that a text's members follow one another."""
         out = []
         for part, some in _by_range(keys, bits):
-            used, place = np.unique(owner[some], return_inverse=True)
+            used, counts = np.unique(owner[some], return_counts=True)
             out.append(
                 _EMPTY
-                | {"part": part, "keys": keys[some].tobytes(), "names": None if names is None else names[some].tobytes()}
-                | {"owners": _pack(place), "offsets": _pack(at[some] - self.starts[owner[some]])}
+                | {"part": part, "keys": _pack_keys(keys[some]), "names": None if names is None else names[some].tobytes()}
+                | {"counts": counts.astype(np.uint32).tobytes(), "offsets": _pack(at[some] - self.starts[owner[some]])}
                 | {"before": _pack(before[some]), "after": _pack(after[some])}
                 | {"places": _pack_near(self.places[used]), "doc_ids": _pack_near(self.doc_ids[used])}
             )
@@ -274,9 +331,10 @@ def _received(rows: list[dict]) -> tuple[np.ndarray, ...]:
     """keys, names, doc_ids, places, offsets, before, after of the members sent to a range."""
     columns: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.uint64, np.uint64, *[np.int64] * 5)]
     for r in rows:
-        keys = np.frombuffer(r["keys"], np.uint64)
-        owners, offsets, before, after = (_unpack(r[c], len(keys)) for c in ("owners", "offsets", "before", "after"))
-        doc_ids, places = (_unpack_near(r[c], int(owners.max()) + 1)[owners] for c in ("doc_ids", "places"))
+        counts = np.frombuffer(r["counts"], np.uint32)
+        keys = _unpack_keys(r["keys"], int(counts.sum()))
+        offsets, before, after = (_unpack(r[c], len(keys)) for c in ("offsets", "before", "after"))
+        doc_ids, places = (np.repeat(_unpack_near(r[c], len(counts)), counts) for c in ("doc_ids", "places"))
         names = keys if r["names"] is None else np.frombuffer(r["names"], np.uint64)
         for column, values in zip(columns, (keys, names, doc_ids, places, offsets, before, after), strict=True):
             column.append(values)
@@ -299,22 +357,23 @@ def _sort_range(bits: int, with_map: bool):
         if with_map:
             several = np.flatnonzero((keys[1:] == keys[:-1]) & (names[1:] != names[:-1]))
             part = key[0].as_py()
-            out.append(_EMPTY | {"part": part, "segment": _segment(keys[several], part, bits)})
+            segment, probes = _segment(np.unique(keys[several]), bits)
+            out.append(_EMPTY | {"part": part, "segment": segment, "probes": probes})
         return pa.Table.from_pylist(out, _SENT)
 
     return run
 
 
-def ranked_ties(docs: DataFrame, repeated: np.ndarray, bits: int) -> DataFrame:
+def ranked_ties(docs: DataFrame, repeated: Map, bits: int) -> DataFrame:
     """Spans of members with an earlier one of the same name, and the map of buckets with several names."""
-    shared = docs.sparkSession.sparkContext.broadcast(repeated)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(repeated))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = FirstSeen()
         for batch in batches:
             for texts in text_slices(batch.column("text")):
                 own, rows = Suffixes(texts), Slice(batch, texts)
-                own.keep(_in_map(shared.value, own.bucket))
+                own.keep(Map(*shared.value).holds(own.bucket))
                 a, b = own.reach()
                 whole = b - a >= WIDTH
                 own.keep(whole)
@@ -322,22 +381,23 @@ def ranked_ties(docs: DataFrame, repeated: np.ndarray, bits: int) -> DataFrame:
                 send = seen.sort_out(mix(own.bucket) + names, rows.order(own.owner, own.at))
                 out = rows.spans(own.owner[~send], a[~send], b[~send], bits)
                 before, after = (own.at - a)[send], (b - own.at)[send]
-                out += rows.members(own.bucket[send], names[send], own.owner[send], own.at[send], before, after, bits)
+                keys = _first_bits(own.bucket[send], bits + KEY_BITS)
+                out += rows.members(keys, names[send], own.owner[send], own.at[send], before, after, bits)
                 yield pa.RecordBatch.from_pylist(out, _SENT)
 
     return docs.mapInArrow(run, _SENT_SQL).groupBy("part").applyInArrow(_sort_range(bits, True), _SENT_SQL)
 
 
-def sorted_strings(docs: DataFrame, several: np.ndarray, bits: int) -> DataFrame:
+def sorted_strings(docs: DataFrame, several: Map, bits: int) -> DataFrame:
     """Spans of strings with an earlier equal one, of those in a bucket with several names."""
-    shared = docs.sparkSession.sparkContext.broadcast(several)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(several))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = FirstSeen()
         for batch in batches:
             for texts in text_slices(batch.column("text")):
                 own, rows = Suffixes(texts), Slice(batch, texts)
-                own.keep(_in_map(shared.value, own.bucket))
+                own.keep(Map(*shared.value).holds(own.bucket))
                 turns = np.zeros(len(texts.data) + 1, np.int64)
                 np.add.at(turns, np.maximum(own.starts[own.owner], own.at - PERIOD + 1), 1)
                 np.add.at(turns, own.at + 1, -1)
@@ -437,10 +497,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     source = keyed_texts(docs, key, text).withColumn("place", F.monotonically_increasing_id())
     partitions = source.rdd.getNumPartitions()
     bits = min(MAP_BITS - 3, max(4, (2 * partitions - 1).bit_length()))
-    slot_bits = min(56, 32 + max(0, (partitions // 64).bit_length()))
-    repeated = _whole_map(settle(repeated_buckets(source, bits, slot_bits)))
+    slot_bits = min(56, 33 + max(0, (partitions // 64).bit_length()))
+    repeated = _whole_map(settle(repeated_buckets(source, bits, slot_bits)), bits, slot_bits)
     ties = settle(ranked_ties(source, repeated, bits))
-    several = _whole_map(ties.filter("segment is not null").select("part", "segment"))
+    several = _whole_map(ties.filter("segment is not null"), bits, bits + KEY_BITS)
     strings = settle(sorted_strings(source, several, bits))
     spans = ties.filter("block is not null").unionByName(strings.filter("block is not null"))
     spans = settle(joined_spans(spans.select("block", "rows", "starts", "ends"), bits))

@@ -284,6 +284,15 @@ def test_repeats_of_random_pieces(spark, partitions):
     assert Counter(map(tuple, suffix_dedup.remove_repeats(table).collect())) == repeats(rows)
 
 
+def test_no_repeats_in_a_task(spark):
+    """Short texts and texts of their own, by themselves in a task, beside a task with repeats."""
+    rng = random.Random(12)
+    rows = [(i, "".join(rng.choice("abcdefgh") for _ in range(150 if i % 2 else 30))) for i in range(40)]
+    rows += [(40, rows[1][1]), (41, None)]
+    for table in (spark.createDataFrame(rows, TEXTS).coalesce(1), spark.createDataFrame(rows, TEXTS).repartitionByRange(20, "doc_id")):
+        assert Counter(map(tuple, suffix_dedup.remove_repeats(settle(table)).collect())) == repeats(rows)
+
+
 def test_rows_of_a_slice_are_sent_as_distances():
     """Rows and ids are sent again to each range that has members of theirs: near ones have to be short."""
     rng = np.random.default_rng(8)
@@ -304,6 +313,38 @@ def test_rows_of_a_slice_are_sent_as_distances():
     assert all(np.array_equal(x[a], y[b]) for x, y in zip(got, want, strict=True))
 
 
+def test_members_of_a_bucket_are_sent_in_few_bytes():
+    """A bucket's hash in four bytes, a text's number once: the name takes the rest."""
+    rng = np.random.default_rng(9)
+    n, each, bits = 300, 40, 6
+    batch = pa.RecordBatch.from_pydict({"place": np.arange(n), "doc_id": np.arange(n)})
+    rows = suffix_dedup.Slice(batch, next(text_slices(pa.array(["x" * 200] * n))))
+    owner = np.repeat(np.arange(n), each)
+    at = rows.starts[owner] + np.tile(np.arange(each), n)
+    names = rng.integers(0, 1 << 63, n * each, np.uint64)
+    keys = suffix_dedup._first_bits(rng.integers(0, 1 << 63, n * each, np.uint64) * np.uint64(2), bits + suffix_dedup.KEY_BITS)
+    sent = rows.members(keys, names, owner, at, at * 0 + 30, at * 0 + 100, bits)
+    assert sum(len(r["keys"]) for r in sent) <= n * each * 4 + 64 * 9
+    assert sum(len(r["counts"]) for r in sent) <= 4 * sum(len(r["places"]) for r in sent)
+    got = suffix_dedup._received(sent)
+    a, b = np.argsort(got[1]), np.argsort(names)
+    for x, y in zip(got, (keys, names, owner, owner, at - rows.starts[owner], at * 0 + 30, at * 0 + 100), strict=True):
+        assert np.array_equal(x[a], y[b])
+
+
+@pytest.mark.parametrize("n", [0, 1, 3000, 60_000])
+def test_maps_of_buckets(spark, monkeypatch, n):
+    """All keys are found, also in a full map; of others few, as long as there is room."""
+    monkeypatch.setattr(suffix_dedup, "MAP_BITS", 16)
+    rng, bits, key_bits = np.random.default_rng(10), 3, 35
+    keys = np.unique(suffix_dedup._first_bits(rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2), key_bits))
+    pieces = [(part, *suffix_dedup._segment(keys[some], bits)) for part, some in suffix_dedup._by_range(keys, bits)]
+    got = suffix_dedup._whole_map(spark.createDataFrame(pieces, "part long, segment binary, probes int"), bits, key_bits)
+    assert got.holds(keys | np.uint64(5)).all()
+    others = rng.integers(0, 1 << 63, 20_000, np.uint64) * np.uint64(2)
+    assert n > 3000 or got.holds(others).mean() < 0.01
+
+
 def test_spans_of_blocks(spark):
     """Spans of one block from several ranges become one row; the rows they touch are found, also in far partitions."""
     blocks = {0: [(3, 0, 100), (3, 50, 180), (511, 7, 107)], 1: [(0, 0, 100)], (5 << 33) >> suffix_dedup.BLOCK_BITS: [(64, 1, 101)]}
