@@ -27,6 +27,9 @@ Null and empty texts have no bytes; texts under 100 bytes lose none. Strings don
 the input. Repeated rows are later than the first of them. Other columns are ignored. An empty table gives none; a very
 long text is taken whole by one task.
 
+Texts are taken in small pieces, members and spans in rounds of SORTED: what a worker holds beside the maps and the hashes
+it has sent doesn't follow the table. A range is held by its members.
+
 The table is read several times, and rows are known by their places in it: it has to be a stored table (or one that
 settle() has stored), not the result of a shuffle that may give its rows in another order when run again.
 """
@@ -34,15 +37,16 @@ settle() has stored), not the result of a shuffle that may give its rows in anot
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lares.llm.tables import Texts, keyed_texts, settle, text_slices
+from lares.llm.tables import SMALL_SLICE, Texts, keyed_texts, pieces, settle, text_slices
 from lares.llm.words import mix, prefix_hashes, span_hashes
 
 WIDTH = 100
@@ -59,25 +63,29 @@ KEY_BITS = 32
 TOUCHED_BITS = 24
 #: Rows of the table that meet their spans in one group.
 BLOCK_BITS = 9
+#: Hashes that a task gathers before it sends them: the closer they lie, the fewer bits their distances have.
 HELD = 6 << 20
 KNOWN = 2 << 20
+#: Members or spans that are sorted or made into rows at a time: what such a round takes is a multiple of it.
+SORTED = 1 << 19
 _LAST = np.iinfo(np.int64).max
-_IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
 class Suffixes:
-    """Cover positions of a slice of texts that have room for a bucket's prefix."""
+    """Cover positions of a slice of texts that have room for a bucket's prefix, in order."""
 
     def __init__(self, texts: Texts):
         self.sums = prefix_hashes(texts.data)
         self.starts, self.ends = texts.offsets[:-1], texts.offsets[1:]
         sizes = np.diff(texts.offsets)
-        offset = np.arange(len(texts.data)) - np.repeat(self.starts, sizes)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        at = np.flatnonzero(_IN_COVER[offset % PERIOD])
-        at = at[(at + PREFIX <= self.ends[owner[at]]) & (sizes[owner[at]] >= WIDTH)]
-        self.at, self.owner = at, owner[at]
-        self.bucket = span_hashes(self.sums, at, at + PREFIX)
+        turns = np.where(sizes >= WIDTH, -(-sizes // PERIOD), 0)
+        owner = np.repeat(np.arange(len(sizes)), turns)
+        turn = np.arange(len(owner)) - np.repeat(np.cumsum(turns) - turns, turns)
+        at = ((self.starts[owner] + turn * PERIOD)[:, None] + np.array(COVER)).ravel()
+        owner = np.repeat(owner, len(COVER))
+        room = at + PREFIX <= self.ends[owner]
+        self.at, self.owner = at[room], owner[room]
+        self.bucket = span_hashes(self.sums, self.at, self.at + PREFIX)
 
     def keep(self, some: np.ndarray) -> None:
         self.at, self.owner, self.bucket = self.at[some], self.owner[some], self.bucket[some]
@@ -93,42 +101,40 @@ class Suffixes:
 
 
 class FirstSeen:
-    """The earliest place of each key that a task has sent."""
+    """The least doc_id under which a task has sent each key. The task meets its rows in the table's order, so of places
+    with one doc_id the known one is the earlier."""
 
     def __init__(self):
-        self.keys = np.zeros(0, np.uint64)
-        self.order = [np.zeros(0, np.int64) for _ in range(3)]
-
-    def sort_out(self, keys: np.ndarray, order: list[np.ndarray]) -> np.ndarray:
-        """True for what has to be sent: keys with no earlier place known. order: doc_id, row, offset."""
-        by = np.lexsort((*reversed(order), keys))
-        first = np.append(True, keys[by][1:] != keys[by][:-1]) if len(by) else np.zeros(0, bool)
-        chosen = by[first]
-        known, own = keys[chosen], [o[chosen] for o in order]
-        at = np.minimum(np.searchsorted(self.keys, known), max(0, len(self.keys) - 1))
+        self.keys, self.doc_ids = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def sort_out(self, keys: np.ndarray, doc_ids: np.ndarray) -> np.ndarray:
+        """True for what has to be sent: keys with no earlier place known. Both are in the order of rows and offsets."""
+        by = np.lexsort((doc_ids, keys))
+        chosen = by[np.append(True, keys[by][1:] != keys[by][:-1])] if len(by) else by
+        known, own = keys[chosen], doc_ids[chosen]
+        at = np.searchsorted(self.keys, known)
+        there = np.zeros(len(known), bool)
         if len(self.keys):
-            old = [o[at] for o in self.order]
-            earlier = (self.keys[at] == known) & is_earlier(old, own)
-            chosen, known, own = chosen[~earlier], known[~earlier], [o[~earlier] for o in own]
+            near = np.minimum(at, len(self.keys) - 1)
+            there = self.keys[near] == known
+            earlier = there & (self.doc_ids[near] <= own)
+            chosen, known, own, at, there = (x[~earlier] for x in (chosen, known, own, at, there))
         if len(self.keys) > KNOWN:
             self.__init__()
-        merged = np.concatenate([known, self.keys])  # the newer of equal keys, which is earlier, stands first
-        self.keys, index = np.unique(merged, return_index=True)
-        self.order = [np.concatenate(pair)[index] for pair in zip(own, self.order, strict=True)]
+            at[:], there[:] = 0, False
+        self.doc_ids[at[there]] = own[there]
+        self.keys = np.insert(self.keys, at[~there], known[~there])
+        self.doc_ids = np.insert(self.doc_ids, at[~there], own[~there])
         send = np.zeros(len(keys), bool)
         send[chosen] = True
         return send
 
 
-def is_earlier(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    return (a[0] < b[0]) | ((a[0] == b[0]) & ((a[1] < b[1]) | ((a[1] == b[1]) & (a[2] < b[2]))))
-
-
 def _pack(values: np.ndarray) -> bytes:
     return values.astype(np.min_scalar_type(int(values.max(initial=0)))).tobytes()
 
 
-def _unpack(data: bytes, n: int) -> np.ndarray:
+def _unpack(data: bytes | memoryview, n: int) -> np.ndarray:
     return np.frombuffer(data, f"u{len(data) // n}" if n else "u1").astype(np.int64)
 
 
@@ -138,7 +144,7 @@ def _pack_near(values: np.ndarray) -> bytes:
     return least.tobytes() + _pack(values.view(np.uint64) - least.view(np.uint64))
 
 
-def _unpack_near(data: bytes, n: int) -> np.ndarray:
+def _unpack_near(data: bytes | memoryview, n: int) -> np.ndarray:
     return _unpack(data[8:], n) + np.frombuffer(data[:8], np.int64)
 
 
@@ -151,7 +157,7 @@ def _pack_keys(keys: np.ndarray) -> bytes:
     return bytes([shift]) + least.tobytes() + _pack(far >> np.uint64(shift))
 
 
-def _unpack_keys(data: bytes, n: int) -> np.ndarray:
+def _unpack_keys(data: bytes | memoryview, n: int) -> np.ndarray:
     far = np.frombuffer(data[9:], f"u{(len(data) - 9) // n}").astype(np.uint64)
     return np.frombuffer(data[1:9], np.uint64) + (far << np.uint64(data[0]))
 
@@ -163,13 +169,24 @@ def _first_bits(keys: np.ndarray, bits: int) -> np.ndarray:
 
 def _by_range(keys: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
     """Numbers of hash ranges and the places of their keys, in order."""
-    own = keys >> np.uint64(64 - bits)
-    order = np.argsort(own.astype(np.min_scalar_type((1 << bits) - 1)), kind="stable")
-    parts, cuts = np.unique(own[order], return_index=True)
-    for part, a, b in zip(parts.tolist(), cuts, np.append(cuts[1:], len(keys))[: len(parts)], strict=True):
+    own = (keys >> np.uint64(64 - bits)).astype(np.min_scalar_type((1 << bits) - 1))
+    order = np.argsort(own, kind="stable")
+    own = own[order]
+    cuts = _cuts(own)
+    for part, a, b in zip(own[cuts].tolist(), cuts, np.append(cuts[1:], len(keys)), strict=False):
         yield part, order[a:b]
 
 
+def _cuts(sorted_values: np.ndarray) -> np.ndarray:
+    """Where each stretch of equal values begins."""
+    return np.flatnonzero(np.append(True, sorted_values[1:] != sorted_values[:-1])) if len(sorted_values) else np.zeros(0, np.int64)
+
+
+def _read_binary(column: pa.ChunkedArray) -> list[memoryview | None]:
+    """The values where they lie, not copied."""
+    return [memoryview(x.as_buffer()) if x.is_valid else None for x in column]
+
+
 class Map(NamedTuple):
     """Flags of the places of keys, range by range, and the places that a key has in each range's piece. Keys are known by
     their first key_bits bits."""
@@ -225,33 +242,44 @@ def repeated_buckets(docs: DataFrame, bits: int, slot_bits: int) -> DataFrame:
     """part, segment and probes of the map of buckets that seem to have two members."""
     shift = np.uint64(64 - slot_bits)
 
-    def rows(held: list[np.ndarray]) -> pa.RecordBatch:
-        slots, counts = np.unique(np.concatenate(held), return_counts=True)
-        parts, cuts = np.unique(slots >> np.uint64(slot_bits - bits), return_index=True)
-        out = []
-        for part, a, b in zip(parts.tolist(), cuts, np.append(cuts[1:], len(slots)), strict=True):
-            own = (slots[a:b] - np.uint64(part << (slot_bits - bits))).astype(np.int64)
-            twice = own[counts[a:b] > 1]
-            out.append({"part": part, "n": len(own), "steps": _pack(np.diff(own, prepend=0)), "twice": twice.tobytes()})
-        return pa.RecordBatch.from_pylist(out, _SLOTS)
+    def rows(slots: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Sorts them in place and copies only some of them at a time."""
+        slots.sort()
+        out, a, sent = [], 0, 0
+        while a < len(slots):
+            part = int(slots[a]) >> (slot_bits - bits)
+            b = int(np.searchsorted(slots, np.uint64((part + 1) << (slot_bits - bits))))
+            own, counts = np.unique((slots[a:b] - np.uint64(part << (slot_bits - bits))).astype(np.int64), return_counts=True)
+            out.append({"part": part, "n": len(own), "steps": _pack(np.diff(own, prepend=0)), "twice": own[counts > 1].tobytes()})
+            a = b
+            if a - sent > SORTED or a == len(slots):
+                yield pa.RecordBatch.from_pylist(out, _SLOTS)
+                out, sent = [], a
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size = np.empty(HELD, np.uint64), 0
         for batch in batches:
-            for texts in text_slices(batch.column("text")):
-                held.append(Suffixes(texts).bucket >> shift)
-                size += len(held[-1])
-                if size > HELD:
-                    yield rows(held)
-                    held, size = [], 0
-        if size:
-            yield rows(held)
+            for texts in text_slices(batch.column("text"), SMALL_SLICE):
+                slots = Suffixes(texts).bucket >> shift
+                if size + len(slots) > HELD:
+                    yield from rows(held[:size])
+                    size = 0
+                if len(slots) > HELD:
+                    yield from rows(slots)
+                else:
+                    held[size : size + len(slots)] = slots
+                    size += len(slots)
+        yield from rows(held[:size])
 
     def seen_twice(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        part = key[0].as_py()
-        own = [np.cumsum(_unpack(r["steps"], r["n"])) for r in table.to_pylist()]
-        twice = [np.frombuffer(t, np.int64) for t in table.column("twice").to_pylist()]
-        slots = np.sort(np.concatenate([*own, *twice]))
+        part, counts = key[0].as_py(), table.column("n").to_pylist()
+        twice = _read_binary(table.column("twice"))
+        slots, done = np.empty(sum(counts) + sum(map(len, twice)) // 8, np.int64), 0
+        for n, steps, again in zip(counts, _read_binary(table.column("steps")), twice, strict=True):
+            np.cumsum(_unpack(steps, n), out=slots[done : done + n])
+            slots[done + n : done + n + len(again) // 8] = np.frombuffer(again, np.int64)
+            done += n + len(again) // 8
+        slots.sort()
         slots = np.unique(slots[1:][slots[1:] == slots[:-1]]).astype(np.uint64) + np.uint64(part << (slot_bits - bits))
         segment, probes = _segment(slots << shift, bits)
         return pa.table({"part": pa.array([part], pa.int64()), "segment": pa.array([segment], pa.binary()), "probes": pa.array([probes], pa.int32())})
@@ -274,6 +302,7 @@ _SENT_SQL = (
     "doc_ids binary, block long, rows binary, starts binary, ends binary, segment binary, probes int"
 )
 _EMPTY = dict.fromkeys(_SENT.names)
+_OF_MEMBERS = _SENT.names[1 : _SENT.names.index("block")]
 
 
 def _spans(places: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int) -> list[dict]:
@@ -297,6 +326,19 @@ def _spans(places: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int)
     ]
 
 
+class Members(NamedTuple):
+    """Members found in a slice of texts: what equal ones have in common, keys, names or none, texts, positions (in order)
+    and the spans that they repeat if they aren't the first."""
+
+    same: np.ndarray
+    keys: np.ndarray
+    names: np.ndarray | None
+    owner: np.ndarray
+    at: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+
+
 class Slice:
     """Rows of a slice of texts and its own offsets."""
 
@@ -306,9 +348,6 @@ class Slice:
         self.doc_ids = batch.column("doc_id").fill_null(int(_LAST)).to_numpy(zero_copy_only=False)[rows]
         self.starts = texts.offsets[:-1]
 
-    def order(self, owner: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-        return [self.doc_ids[owner], self.places[owner], at - self.starts[owner]]
-
     def members(self, keys, names, owner, at, before, after, bits: int) -> list[dict]:
         """at: in order, so that a text's members follow one another."""
         out = []
@@ -327,18 +366,61 @@ class Slice:
         return _spans(self.places[owner], a - self.starts[owner], b - self.starts[owner], bits)
 
 
+def _sent(batches: Iterator[pa.RecordBatch], found: Callable[[Texts], Members], bits: int) -> Iterator[pa.RecordBatch]:
+    """Members to send to their ranges and spans of the others. Members are found in small pieces of a slice and sent by
+    slice: a worker's memory follows the piece, the number of rows sent the slice."""
+    seen = FirstSeen()
+    for batch in batches:
+        for texts in text_slices(batch.column("text")):
+            rows, held, size = Slice(batch, texts), [], 0
+            out: list[dict] = []
+            for piece in pieces(texts, SMALL_SLICE):
+                first = piece.first_row - texts.first_row
+                _, keys, names, owner, at, a, b = own = found(piece)
+                owner, at, a, b = owner + first, *(x + texts.offsets[first] for x in (at, a, b))
+                send = seen.sort_out(own.same, rows.doc_ids[owner])
+                out += rows.spans(owner[~send], a[~send], b[~send], bits)
+                before, after = (at - a)[send].astype(np.uint8), (b - at)[send].astype(np.uint8)
+                held.append((keys[send], keys[:0] if names is None else names[send], owner[send].astype(np.int32), at[send], before, after))
+                size += len(before)
+                if size > SORTED:
+                    yield _batch(out, rows, held, names is not None, bits)
+                    out, held, size = [], [], 0
+            if out or size:
+                yield _batch(out, rows, held, names is not None, bits)
+
+
+def _batch(out: list[dict], rows: Slice, held: list[tuple[np.ndarray, ...]], named: bool, bits: int) -> pa.RecordBatch:
+    keys, names, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
+    held.clear()
+    return pa.RecordBatch.from_pylist(out + rows.members(keys, names if named else None, *rest, bits), _SENT)
+
+
 def _received(rows: list[dict]) -> tuple[np.ndarray, ...]:
     """keys, names, doc_ids, places, offsets, before, after of the members sent to a range."""
-    columns: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.uint64, np.uint64, *[np.int64] * 5)]
-    for r in rows:
-        counts = np.frombuffer(r["counts"], np.uint32)
-        keys = _unpack_keys(r["keys"], int(counts.sum()))
-        offsets, before, after = (_unpack(r[c], len(keys)) for c in ("offsets", "before", "after"))
-        doc_ids, places = (np.repeat(_unpack_near(r[c], len(counts)), counts) for c in ("doc_ids", "places"))
-        names = keys if r["names"] is None else np.frombuffer(r["names"], np.uint64)
-        for column, values in zip(columns, (keys, names, doc_ids, places, offsets, before, after), strict=True):
-            column.append(values)
-    return tuple(np.concatenate(c) for c in columns)
+    counts = [np.frombuffer(r["counts"], np.uint32) for r in rows]
+    ends = np.cumsum([0, *(int(c.sum()) for c in counts)])
+    named = any(r["names"] is not None for r in rows)
+    types = (np.uint64, *[np.int64] * 2, np.uint32, *[np.uint8] * 2)
+    keys, doc_ids, places, offsets, before, after = columns = [np.empty(ends[-1], t) for t in types]
+    names = np.empty(ends[-1], np.uint64) if named else keys
+    for r, own, a, b in zip(rows, counts, ends, ends[1:], strict=False):
+        keys[a:b] = _unpack_keys(r["keys"], b - a)
+        if named:
+            names[a:b] = np.frombuffer(r["names"], np.uint64)
+        doc_ids[a:b], places[a:b] = (np.repeat(_unpack_near(r[c], len(own)), own) for c in ("doc_ids", "places"))
+        offsets[a:b], before[a:b], after[a:b] = (_unpack(r[c], b - a) for c in ("offsets", "before", "after"))
+    return keys, names, *columns[1:]
+
+
+def _some_keys(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """Places of the keys of a range, those of equal keys together, by the bits behind the first `bits`: about SORTED at a time."""
+    more = max(0, -(-len(keys) // SORTED) - 1).bit_length()
+    if not more:
+        yield np.arange(len(keys))
+        return
+    for _, some in _by_range(keys << np.uint64(bits), min(16, more)):
+        yield some
 
 
 def _sort_range(bits: int, with_map: bool):
@@ -346,20 +428,29 @@ def _sort_range(bits: int, with_map: bool):
     names. Rows of spans pass through."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        out = [r for r in rows if r["block"] is not None]
-        keys, names, doc_ids, places, offsets, before, after = _received([r for r in rows if r["block"] is None])
-        order = np.lexsort((offsets, places, doc_ids, names, keys))
-        keys, names, places, offsets, before, after = (x[order] for x in (keys, names, places, offsets, before, after))
-        later = np.zeros(len(keys), bool)
-        later[1:] = (keys[1:] == keys[:-1]) & (names[1:] == names[:-1])
-        out += _spans(places[later], (offsets - before)[later], (offsets + after)[later], bits)
+        passed = table.filter(pc.is_valid(table.column("block"))).select(_SENT.names).cast(_SENT)
+        sent = zip(*(_read_binary(table.column(c)) for c in _OF_MEMBERS), strict=True)
+        members = _received([r for values in sent if (r := dict(zip(_OF_MEMBERS, values, strict=True)))["keys"] is not None])
+        out, held, size, several = [], [], 0, []
+        for some in _some_keys(members[0], bits):
+            keys, names, doc_ids, places, offsets, before, after = (x[some] for x in members)
+            order = np.lexsort((offsets, places, doc_ids, names, keys))
+            keys, names, places, offsets, before, after = (x[order] for x in (keys, names, places, offsets.astype(np.int64), before, after))
+            equal = keys[1:] == keys[:-1]
+            later = np.append(False, equal & (names[1:] == names[:-1])) if len(keys) else np.zeros(0, bool)
+            held.append((places[later], (offsets - before)[later], (offsets + after)[later]))
+            size += len(held[-1][0])
+            if size > SORTED:
+                out += _spans(*map(np.concatenate, zip(*held, strict=True)), bits)
+                held, size = [], 0
+            if with_map:
+                several.append(np.unique(keys[1:][equal & (names[1:] != names[:-1])]))
+        if held:
+            out += _spans(*map(np.concatenate, zip(*held, strict=True)), bits)
         if with_map:
-            several = np.flatnonzero((keys[1:] == keys[:-1]) & (names[1:] != names[:-1]))
-            part = key[0].as_py()
-            segment, probes = _segment(np.unique(keys[several]), bits)
-            out.append(_EMPTY | {"part": part, "segment": segment, "probes": probes})
-        return pa.Table.from_pylist(out, _SENT)
+            segment, probes = _segment(np.concatenate(several), bits)
+            out.append(_EMPTY | {"part": key[0].as_py(), "segment": segment, "probes": probes})
+        return pa.concat_tables([passed, pa.Table.from_pylist(out, _SENT)])
 
     return run
 
@@ -368,22 +459,18 @@ def ranked_ties(docs: DataFrame, repeated: Map, bits: int) -> DataFrame:
     """Spans of members with an earlier one of the same name, and the map of buckets with several names."""
     shared = docs.sparkSession.sparkContext.broadcast(tuple(repeated))
 
+    def found(texts: Texts) -> Members:
+        own = Suffixes(texts)
+        own.keep(Map(*shared.value).holds(own.bucket))
+        a, b = own.reach()
+        whole = b - a >= WIDTH
+        own.keep(whole)
+        names = own.names()
+        keys = _first_bits(own.bucket, bits + KEY_BITS)
+        return Members(mix(own.bucket) + names, keys, names, own.owner, own.at, a[whole], b[whole])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = FirstSeen()
-        for batch in batches:
-            for texts in text_slices(batch.column("text")):
-                own, rows = Suffixes(texts), Slice(batch, texts)
-                own.keep(Map(*shared.value).holds(own.bucket))
-                a, b = own.reach()
-                whole = b - a >= WIDTH
-                own.keep(whole)
-                a, b, names = a[whole], b[whole], own.names()
-                send = seen.sort_out(mix(own.bucket) + names, rows.order(own.owner, own.at))
-                out = rows.spans(own.owner[~send], a[~send], b[~send], bits)
-                before, after = (own.at - a)[send], (b - own.at)[send]
-                keys = _first_bits(own.bucket[send], bits + KEY_BITS)
-                out += rows.members(keys, names[send], own.owner[send], own.at[send], before, after, bits)
-                yield pa.RecordBatch.from_pylist(out, _SENT)
+        yield from _sent(batches, found, bits)
 
     return docs.mapInArrow(run, _SENT_SQL).groupBy("part").applyInArrow(_sort_range(bits, True), _SENT_SQL)
 
@@ -392,25 +479,21 @@ def sorted_strings(docs: DataFrame, several: Map, bits: int) -> DataFrame:
     """Spans of strings with an earlier equal one, of those in a bucket with several names."""
     shared = docs.sparkSession.sparkContext.broadcast(tuple(several))
 
+    def found(texts: Texts) -> Members:
+        own = Suffixes(texts)
+        own.keep(Map(*shared.value).holds(own.bucket))
+        turns = np.zeros(len(texts.data) + 1, np.int32)
+        np.add.at(turns, np.maximum(own.starts[own.owner], own.at - PERIOD + 1), 1)
+        np.add.at(turns, own.at + 1, -1)
+        at = np.flatnonzero(np.cumsum(turns, dtype=np.int32)[:-1] > 0)
+        owner = np.searchsorted(texts.offsets, at, "right") - 1
+        room = at + WIDTH <= texts.offsets[owner + 1]
+        at, owner = at[room], owner[room]
+        keys = span_hashes(own.sums, at, at + WIDTH)
+        return Members(keys, keys, None, owner, at, at, at + WIDTH)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = FirstSeen()
-        for batch in batches:
-            for texts in text_slices(batch.column("text")):
-                own, rows = Suffixes(texts), Slice(batch, texts)
-                own.keep(Map(*shared.value).holds(own.bucket))
-                turns = np.zeros(len(texts.data) + 1, np.int64)
-                np.add.at(turns, np.maximum(own.starts[own.owner], own.at - PERIOD + 1), 1)
-                np.add.at(turns, own.at + 1, -1)
-                at = np.flatnonzero(np.cumsum(turns)[:-1] > 0)
-                owner = np.searchsorted(texts.offsets, at, "right") - 1
-                room = at + WIDTH <= texts.offsets[owner + 1]
-                at, owner = at[room], owner[room]
-                keys = span_hashes(own.sums, at, at + WIDTH)
-                send = seen.sort_out(keys, rows.order(owner, at))
-                out = rows.spans(owner[~send], at[~send], at[~send] + WIDTH, bits)
-                n = int(send.sum())
-                out += rows.members(keys[send], None, owner[send], at[send], np.zeros(n, np.int64), np.full(n, WIDTH), bits)
-                yield pa.RecordBatch.from_pylist(out, _SENT)
+        yield from _sent(batches, found, bits)
 
     return docs.mapInArrow(run, _SENT_SQL).groupBy("part").applyInArrow(_sort_range(bits, False), _SENT_SQL)
 
@@ -426,12 +509,20 @@ def _read_spans(rows: list[dict]) -> tuple[np.ndarray, ...]:
 
 
 def joined_spans(spans: DataFrame, bits: int) -> DataFrame:
-    """One row a block: the spans that all ranges found in its texts, overlapping ones joined."""
+    """One row a block: the spans that all ranges found in its texts, overlapping ones joined, some rows at a time."""
 
     def join(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        rows, starts, ends = _read_spans(table.to_pylist())
-        found = _spans((key[0].as_py() << BLOCK_BITS) + rows.astype(np.int64), starts, ends, bits)
-        return pa.Table.from_pylist([{c: r[c] for c in _SPANS.names} for r in found], _SPANS)
+        columns = [_read_binary(table.column(c)) for c in _SPANS.names[1:]]
+        read = np.cumsum([len(r) // 2 for r in columns[0]])
+        joined: list[dict] = []
+        row = 0
+        while row < len(read):
+            stop = max(row + 1, int(np.searchsorted(read, (read[row - 1] if row else 0) + SORTED, "right")))
+            some = [dict(zip(_SPANS.names[1:], r, strict=True)) for r in zip(*(c[row:stop] for c in columns), strict=True)]
+            rows, starts, ends = _read_spans(joined + some)
+            joined = _spans((key[0].as_py() << BLOCK_BITS) + rows.astype(np.int64), starts, ends, bits)
+            row = stop
+        return pa.Table.from_pylist([{c: r[c] for c in _SPANS.names} for r in joined], _SPANS)
 
     return spans.groupBy("block").applyInArrow(join, _SPANS_SQL)
 
@@ -509,8 +600,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         possible = np.unpackbits(shared.value, axis=1, bitorder="little").astype(bool)
         for batch in batches:
-            out = []
             for texts in text_slices(batch.column("text")):
+                out = []
                 places = batch.column("place").to_numpy()[texts.first_row :][: len(texts.offsets) - 1]
                 ids = batch.column("doc_id").slice(texts.first_row, len(places)).to_pylist()
                 wanted = possible[_slot(places >> BLOCK_BITS), places & ((1 << BLOCK_BITS) - 1)]
@@ -521,7 +612,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                         out.append(row | {"text": data})
                     else:
                         out.append(row | {"n_removed": 0, "n_spans": 0, "kept_sha256": hashlib.sha256(data).hexdigest()})
-            yield pa.RecordBatch.from_pylist(out, _TEXTS)
+                yield pa.RecordBatch.from_pylist(out, _TEXTS)
 
     texts = source.mapInArrow(read, f"block long, place long, text binary, {_RESULT_SQL}")
-    return texts.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_cut, _RESULT_SQL)
+    return settle(texts.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_cut, _RESULT_SQL))

@@ -81,12 +81,17 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Texts]:
     offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
     held = column.buffers()[2]
     data = np.frombuffer(held, np.uint8) if held is not None and held.size else np.zeros(0, np.uint8)
-    row = 0
-    while row < len(column):
+    yield from pieces(Texts(0, data, offsets), limit)
+
+
+def pieces(texts: Texts, limit: int) -> Iterator[Texts]:
+    """Texts in slices of about `limit` bytes; a longer text is one by itself."""
+    row, offsets = 0, texts.offsets
+    while row < len(offsets) - 1:
         stop = int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1
-        stop = min(max(stop, row + 1), len(column))
+        stop = min(max(stop, row + 1), len(offsets) - 1)
         base = offsets[row]
-        yield Texts(row, data[base : offsets[stop]], offsets[row : stop + 1] - base)
+        yield Texts(texts.first_row + row, texts.data[base : offsets[stop]], offsets[row : stop + 1] - base)
         row = stop
 
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -391,6 +394,105 @@ def test_spans_of_blocks(spark):
     assert not suffix_dedup.touched_rows(spans.limit(0)).any()
 
 
+class Tasks:
+    """In place of a table: keeps the functions that its tasks would run, so that a test can run them here."""
+
+    sparkSession = sparkContext = property(lambda self: self)
+
+    def __init__(self):
+        self.functions = []
+
+    def broadcast(self, value):
+        return SimpleNamespace(value=value)
+
+    def select(self, *columns):
+        return self
+
+    groupBy = select
+
+    def mapInArrow(self, function, schema):
+        self.functions.append(function)
+        return self
+
+    applyInArrow = mapInArrow
+
+
+def functions_of_tasks(bits):
+    """Of the three passes over the texts: what the tasks do that read texts, and those that get a range. The maps hold all."""
+    full = suffix_dedup.Map(np.full(1 << (suffix_dedup.MAP_BITS - 3), 255, np.uint8), np.ones(1 << bits, np.uint8), 40)
+    tables = [Tasks(), Tasks(), Tasks()]
+    suffix_dedup.repeated_buckets(tables[0], bits, 40)
+    suffix_dedup.ranked_ties(tables[1], full, bits)
+    suffix_dedup.sorted_strings(tables[2], full, bits)
+    return [t.functions for t in tables]
+
+
+def batch_of(rows, first=0):
+    ids, texts = zip(*rows, strict=True)
+    return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()), "place": np.arange(first, first + len(rows))})
+
+
+def peak(function):
+    """Bytes at the most and the result."""
+    tracemalloc.start()
+    try:
+        result = function()
+        return tracemalloc.get_traced_memory()[1], result
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_task():
+    """Texts without repeats, all of whose strings have to be sent, as in large tables, where the maps are full. An
+    executor holds two workers beside its heap."""
+    rng = np.random.default_rng(13)
+    letters = rng.integers(97, 123, 8 << 20, np.uint8).tobytes().decode()
+    rows = [(i, letters[a : a + 4096]) for i, a in enumerate(range(0, len(letters), 4096))]
+    batches = [batch_of(rows[a : a + 900], a) for a in range(0, len(rows), 900)]
+    tasks = functions_of_tasks(2)
+    for (read, _), most in zip(tasks, (105, 110, 250), strict=True):
+        assert peak(lambda read=read: [None for _ in read(iter(batches))])[0] < most << 20
+    read, sort = tasks[2]
+    table = pa.Table.from_batches(b.filter(pc.equal(b.column("part"), 1)) for b in read(iter(batches)))
+    used, spans = peak(lambda: sort((pa.scalar(1),), table))
+    assert not spans.num_rows
+    assert used < 190 << 20
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_repeats_by_small_rounds(monkeypatch, small):
+    """Rounds, pieces and tables of known keys of any size give the same spans, also of ids against the table's order."""
+    if small:
+        for name, value in (("SORTED", 50), ("SMALL_SLICE", 700), ("KNOWN", 90), ("HELD", 40)):
+            monkeypatch.setattr(suffix_dedup, name, value)
+    rng, bits = random.Random(14), 2
+    source = "".join(rng.choice("abcd") for _ in range(1500))
+    texts = ["".join(source[a : a + rng.choice([90, 100, 140, 300])] for a in rng.choices(range(1200), k=rng.randrange(5))) for _ in range(60)]
+    rows = [(None if i % 19 == 7 else i * 37 % 60 // 2, text) for i, text in enumerate(texts)]
+    sent = [[], [], []]
+    for some in (range(25), range(25, 60)):  # two tasks
+        for (read, _), held in zip(functions_of_tasks(bits), sent, strict=True):
+            held += read(iter([batch_of(rows[some.start : some.stop], some.start)]))
+    table, (_, sort) = pa.Table.from_batches(sent[0]), functions_of_tasks(bits)[0]
+    segments = [sort((pa.scalar(part),), table.filter(pc.equal(table.column("part"), part))) for part in range(1 << bits)]
+    twice = suffix_dedup._whole_map(SimpleNamespace(toArrow=lambda: pa.concat_tables(segments)), bits, 40)
+    buckets, counts = np.unique(suffix_dedup.Suffixes(next(text_slices(pa.array(texts)))).bucket, return_counts=True)
+    assert twice.holds(buckets[counts > 1]).all()
+    assert twice.holds(buckets[counts == 1]).mean() < 0.01
+    inside = [np.zeros(len(text), bool) for text in texts]
+    for (_, sort), held in zip(functions_of_tasks(bits)[1:], sent[1:], strict=True):
+        table = pa.Table.from_batches(held)
+        for part in range(1 << bits):
+            found = sort((pa.scalar(part),), table.filter(pc.equal(table.column("part"), part)))
+            for r in found.filter(pc.is_valid(found.column("block"))).to_pylist():
+                for row, a, b in zip(*suffix_dedup._read_spans([r]), strict=True):
+                    inside[(r["block"] << suffix_dedup.BLOCK_BITS) + int(row)][a:b] = True
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
+    want = brute.without_repeats([rows[i] for i in order])
+    assert [int(inside[i].sum()) for i in order] == [r[1] for r in want]
+    assert sum(r[1] for r in want) > 1000
+
+
 def check_scores(got, rows):
     want = defaultdict(list)
     for (key, _), r in zip(rows, brute.unigram_scores(rows), strict=True):
