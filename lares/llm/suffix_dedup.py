@@ -46,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lares.llm.tables import SMALL_SLICE, Texts, keyed_texts, pieces, settle, text_slices
+from lares.llm.tables import SMALL_SLICE, Texts, keyed_texts, pieces, release_memory, settle, text_slices
 from lares.llm.words import mix, prefix_hashes, span_hashes
 
 WIDTH = 100
@@ -388,6 +388,8 @@ def _sent(batches: Iterator[pa.RecordBatch], found: Callable[[Texts], Members],
                     out, held, size = [], [], 0
             if out or size:
                 yield _batch(out, rows, held, names is not None, bits)
+    del seen
+    release_memory()
 
 
 def _batch(out: list[dict], rows: Slice, held: list[tuple[np.ndarray, ...]], named: bool, bits: int) -> pa.RecordBatch:
@@ -429,6 +431,11 @@ def _sort_range(bits: int, with_map: bool):
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         passed = table.filter(pc.is_valid(table.column("block"))).select(_SENT.names).cast(_SENT)
+        found = pa.Table.from_pylist(sort(key[0].as_py(), table), _SENT)
+        release_memory()
+        return pa.concat_tables([passed, found])
+
+    def sort(part: int, table: pa.Table) -> list[dict]:
         sent = zip(*(_read_binary(table.column(c)) for c in _OF_MEMBERS), strict=True)
         members = _received([r for values in sent if (r := dict(zip(_OF_MEMBERS, values, strict=True)))["keys"] is not None])
         out, held, size, several = [], [], 0, []
@@ -449,8 +456,8 @@ def _sort_range(bits: int, with_map: bool):
             out += _spans(*map(np.concatenate, zip(*held, strict=True)), bits)
         if with_map:
             segment, probes = _segment(np.concatenate(several), bits)
-            out.append(_EMPTY | {"part": key[0].as_py(), "segment": segment, "probes": probes})
-        return pa.concat_tables([passed, pa.Table.from_pylist(out, _SENT)])
+            out.append(_EMPTY | {"part": part, "segment": segment, "probes": probes})
+        return out
 
     return run
 

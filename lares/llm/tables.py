@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from typing import NamedTuple
 
 import numpy as np
@@ -63,6 +64,13 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Gives the system back what Arrow and the C library keep for later: a worker lives on through many tasks."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, TypeError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Texts(NamedTuple):
     """UTF-8 texts end to end: text i is data[offsets[i]:offsets[i + 1]], of batch row first_row + i."""
 
